@@ -19,7 +19,7 @@ def processable(status: ColumnOrName) -> Column:
 
 
 def good_barcode(barcode: ColumnOrName, bad: str = "bad") -> Column:
-    return ~as_col(barcode).eqNullSafe(F.lit(bad))
+    return ~as_col(barcode).cast("string").eqNullSafe(F.lit(bad))
 
 
 def to_monitor(job_id: ColumnOrName, status: ColumnOrName) -> Column:

@@ -41,21 +41,24 @@ def complete_folders(
 # many tasks.
 # --------------------------------------------------------------------------
 
-SUMMARY_COLUMNS = "ends ARRAY<INT>, fired ARRAY<BIGINT>"
 
 
-def summarise_stretch(bits: Iterable[int], n_markers: int) -> tuple[list[int], list[int]]:
-    """End set and number of firings for every possible start set."""
+def fresh_summary(n_markers: int) -> tuple[list[int], list[int]]:
+    """Summary of an empty stretch: every start set is also the end set."""
     full = (1 << n_markers) - 1
-    ends, fired = list(range(full)), [0] * full
-    for bit in bits:
-        for start in range(full):
-            seen = ends[start] | bit
-            if seen == full:
-                fired[start] += 1
-                seen = 0
-            ends[start] = seen
-    return ends, fired
+    return list(range(full)), [0] * full
+
+
+def advance(summary: tuple[list[int], list[int]], bit: int) -> None:
+    """Extend a summary by one marker file."""
+    ends, fired = summary
+    full = len(ends)
+    for start in range(full):
+        seen = ends[start] | bit
+        if seen == full:
+            fired[start] += 1
+            seen = 0
+        ends[start] = seen
 
 
 def chain(seen: int, stretches: Iterable[tuple[list[int], list[int]]]) -> tuple[int, int]:
@@ -77,8 +80,10 @@ def stretch_summaries(
 ) -> DataFrame:
     """Summary of each stretch of each key's log.
 
-    ``seq`` is a unique number that orders the log, so a stretch of
-    ``stretch_rows`` numbers can hold no more rows than that, whatever the key.
+    ``seq`` is a unique number that orders the log.  The work is divided by
+    stretches of ``stretch_rows`` numbers, not by keys: a task's group can hold
+    no more rows than that, and it makes no difference whether they belong to
+    one key or to many.
     """
     if len(required) > 10:
         raise ValueError("at most 10 marker files per set")
@@ -90,14 +95,22 @@ def stretch_summaries(
     )
     n_markers = len(required)
 
-    def summarise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = rows.sort_values("_seq")["_bit"].tolist()
-        ends, fired = summarise_stretch(bits, n_markers)
-        return pd.DataFrame([[*key, ends, fired]], columns=[*keys, "stretch", "ends", "fired"])
+    def summarise(stretch: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_seq")
+        summaries: dict[tuple, tuple[list[int], list[int]]] = {}
+        for *key, bit in zip(*[rows[k] for k in keys], rows["_bit"], strict=True):
+            key = tuple(key)
+            if key not in summaries:
+                summaries[key] = fresh_summary(n_markers)
+            advance(summaries[key], bit)
+        return pd.DataFrame(
+            [[*key, stretch[0], ends, fired] for key, (ends, fired) in summaries.items()],
+            columns=[*keys, "stretch", "ends", "fired"],
+        )
 
     key_ddl = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
-    return marked.groupBy(*keys, "stretch").applyInPandas(
-        summarise, f"{key_ddl}, stretch BIGINT, {SUMMARY_COLUMNS}"
+    return marked.groupBy("stretch").applyInPandas(
+        summarise, f"{key_ddl}, stretch BIGINT, ends ARRAY<INT>, fired ARRAY<BIGINT>"
     )
 
 
@@ -111,18 +124,22 @@ def completions(
 ) -> DataFrame:
     """How often each key's marker set was completed, in log order.
 
-    Batch form of the stream in ``labtables.streaming.markers``.
+    Batch form of the stream in ``labtables.streaming.markers``.  A key brings
+    together one summary per stretch it occurs in.
     """
     summaries = stretch_summaries(files, keys, file, required, seq, stretch_rows)
+    in_order = F.array_sort(F.collect_list(F.struct("stretch", "ends", "fired")))
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).cast("long").alias("n"))
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("stretch")
-        _, total = chain(0, zip(rows["ends"], rows["fired"], strict=True))
-        return pd.DataFrame([[*key, total]], columns=[*keys, "n_events"])
+    def step(state: Column, stretch: Column) -> Column:
+        return F.struct(
+            F.get(stretch["ends"], state["seen"]).alias("seen"),
+            (state["n"] + F.get(stretch["fired"], state["seen"])).alias("n"),
+        )
 
-    key_ddl = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
     return (
         summaries.groupBy(*keys)
-        .applyInPandas(fold, f"{key_ddl}, n_events BIGINT")
+        .agg(in_order.alias("_stretches"))
+        .select(*keys, F.aggregate("_stretches", start, step)["n"].alias("n_events"))
         .where("n_events > 0")
     )

@@ -263,14 +263,10 @@ def _tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT 'P' || CAST(c_custkey AS VARCHAR) AS project_id, 'auto_realm' AS target
-    FROM customer WHERE {MISSING_SQL} = '' AND c_mktsegment LIKE 'AUTO%' AND c_custkey = 77
-    UNION ALL
-    SELECT 'P' || CAST(c_custkey AS VARCHAR), 'exact_machinery'
-    FROM customer WHERE {MISSING_SQL} = '' AND c_mktsegment = 'MACHINERY' AND c_custkey = 77
-    UNION ALL
-    SELECT 'P' || CAST(c_custkey AS VARCHAR), 'build_realm'
-    FROM customer WHERE {MISSING_SQL} = '' AND c_mktsegment LIKE 'BUILD%' AND c_custkey = 77
+    SELECT 'P' || CAST(c_custkey AS VARCHAR) AS project_id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exact_machinery'
+      WHEN c_mktsegment LIKE 'AUTO%' THEN 'auto_realm' ELSE 'build_realm' END AS target
+    FROM customer WHERE c_custkey = 77 AND {MISSING_SQL} = ''
+      AND (c_mktsegment = 'MACHINERY' OR c_mktsegment LIKE 'AUTO%' OR c_mktsegment LIKE 'BUILD%')
     """
 )
 def one_off(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,9 +426,11 @@ def log_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), x -> contains(x, 'the')) AS lines FROM documents)
-    SELECT doc_id, CASE WHEN len(lines) = 0 THEN '--' ELSE regexp_extract(lines[len(lines)], '(\\S+)\\s*$', 1) END AS version
-    FROM l
+    WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line
+        FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+    b AS (SELECT doc_id, arg_max(line, i) AS line FROM l WHERE contains(line, 'the') GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(regexp_extract(b.line, '(\\S+)\\s*$', 1), '--') AS version
+    FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id
     """
 )
 def tool_version(spark: SparkSession, sf_dir: str) -> DataFrame:

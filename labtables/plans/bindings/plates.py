@@ -22,10 +22,10 @@ def cents(value: str) -> F.Column:
 @query(
     """
     SELECT user_id,
-      sum(CASE WHEN event_type = 'click' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS n_click,
-      sum(CASE WHEN event_type = 'view' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS n_view,
-      sum(CASE WHEN event_type = 'purchase' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS n_purchase,
-      sum(CAST(round(value * 100) AS BIGINT)) AS total
+      CAST(sum(CASE WHEN event_type = 'click' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS n_click,
+      CAST(sum(CASE WHEN event_type = 'view' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS n_view,
+      CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS n_purchase,
+      CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total
     FROM events GROUP BY user_id
     """
 )
@@ -39,7 +39,7 @@ def pivot_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT o_custkey, sum(CAST(round(o_totalprice) AS BIGINT)) AS total_reads FROM orders
+    SELECT o_custkey, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS total_reads FROM orders
     WHERE o_orderstatus <> 'P' GROUP BY o_custkey
     """
 )
@@ -115,7 +115,7 @@ def _stats_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATS_SQL = """
-    r AS (SELECT o_custkey AS k, sum(CAST(round(o_totalprice) AS BIGINT)) AS total_reads FROM orders GROUP BY 1),
+    r AS (SELECT o_custkey AS k, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS total_reads FROM orders GROUP BY 1),
     t AS (SELECT user_id AS k, count(*) FILTER (event_type = 'click') AS tagged,
             count(*) FILTER (event_type = 'view') AS untagged FROM events GROUP BY 1),
     s AS (SELECT c_custkey AS barcode, c_custkey % 7 AS plate,
@@ -176,9 +176,10 @@ def null_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EMBEDDING_COUNTS_SQL = """
-    SELECT vec_id, label, list_sum(g) AS umi_reads, len(list_filter(g, x -> x <> 0)) AS umi_genes
-    FROM (SELECT vec_id, label, list_transform(embedding, v -> CAST(floor(CAST(v AS DOUBLE) * 10) AS BIGINT)) AS g
-          FROM embeddings)
+    SELECT vec_id, label, CAST(sum(g) AS BIGINT) AS umi_reads, count(*) FILTER (g <> 0) AS umi_genes
+    FROM (SELECT vec_id, label, CAST(floor(CAST(v AS DOUBLE) * 10) AS BIGINT) AS g
+          FROM (SELECT vec_id, label, unnest(embedding) AS v FROM embeddings))
+    GROUP BY vec_id, label
     """
 
 

@@ -20,9 +20,9 @@ MARKERS = ["click", "purchase"]
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return C.read_changes(spark, path, schema)
+    schema = table(spark, sf_dir, "events").schema
+    # A pattern, since a stream's path must not be a single file.
+    return C.read_changes(spark, f"{sf_dir}/event[s].parquet", schema)
 
 
 def _feed(events: DataFrame) -> DataFrame:

@@ -54,8 +54,9 @@ def read_long_stats(
     """Tab-separated stats files of one kind, and the plates that must fail.
 
     The plate is a folder of the file's path, ``plate_level`` from the end.  A
-    plate fails when any line of its file cannot be read.  An empty file has no
-    rows, so its plate is missing from the stats and drops out when joined.
+    plate fails when any line of its file cannot be read or has no barcode.  An
+    empty file has no rows, so its plate is missing from the stats and drops out
+    when joined.
     """
     schema = f"{S.LONG_STATS[kind]}, _bad STRING"
     rows = (
@@ -64,8 +65,10 @@ def read_long_stats(
         .csv(path)
         .withColumn("plate", path_part(F.col("_metadata.file_path"), plate_level))
     )
-    failed = rows.where("_bad IS NOT NULL").select("plate").distinct()
-    stats = rows.where("_bad IS NULL").drop("_bad").join(failed, "plate", "left_anti")
+    barcode = rows.columns[0]
+    bad = F.col("_bad").isNotNull() | F.col(barcode).isNull()
+    failed = rows.where(bad).select("plate").distinct()
+    stats = rows.where(~bad).drop("_bad").join(failed, "plate", "left_anti")
     return stats, failed
 
 
