@@ -59,7 +59,7 @@ COMPLETIONS_SQL = """
       SELECT m.user_id, m.day, m.rn, CASE WHEN (w.seen | m.bit) = 3 THEN 0 ELSE w.seen | m.bit END,
              w.fired + CASE WHEN (w.seen | m.bit) = 3 THEN 1 ELSE 0 END
       FROM walk w JOIN m ON w.user_id = m.user_id AND w.day = m.day AND m.rn = w.rn + 1)
-    SELECT user_id, day, max(fired) AS n_events FROM walk GROUP BY user_id, day HAVING max(fired) > 0
+    SELECT user_id, day, CAST(max(fired) AS BIGINT) AS n_events FROM walk GROUP BY user_id, day HAVING max(fired) > 0
     """
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from labtables.operators.markers import chain, stretch_summaries
@@ -25,18 +24,17 @@ class MarkerSets(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "mask INT")
 
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any
-    ) -> Iterator[pd.DataFrame]:
-        stretches = pd.concat(list(rows)).sort_values("stretch")
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        after, fired = chain(before, zip(stretches["ends"], stretches["fired"], strict=True))
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timer_values: Any) -> Iterator[Row]:
+        stretches = sorted(rows, key=lambda row: row["stretch"])
+        held = self.seen.get()
+        before = held[0] if held else 0
+        after, fired = chain(before, ((row["ends"], row["fired"]) for row in stretches))
         if after:
             self.seen.update((after,))
         elif before:
             self.seen.clear()
         if fired:
-            yield pd.DataFrame([[*key, fired]], columns=[*self.keys, "n_events"])
+            yield Row(**dict(zip(self.keys, key, strict=True)), n_events=fired)
 
     def close(self) -> None:
         pass
@@ -58,7 +56,7 @@ def flowcell_ready(
     """
     summaries = stretch_summaries(files, keys, file, required, seq, stretch_rows)
     key_ddl = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
-    return summaries.groupBy(*keys).transformWithStateInPandas(
+    return summaries.groupBy(*keys).transformWithState(
         statefulProcessor=MarkerSets(keys),
         outputStructType=f"{key_ddl}, n_events BIGINT",
         outputMode="Append",
