@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def null_to_blank(value: ColumnOrName) -> Column:
     return F.coalesce(as_col(value), F.lit(""))
 
 
+def let(value: ColumnOrName, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out only once.
+
+    A filter is pushed below the projection that parsed its input, and then
+    repeats the parsing for every mention of it.  Bound this way it is mentioned
+    once.
+    """
+    return F.get(F.transform(F.array(as_col(value)), body), F.lit(0))
+
+
 def case_lookup(
     value: ColumnOrName, mapping: dict[str, object], default: Column | None = None
 ) -> Column:

@@ -34,10 +34,18 @@ def flowcell_date(flowcell: ColumnOrName) -> Column:
     """
     token = F.substring_index(as_col(flowcell), "_", 1)
     century = F.when(F.substring(token, 1, 2) >= "69", F.lit("19")).otherwise(F.lit("20"))
-    digits = F.when(token.rlike(r"^[0-9]{8}$"), token).when(
-        token.rlike(r"^[0-9]{6}$"), F.concat(century, token)
+    digits = F.when(token.rlike("^[0-9]{8}$"), token).when(
+        token.rlike("^[0-9]{6}$"), F.concat(century, token)
     )
-    return F.to_date(F.try_to_timestamp(digits, F.lit("yyyyMMdd")))
+    day = F.try_make_timestamp_ntz(
+        F.substring(digits, 1, 4).cast("int"),
+        F.substring(digits, 5, 2).cast("int"),
+        F.substring(digits, 7, 2).cast("int"),
+        F.lit(0),
+        F.lit(0),
+        F.lit(0),
+    )
+    return day.cast("date")
 
 
 def read_layout(setup: ColumnOrName) -> Column:

@@ -102,17 +102,40 @@ def array_cell_counts(cell_arrays: DataFrame, keys: list[str], counts: str) -> D
     return cell_arrays.select(*keys, total.alias("umi_reads"), nonzero.alias("umi_genes"))
 
 
-def join_counts(stats: DataFrame, counts: DataFrame, plate: str, keys: list[str]) -> DataFrame:
+def join_counts(
+    stats: DataFrame,
+    counts: DataFrame,
+    plate: str,
+    keys: list[str],
+    stats_plates: DataFrame | None = None,
+    counts_plates: DataFrame | None = None,
+) -> DataFrame:
     """Stats and cell counts, full outer on the barcode.
 
-    A plate takes part only when both tables have rows for it.
+    A plate takes part only when both tables have rows for it.  Where the plates
+    of a table are known from something smaller, pass that.
     """
-    both = stats.select(plate).distinct().join(counts.select(plate).distinct(), plate)
+    first = (stats if stats_plates is None else stats_plates).select(plate).distinct()
+    second = (counts if counts_plates is None else counts_plates).select(plate)
+    both = first.join(second, plate, "left_semi")
     return stats.join(both, plate, "left_semi").join(
         counts.join(both, plate, "left_semi"), keys, "full"
     )
 
 
+def reads_summary(
+    reads: str, unit: int = 1_000_000, wells: int = S.PLATE_WELLS
+) -> tuple[Column, Column]:
+    """Whole millions of reads (an aggregate), and thousands per well from those.
+
+    The average is taken from the truncated millions over the fixed number of
+    wells and rounded half to even.
+    """
+    filtered = F.floor(F.sum(reads) / F.lit(unit)).cast("long").alias("filtered_reads_m")
+    average = F.bround(F.col("filtered_reads_m") / F.lit(wells) * F.lit(1000), 2)
+    return filtered, average.alias("avg_reads_per_cell_k")
+
+
 def plate_overview(
     stats: DataFrame,
     plate: str,
@@ -120,33 +143,37 @@ def plate_overview(
     unit: int = 1_000_000,
     wells: int = S.PLATE_WELLS,
 ) -> DataFrame:
-    """Reads per plate in whole millions and thousands of reads per well.
+    """Reads per plate in whole millions and thousands of reads per well."""
+    filtered, average = reads_summary(reads, unit, wells)
+    return stats.groupBy(plate).agg(filtered).select(plate, "filtered_reads_m", average)
 
-    The average is taken from the truncated millions over the fixed number of
-    wells and rounded half to even.
-    """
-    filtered = F.floor(F.sum(reads) / F.lit(unit)).cast("long")
-    average = F.bround(F.col("filtered_reads_m") / F.lit(wells) * F.lit(1000), 2)
-    return (
-        stats.groupBy(plate)
-        .agg(filtered.alias("filtered_reads_m"))
-        .withColumn("avg_reads_per_cell_k", average)
-    )
+
+def null_counts(columns: list[str]) -> list[Column]:
+    """Aggregates: null values, and all values, over the given columns."""
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+    return [
+        nulls.cast("long").alias("n_nulls"),
+        (F.count("*") * len(columns)).alias("n_values"),
+    ]
+
+
+def null_percent() -> Column:
+    return F.try_divide(F.col("n_nulls"), F.col("n_values")) * 100
+
+
+def passes_gate(limit: float = S.NULL_SHARE_LIMIT) -> Column:
+    return F.coalesce(null_percent() <= F.lit(limit), F.lit(True))
 
 
 def null_share(
     df: DataFrame, keys: list[str], columns: list[str], limit: float = S.NULL_SHARE_LIMIT
 ) -> DataFrame:
     """Percentage of null values over all given columns; fails above the limit."""
-    nulls = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
     return (
         df.groupBy(*keys)
-        .agg(
-            nulls.cast("long").alias("n_nulls"),
-            (F.count("*") * len(columns)).alias("n_values"),
-        )
-        .withColumn("null_percent", F.try_divide(F.col("n_nulls"), F.col("n_values")) * 100)
-        .withColumn("passes", F.coalesce(F.col("null_percent") <= F.lit(limit), F.lit(True)))
+        .agg(*null_counts(columns))
+        .withColumn("null_percent", null_percent())
+        .withColumn("passes", passes_gate(limit))
     )
 
 

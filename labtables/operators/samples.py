@@ -119,23 +119,24 @@ def distinct_flowcells(members: DataFrame, keys: list[str], flowcell: str) -> Da
 
 
 def reference_conflicts(
-    members: DataFrame, keys: list[str], ref_key: str, path: str
+    members: DataFrame, keys: list[str], ref_key: str, path: str, ref_keys: list[str]
 ) -> DataFrame:
     """Run samples with their reference state.
 
     A run sample fails when any member has no reference, or when one reference
-    key resolves to more than one path.  Members are first reduced to distinct
-    (run sample, key, path) rows, few per sample.
+    key resolves to more than one path.  ``ref_keys`` are all reference keys
+    there are.  Members are first reduced to distinct (run sample, key, path)
+    rows, few per sample; a sample then has a conflict when it has more such
+    rows than keys.
     """
+    found = F.col(path).isNotNull()
     references = members.select(*keys, ref_key, path).distinct()
-    per_key = references.groupBy(*keys, ref_key).agg(
-        F.count(path).alias("_paths"), F.bool_or(F.col(path).isNull()).alias("_missing")
-    )
+    mask = F.bit_or(F.when(found, presence_mask(ref_key, ref_keys)))
     return (
-        per_key.groupBy(*keys)
+        references.groupBy(*keys)
         .agg(
-            F.bool_or(F.col("_paths") > 1).alias("conflict"),
-            F.bool_or("_missing").alias("missing_reference"),
+            (F.count_if(found) > F.coalesce(F.bit_count(mask), F.lit(0))).alias("conflict"),
+            F.bool_or(~found).alias("missing_reference"),
         )
         .withColumn("failed", F.col("conflict") | F.col("missing_reference"))
     )

@@ -210,7 +210,7 @@ def reference_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_returnflag").alias("ref_key"), path.alias("path")
     )
-    return S.reference_conflicts(members, ["l_orderkey"], "ref_key", "path")
+    return S.reference_conflicts(members, ["l_orderkey"], "ref_key", "path", ["A", "N", "R"])
 
 
 @query(

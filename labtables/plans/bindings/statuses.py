@@ -194,28 +194,37 @@ def job_state_to_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH d AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.toxic, l.quality
-               FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-    r AS (SELECT source, bool_and(coalesce(quality, 1) = 1 OR n_chars < 2000) AS ok FROM d GROUP BY source)
-    SELECT doc_id, NOT coalesce(toxic = 1, false)
-        AND coalesce(CASE WHEN lang <> 'de' THEN n_chars > 100 END, true)
-        AND ok AS auto_submit
-    FROM d JOIN r ON d.source = r.source
+    SELECT d.doc_id, NOT coalesce(toxic = 1, false) AND coalesce(CASE WHEN lang <> 'de' THEN n_chars > 100 END, true)
+        AND coalesce(quality = 1, false) AS auto_submit
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
     """
 )
 def auto_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn(
-        "auto", (F.coalesce("quality", F.lit(1)) == 1) | (F.col("n_chars") < 2000)
-    )
-    # One row per source, so Spark broadcasts it while it is under the threshold.
-    realm = L.realm_supports_auto(rows, "source", "auto")
+    """Documents as projects; flags are null where the label or language says nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     decision = st.auto_submit(
         F.col("toxic") == 1,
         F.when(F.col("lang") != "de", F.col("n_chars") > 100),
-        F.coalesce("realm_auto", F.lit(True)),
+        F.col("quality") == 1,
+    )
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        "doc_id", decision.alias("auto_submit")
+    )
+
+
+@query(
+    """
+    SELECT source, bool_and(coalesce(quality = 1, false) OR n_chars < 5000) AS realm_auto
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source
+    """
+)
+def realm_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as projects: may all their documents be submitted?"""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    samples = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn(
+        "auto", F.coalesce(F.col("quality") == 1, F.lit(False)) | (F.col("n_chars") < 5000)
     )
-    return rows.join(realm, "source", "left").select("doc_id", decision.alias("auto_submit"))
+    return L.realm_supports_auto(samples, "source", "auto")
 
 
 # event type -> sample status, for the queries that read events as a status log

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labtables.functions._cols import let
 from labtables.functions.documents import missing_fields, project_info
 from labtables.functions.status import not_aborted
 from labtables.operators.routing import Rule, route
@@ -20,17 +21,20 @@ from labtables.sources.readers import typed
 def complete_documents(
     docs: DataFrame, required: list[str], sample_required: list[str] | None = None
 ) -> DataFrame:
-    """Documents that have every required field, in themselves and each sample."""
-    complete = docs.where(F.size(missing_fields("variant", required)) == 0)
-    if not sample_required:
-        return complete
-    # A sample lacks a field when its part of the document does; one look at the
-    # map of untyped samples per document, no shuffle.
-    samples = F.try_variant_get("variant", "$.samples", "map<string, variant>")
-    lacking = F.exists(
-        F.map_values(samples), lambda s: F.size(missing_fields(s, sample_required)) > 0
-    )
-    return complete.where(~F.coalesce(lacking, F.lit(False)))
+    """Documents that have every required field, in themselves and each sample.
+
+    One look at each document, no shuffle.
+    """
+
+    def complete(variant: Column) -> Column:
+        ok = F.size(missing_fields(variant, required)) == 0
+        if not sample_required:
+            return ok
+        samples = F.map_values(F.try_variant_get(variant, "$.samples", "map<string, variant>"))
+        lacking = F.exists(samples, lambda s: F.size(missing_fields(s, sample_required)) > 0)
+        return ok & ~F.coalesce(lacking, F.lit(False))
+
+    return docs.where(let("variant", complete))
 
 
 def intake_projects(

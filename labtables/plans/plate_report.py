@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labtables.functions.status import good_barcode
 from labtables.operators import plate as P
@@ -37,17 +38,23 @@ def plate_stats(inputs: PlateInputs, gene_types: dict[str, str], reagent: str =
     genes = P.pivot_types(inputs.genes, KEYS, "type", "n", gene_types)
     stats = P.join_stats(wells, [reads, inputs.umi, genes], KEYS)
     counts = P.cell_counts(inputs.cells, inputs.counts, KEYS, "count")
-    return P.join_counts(stats, counts, "plate", KEYS)
+    return P.join_counts(stats, counts, "plate", KEYS, wells, inputs.cells)
 
 
-def passing_plates(stats: DataFrame) -> DataFrame:
-    """Plates whose share of nulls is within the limit."""
+def overview(stats: DataFrame, unit: int = 1_000_000) -> DataFrame:
+    """Overview of the plates whose share of nulls is within the limit.
+
+    The gate and the overview come from the same pass over the stats.
+    """
     columns = [c for c in stats.columns if c not in KEYS]
-    gate = P.null_share(stats, ["plate"], columns)
-    return gate.where("passes").select("plate")
+    filtered, average = P.reads_summary("total_reads", unit)
+    plates = stats.groupBy("plate").agg(filtered, *P.null_counts(columns))
+    return plates.where(P.passes_gate()).select("plate", "filtered_reads_m", average)
 
 
-def overview(stats: DataFrame, unit: int = 1_000_000) -> DataFrame:
-    """Overview of the plates that pass the gate."""
-    good = stats.join(passing_plates(stats), "plate", "left_semi")
-    return P.plate_overview(good, "plate", "total_reads", unit=unit)
+def grids(stats: DataFrame, reads: str, size: str) -> DataFrame:
+    """The 384-well grid of every plate with its colour, size and dot size."""
+    values = stats.select("plate", "barcode", "well", reads, size)
+    order = F.xxhash64("barcode")
+    grid = P.plate_grid(values.withColumn("_order", order), "plate", "well", "_order", [reads, size])
+    return P.scaled_size(grid, "plate", size)

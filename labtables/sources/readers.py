@@ -13,10 +13,14 @@ def parse_docs(raw: DataFrame, schema: str = S.PROJECT_DOC, body: str = "body")
     """Adds the typed document as ``doc`` and the untyped one as ``variant``.
 
     The untyped form is kept because an absent field and a null one differ when
-    required fields are checked.
+    required fields are checked; where it is not used it is not parsed.  The
+    typed form is exploded from a one-element array, which makes it a column of
+    its own: later filters and expressions read it instead of parsing again.
     """
-    return raw.withColumn("doc", F.from_json(body, schema)).withColumn(
-        "variant", F.try_parse_json(body)
+    return raw.select(
+        "*",
+        F.try_parse_json(body).alias("variant"),
+        F.explode(F.array(F.from_json(body, schema))).alias("doc"),
     )
 
 
