@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labtables.functions._cols import case_lookup
 from labtables.operators import markers as M
 from labtables.operators.routing import Rule
-from labtables.plans.bindings._registry import FLAGS_SQL, ROLLUP_SQL, query, table  # noqa: F401
+from labtables.plans.bindings._registry import ROLLUP_SQL, query, table
 from labtables.plans.bindings.statuses import EVENT_STATUS, EVENT_STATUS_SQL
 from labtables.session import scratch_dir
 from labtables.sources.writers import TrackingTable
@@ -81,21 +81,13 @@ def flowcell_ready_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     fired = ready_stream(
         _marker_files(_event_stream(spark, sf_dir)), ["user_id", "day"], "event_type", MARKERS, "event_id"
     )
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(
-        provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    (
+        fired.writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{root}/out")
+        .awaitTermination()
     )
-    try:
-        (
-            fired.writeStream.format("parquet")
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True)
-            .start(f"{root}/out")
-            .awaitTermination()
-        )
-    finally:
-        spark.conf.set(provider, before)
     out = spark.read.schema(fired.schema).parquet(f"{root}/out")
     return out.groupBy("user_id", "day").agg(F.sum("n_events").alias("n_events"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from labtables.functions.status import good_barcode
 from labtables.operators import plate as P
@@ -54,7 +53,5 @@ def overview(stats: DataFrame, unit: int = 1_000_000) -> DataFrame:
 
 def grids(stats: DataFrame, reads: str, size: str) -> DataFrame:
     """The 384-well grid of every plate with its colour, size and dot size."""
-    values = stats.select("plate", "barcode", "well", reads, size)
-    order = F.xxhash64("barcode")
-    grid = P.plate_grid(values.withColumn("_order", order), "plate", "well", "_order", [reads, size])
+    grid = P.plate_grid(stats, "plate", "well", "barcode", [reads, size])
     return P.scaled_size(grid, "plate", size)

@@ -3,43 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from labtables.operators.markers import chain, stretch_summaries
 
 
-class MarkerSets(StatefulProcessor):
-    """Per key: the markers seen since the last event; fires when all are there.
-
-    The state is cleared on firing, so a full second set fires again.  It never
-    expires.
-    """
-
-    def __init__(self, keys: list[str]) -> None:
-        self.keys = keys
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "mask INT")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timer_values: Any) -> Iterator[Row]:
-        stretches = sorted(rows, key=lambda row: row["stretch"])
-        held = self.seen.get()
-        before = held[0] if held else 0
-        after, fired = chain(before, ((row["ends"], row["fired"]) for row in stretches))
-        if after:
-            self.seen.update((after,))
-        elif before:
-            self.seen.clear()
-        if fired:
-            yield Row(**dict(zip(self.keys, key, strict=True)), n_events=fired)
-
-    def close(self) -> None:
-        pass
-
-
 def flowcell_ready(
     files: DataFrame,
     keys: list[str],
@@ -50,15 +21,36 @@ def flowcell_ready(
 ) -> DataFrame:
     """Stream of (key.., n_events): how often a set was completed in a batch.
 
-    Needs the RocksDB state store.  The rows of a batch are first reduced to one
-    summary per key and stretch of the log, in as many tasks as there are
-    stretches; only summaries reach the task that owns the key's state.
+    Per key the state is the set of markers seen since the last event.  When all
+    are there it fires and the state is removed, so a full second set fires
+    again; it never expires.
+
+    The rows of a batch are first reduced to one summary per key and stretch of
+    the log, in as many tasks as there are stretches; only summaries reach the
+    task that owns the key's state.  State travels with the rows here, which for
+    very many small keys is faster than one call per key to the state store.
     """
     summaries = stretch_summaries(files, keys, file, required, seq, stretch_rows)
+
+    def track(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        stretches = [
+            row
+            for frame in frames
+            for row in zip(frame["stretch"], frame["ends"], frame["fired"], strict=True)
+        ]
+        stretches.sort(key=lambda row: row[0])
+        before = state.get[0] if state.exists else 0
+        after, fired = chain(before, ((ends, n) for _, ends, n in stretches))
+        if after:
+            state.update((after,))
+        elif state.exists:
+            state.remove()
+        if fired:
+            yield pd.DataFrame([[*key, fired]], columns=[*keys, "n_events"])
+
     key_ddl = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
-    return summaries.groupBy(*keys).transformWithState(
-        statefulProcessor=MarkerSets(keys),
-        outputStructType=f"{key_ddl}, n_events BIGINT",
-        outputMode="Append",
-        timeMode="None",
+    return summaries.groupBy(*keys).applyInPandasWithState(
+        track, f"{key_ddl}, n_events BIGINT", "mask INT", "append", GroupStateTimeout.NoTimeout
     )
