@@ -66,6 +66,8 @@ def read_long_stats(
     rows = (
         spark.read.schema(schema)
         .options(sep="\t", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+        # Every column is looked at, also where only the bad lines are asked for.
+        .option("columnPruning", False)
         .csv(path)
         .withColumn("plate", path_part(F.col("_metadata.file_path"), plate_level))
     )
