@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labtables import schemas as S
 from labtables.functions.text import base_name
@@ -58,23 +59,21 @@ def read_long_stats(
     """Tab-separated stats files of one kind, and the plates that must fail.
 
     The plate is a folder of the file's path, ``plate_level`` from the end.  A
-    plate fails when any line of its file cannot be read or has no barcode.  An
+    plate fails when any line has no barcode or text where a number belongs.  An
     empty file has no rows, so its plate is missing from the stats and drops out
     when joined.
     """
-    schema = f"{S.LONG_STATS[kind]}, _bad STRING"
-    rows = (
-        spark.read.schema(schema)
-        .options(sep="\t", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-        # Every column is looked at, also where only the bad lines are asked for.
-        .option("columnPruning", False)
-        .csv(path)
-        .withColumn("plate", path_part(F.col("_metadata.file_path"), plate_level))
-    )
-    barcode = rows.columns[0]
-    bad = F.col("_bad").isNotNull() | F.col(barcode).isNull()
-    failed = rows.where(bad).select("plate").distinct()
-    stats = rows.where(~bad).drop("_bad").join(failed, "plate", "left_anti")
+    schema = T._parse_datatype_string(S.LONG_STATS[kind])
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    plate = path_part(F.col("_metadata.file_path"), plate_level).alias("plate")
+    values = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema]
+    bad = F.col(schema[0].name).isNull()
+    for f in schema:
+        bad = bad | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+    lines = spark.read.schema(as_text).options(sep="\t", header=True).csv(path)
+    rows = lines.select(plate, *values, bad.alias("_bad"))
+    failed = rows.where("_bad").select("plate").distinct()
+    stats = rows.where("NOT _bad").drop("_bad").join(failed, "plate", "left_anti")
     return stats, failed
 
 
