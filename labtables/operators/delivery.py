@@ -93,6 +93,16 @@ def delivery_entries(
     )
 
 
-def project_flowcells(samples: DataFrame, key: str, flowcells: str) -> DataFrame:
-    """Distinct flowcells of every project, as rows."""
-    return samples.select(key, F.explode(flowcells).alias("flowcell")).distinct()
+def project_flowcells(
+    projects: DataFrame,
+    samples: DataFrame,
+    key: str,
+    flowcells: str,
+    wanted: str = "deliver_flowcell",
+) -> DataFrame:
+    """Distinct flowcells, as rows, of the projects that want them delivered.
+
+    Reduced to distinct rows before the join with the projects.
+    """
+    rows = samples.select(key, F.explode(flowcells).alias("flowcell")).distinct()
+    return rows.join(projects.where(F.col(wanted)).select(key), key, "left_semi")

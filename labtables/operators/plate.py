@@ -116,7 +116,7 @@ def join_counts(
     of a table are known from something smaller, pass that.
     """
     first = (stats if stats_plates is None else stats_plates).select(plate).distinct()
-    second = (counts if counts_plates is None else counts_plates).select(plate)
+    second = (counts if counts_plates is None else counts_plates).select(plate).distinct()
     both = first.join(second, plate, "left_semi")
     return stats.join(both, plate, "left_semi").join(
         counts.join(both, plate, "left_semi"), keys, "full"

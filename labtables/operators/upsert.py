@@ -34,6 +34,28 @@ def _new_rows(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
     return patch.join(touched, keys, "left_anti")
 
 
+def merge_newer(base: DataFrame, patch: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Stored rows with the patch rows that are newer; one row per key in both.
+
+    An equal ``seq`` is the same change replayed, and the stored row stays.
+    """
+    newest = patch.select(*keys, F.col(seq).alias("_seq"))
+    kept = (
+        base.join(newest, keys, "left")
+        .where(F.col("_seq").isNull() | (F.col(seq) >= F.col("_seq")))
+        .select(*base.columns)
+    )
+    stored = base.select(*keys, F.col(seq).alias("_seq")).join(
+        patch.select(*keys), keys, "left_semi"
+    )
+    newer = (
+        patch.join(stored, keys, "left")
+        .where(F.col("_seq").isNull() | (F.col(seq) > F.col("_seq")))
+        .select(*base.columns)
+    )
+    return kept.unionByName(newer)
+
+
 def merge_flowcells(old: ColumnOrName, new: ColumnOrName) -> Column:
     """Union of two flowcell lists of one sample, without duplicates."""
     empty = F.array().cast("array<string>")

@@ -185,26 +185,28 @@ def delivery_round_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     WITH {DECISION_SQL}
-    SELECT q.k AS project_id, count(*) AS n_samples,
-      count(*) FILTER (qc = 'Passed' AND action = 'proceed_delivery') AS n_delivered
-    FROM q JOIN d ON q.k = d.project_id GROUP BY q.k
+    SELECT l_orderkey AS project_id, l_linenumber, l_partkey, qc,
+      qc = 'Passed' AND action = 'proceed_delivery' AS delivered
+    FROM (SELECT *, {SAMPLE_QC_SQL} AS qc FROM lineitem) JOIN d ON l_orderkey = d.project_id
     """
 )
 def delivery_round_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = order_samples(spark, sf_dir, F.lit(False).alias("delivered"))
+    samples = order_samples(
+        spark, sf_dir, "l_linenumber", "l_partkey", F.lit(False).alias("delivered")
+    )
     _, marked = delivery_round(
         _projects(spark, sf_dir), samples, _reports(spark, sf_dir), "project_id"
     )
-    return marked.groupBy("project_id").agg(
-        F.count("*").alias("n_samples"), F.count_if("delivered").alias("n_delivered")
-    )
+    return marked.drop("status")
 
 
 @query(
     """
-    SELECT DISTINCT l_orderkey AS project_id, 'FC' || CAST(l_suppkey AS VARCHAR) AS flowcell FROM lineitem
+    SELECT l_orderkey AS project_id, 'FC' || CAST(l_suppkey AS VARCHAR) AS flowcell
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O'
     UNION
-    SELECT DISTINCT l_orderkey, 'FC' || CAST(l_partkey % 100 AS VARCHAR) FROM lineitem
+    SELECT l_orderkey, 'FC' || CAST(l_partkey % 100 AS VARCHAR)
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O'
     """
 )
 def project_flowcells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,4 +217,7 @@ def project_flowcells(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("project_id"), flowcells.alias("flowcells")
     )
-    return D.project_flowcells(samples, "project_id", "flowcells")
+    projects = order_projects(
+        spark, sf_dir, (F.col("o_orderstatus") != "O").alias("deliver_flowcell")
+    )
+    return D.project_flowcells(projects, samples, "project_id", "flowcells")

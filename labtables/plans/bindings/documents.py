@@ -231,8 +231,8 @@ RULES = [
 
 @query(
     f"""
-    WITH t AS (SELECT user_id, bool_and(event_type IN ('click', 'view', 'purchase')) AS done FROM events
-               WHERE event_id % 20 = 0 GROUP BY user_id),
+    WITH t AS (SELECT user_id, arg_max(event_type, event_id) IN ('click', 'view') AS done FROM events
+               GROUP BY user_id),
     r AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exact_machinery'
         WHEN c_mktsegment LIKE 'AUTO%' THEN 'auto_realm' WHEN c_mktsegment LIKE 'BUILD%' THEN 'build_realm' END AS target
       FROM customer WHERE {MISSING_SQL} = '')
@@ -250,11 +250,10 @@ def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with a sampled event as tracked projects."""
-    done = F.bool_and(F.col("event_type").isin("click", "view", "purchase"))
+    """Users with events as tracked projects, completed by their last one."""
+    done = F.max_by("event_type", "event_id").isin("click", "view")
     return (
         table(spark, sf_dir, "events")
-        .where("event_id % 20 = 0")
         .groupBy("user_id")
         .agg(F.when(done, F.lit("completed")).otherwise(F.lit("processing")).alias("project_status"))
         .select(F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("project_id"), "project_status")

@@ -144,13 +144,14 @@ def write_multi_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def write_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches, newest first, with a compaction in between."""
+    """Three batches by order status, whose orders interleave, and a compaction."""
     rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("body")
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("body"), "o_orderstatus"
     )
     path = scratch_dir(spark, "tracking")
-    for batch, rest in enumerate((2, 1, 0)):
-        writers.write_tracking(rows.where(F.col("seq") % 3 == rest), path, ["doc_id"], batch)
+    for batch, status in enumerate("FOP"):
+        part = rows.where(F.col("o_orderstatus") == status).drop("o_orderstatus")
+        writers.write_tracking(part, path, ["doc_id"], batch)
     stored = writers.TrackingTable(spark, path, ["doc_id"])
     stored.compact(upto=1)
     return stored.current()

@@ -13,7 +13,7 @@ from labtables.plans.bindings._registry import query, table
     """
     WITH x AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS doc_id,
         'order ' || CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS body, o_orderkey
-      FROM orders WHERE o_orderkey % 3 = 0),
+      FROM orders WHERE o_orderstatus = 'P'),
     p AS (SELECT doc_id, arg_max(name, o_orderkey) AS name, arg_max(body, o_orderkey) AS body FROM x GROUP BY doc_id)
     SELECT * FROM p
     UNION ALL
@@ -27,7 +27,7 @@ def upsert_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey"))
     changes = (
         table(spark, sf_dir, "orders")
-        .where("o_orderkey % 3 = 0")
+        .where("o_orderstatus = 'P'")
         .select(
             doc_id.alias("doc_id"),
             F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"),
@@ -55,7 +55,7 @@ def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH r AS (SELECT l_orderkey AS project_id, l_linenumber AS sample_id, l_partkey, l_suppkey, l_returnflag,
         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) AS rn FROM lineitem),
     d AS (SELECT * FROM r WHERE rn = 1),
-    b AS (SELECT * FROM d WHERE sample_id <= 4), p AS (SELECT * FROM d WHERE sample_id >= 3 AND project_id % 2 = 0),
+    b AS (SELECT * FROM d WHERE l_returnflag <> 'R'), p AS (SELECT * FROM d WHERE l_returnflag <> 'N'),
     j AS (SELECT coalesce(b.project_id, p.project_id) AS project_id, coalesce(b.sample_id, p.sample_id) AS sample_id,
         b.project_id IS NOT NULL AS has_b, p.project_id IS NOT NULL AS has_p,
         coalesce(b.l_suppkey, p.l_suppkey) AS sk, coalesce(b.l_partkey, p.l_partkey) AS pk, coalesce(b.l_returnflag, p.l_returnflag) AS rf
@@ -77,7 +77,7 @@ def upsert_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     def flowcell(column: str) -> F.Column:
         return F.concat(F.lit("fc"), (F.col(column) % 10).cast("string"))
 
-    base = rows.where("sample_id <= 4").select(
+    base = rows.where("l_returnflag <> 'R'").select(
         "project_id",
         "sample_id",
         F.lit("completed").alias("status"),
@@ -88,7 +88,7 @@ def upsert_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Passed").alias("qc"),
         F.lit(True).alias("delivered"),
     )
-    patch = rows.where("sample_id >= 3 AND project_id % 2 = 0").select(
+    patch = rows.where("l_returnflag <> 'N'").select(
         "project_id",
         "sample_id",
         F.concat(F.lit("status "), "l_returnflag").alias("status"),
@@ -191,7 +191,7 @@ def merge_user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH t AS (SELECT o_custkey, bool_and(o_orderstatus <> 'O') AS done FROM orders WHERE o_orderkey % 8 = 0 GROUP BY 1)
+    WITH t AS (SELECT o_custkey, bool_and(o_orderstatus <> 'O') AS done FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
     SELECT c_custkey AS project_id, CASE WHEN o_custkey IS NULL THEN 'insert' WHEN done THEN 'skip' ELSE 'sync' END AS action,
       o_custkey IS NULL OR NOT done AS proceed
     FROM customer LEFT JOIN t ON c_custkey = o_custkey
@@ -201,7 +201,7 @@ def init_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.bool_and(F.col("o_orderstatus") != "O")
     tracking = (
         table(spark, sf_dir, "orders")
-        .where("o_orderkey % 8 = 0")
+        .where("o_orderpriority = '1-URGENT'")
         .groupBy(F.col("o_custkey").alias("project_id"))
         .agg(F.when(done, F.lit("completed")).otherwise(F.lit("ongoing")).alias("project_status"))
     )

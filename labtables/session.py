@@ -27,12 +27,24 @@ DEFAULTS = {
 }
 
 
+# Only for clusters: many small shuffle partitions to begin with, joined up by
+# adaptive execution to the advisory size, so that the same code suits small and
+# very large shuffles.
+CLUSTER = {
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
+
 def build_session(app: str, master: str | None = None, **overrides: str) -> SparkSession:
     """A session with the defaults above; pass ``master`` only for local runs."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **overrides}.items():
+    settings = DEFAULTS if master else {**DEFAULTS, **CLUSTER}
+    for key, value in {**settings, **overrides}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -44,8 +44,11 @@ def lookup_doc(docs: DataFrame, doc_id: str | int, key: str = "doc_id") -> DataF
 
 
 def existing_docs(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents whose id is asked for."""
-    return docs.join(ids.select(key), key, "left_semi")
+    """The documents whose id is asked for.
+
+    Ids are made distinct first, so one asked for very often is one row.
+    """
+    return docs.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def path_part(path: Column, from_end: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtables.operators.upsert import last_per_key
+from labtables.operators.upsert import last_per_key, merge_newer
 
 
 def write_stats_tsv(
@@ -153,31 +153,37 @@ class TrackingTable:
         upto = base.agg(F.max("upto")).first()[0]
         return (None, -1) if upto is None else (base.where(F.col("upto") == upto).drop("upto"), upto)
 
+    def _state(self, upto: int | None = None) -> DataFrame | None:
+        """Compacted state merged with the batches after it.
+
+        The compacted part has one row per key already, so only the recent rows
+        are reduced, and it is merged with them like any small patch.
+        """
+        base, done = self._compacted()
+        recent = self._read("batches")
+        if recent is not None:
+            wanted = F.col("batch") > done
+            if upto is not None:
+                wanted = wanted & (F.col("batch") <= upto)
+            recent = last_per_key(recent.where(wanted).drop("batch"), self.keys, self.seq)
+        if base is None or recent is None:
+            return recent if base is None else base
+        return merge_newer(base, recent, self.keys, self.seq)
+
     def current(self) -> DataFrame:
         """The last row of every key, the greatest ``seq`` winning."""
-        base, upto = self._compacted()
-        batches = self._read("batches")
-        recent = None if batches is None else batches.where(F.col("batch") > upto).drop("batch")
-        parts = [p for p in (base, recent) if p is not None]
-        if not parts:
+        rows = self._state()
+        if rows is None:
             raise ValueError(f"nothing written to {self.root} yet")
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return last_per_key(rows, self.keys, self.seq)
+        return rows
 
     def compact(self, upto: int) -> None:
         """Write the current state as of a batch that has been written."""
-        base, done = self._compacted()
-        if upto <= done:
-            return
-        recent = (
-            self._read("batches")
-            .where((F.col("batch") > done) & (F.col("batch") <= upto))
-            .drop("batch")
-        )
-        rows = recent if base is None else base.unionByName(recent)
-        last_per_key(rows, self.keys, self.seq).write.mode("overwrite").parquet(
-            f"{self.root}/compacted/upto={int(upto)}"
-        )
+        _, done = self._compacted()
+        if upto > done:
+            self._state(upto).write.mode("overwrite").parquet(
+                f"{self.root}/compacted/upto={int(upto)}"
+            )
 
 
 def write_tracking(rows: DataFrame, root: str, keys: list[str], batch_id: int, seq: str = "seq") -> None:
