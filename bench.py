@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose the
 data and the cores.  Each query is run once to warm up and then BENCH_RUNS times
-(default 3), its whole result going to a no-op sink; the median counts.  Streams
+(default 1), its whole result going to a no-op sink; the median counts.  Streams
 and file round trips write for real and are timed once.
 """
 
@@ -35,7 +35,7 @@ ONCE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or list(QUERIES)
     spark = build_session(
         "bench",

@@ -21,8 +21,8 @@ def _text(column: str, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), value) if prefix else value
 
 
-def project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers (with their nation) as project documents.
+def raw_docs(customers: DataFrame, nations: DataFrame) -> DataFrame:
+    """Customers (with their nation) as project documents: seq, doc_id, body.
 
     Every third has no prep option and so is in the new format; every fifth
     lacks its organism and every seventh its contact; every eleventh has a
@@ -78,13 +78,15 @@ def project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     opening = F.when(
         (key % 7 == 0) & (key % 11 == 0), F.lit('{"contact":null,')
     ).otherwise(F.lit("{"))
-    customers = table(spark, sf_dir, "customer").join(
-        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    )
-    raw = customers.select(
-        _text("c_custkey").alias("doc_id"), F.concat(opening, F.substr(body, F.lit(2))).alias("body")
+    return customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.alias("seq"),
+        _text("c_custkey").alias("doc_id"),
+        F.concat(opening, F.substr(body, F.lit(2))).alias("body"),
     )
-    return parse_docs(raw)
+
+
+def project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_docs(raw_docs(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")))
 
 
 @query(
@@ -228,13 +230,15 @@ RULES = [
     Rule("BUILD", "build_realm", prefix=True),
 ]
 
+TARGET_SQL = """CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exact_machinery'
+    WHEN c_mktsegment LIKE 'AUTO%' THEN 'auto_realm' WHEN c_mktsegment LIKE 'BUILD%' THEN 'build_realm' END"""
+
 
 @query(
     f"""
     WITH t AS (SELECT user_id, arg_max(event_type, event_id) IN ('click', 'view') AS done FROM events
                GROUP BY user_id),
-    r AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exact_machinery'
-        WHEN c_mktsegment LIKE 'AUTO%' THEN 'auto_realm' WHEN c_mktsegment LIKE 'BUILD%' THEN 'build_realm' END AS target
+    r AS (SELECT c_custkey, c_mktsegment, {TARGET_SQL} AS target
       FROM customer WHERE {MISSING_SQL} = '')
     SELECT 'P' || CAST(c_custkey AS VARCHAR) AS project_id, target,
       CASE WHEN user_id IS NULL THEN 'insert' WHEN done THEN 'skip' ELSE 'sync' END AS action,
@@ -262,10 +266,8 @@ def _tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT 'P' || CAST(c_custkey AS VARCHAR) AS project_id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exact_machinery'
-      WHEN c_mktsegment LIKE 'AUTO%' THEN 'auto_realm' ELSE 'build_realm' END AS target
-    FROM customer WHERE c_custkey = 77 AND {MISSING_SQL} = ''
-      AND (c_mktsegment = 'MACHINERY' OR c_mktsegment LIKE 'AUTO%' OR c_mktsegment LIKE 'BUILD%')
+    SELECT 'P' || CAST(c_custkey AS VARCHAR) AS project_id, {TARGET_SQL} AS target
+    FROM customer WHERE c_custkey = 77 AND {MISSING_SQL} = '' AND {TARGET_SQL} IS NOT NULL
     """
 )
 def one_off(spark: SparkSession, sf_dir: str) -> DataFrame:

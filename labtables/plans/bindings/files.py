@@ -149,9 +149,10 @@ def write_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("body"), "o_orderstatus"
     )
     path = scratch_dir(spark, "tracking")
+    stored = writers.TrackingTable(spark, path, ["doc_id"])
     for batch, status in enumerate("FOP"):
         part = rows.where(F.col("o_orderstatus") == status).drop("o_orderstatus")
         writers.write_tracking(part, path, ["doc_id"], batch)
-    stored = writers.TrackingTable(spark, path, ["doc_id"])
-    stored.compact(upto=1)
+        if status == "O":
+            stored.compact()
     return stored.current()

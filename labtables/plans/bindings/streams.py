@@ -9,7 +9,10 @@ from labtables.functions._cols import case_lookup
 from labtables.operators import markers as M
 from labtables.operators.routing import Rule
 from labtables.plans.bindings._registry import ROLLUP_SQL, query, table
+from labtables.plans.bindings.documents import MISSING_SQL, REQUIRED, TARGET_SQL, raw_docs
+from labtables.plans.bindings.documents import RULES as DOC_RULES
 from labtables.plans.bindings.statuses import EVENT_STATUS, EVENT_STATUS_SQL
+from labtables.plans.follow_projects import follow_projects
 from labtables.session import scratch_dir
 from labtables.sources.writers import TrackingTable
 from labtables.streaming import changes as C
@@ -19,10 +22,14 @@ from labtables.streaming.markers import flowcell_ready as ready_stream
 MARKERS = ["click", "purchase"]
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = table(spark, sf_dir, name).schema
     # A pattern, since a stream's path must not be a single file.
-    return C.read_changes(spark, f"{sf_dir}/event[s].parquet", schema)
+    return C.read_changes(spark, f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet", schema)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, "events")
 
 
 def _feed(events: DataFrame) -> DataFrame:
@@ -144,6 +151,36 @@ def routed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+    SELECT 'P' || CAST(c_custkey AS VARCHAR) AS project_id, {TARGET_SQL} AS target, 'ongoing' AS tracked_status,
+      'own' || CAST(c_custkey AS VARCHAR) AS owner_email, c_custkey % 4 = 0 AS sensitive,
+      CASE WHEN c_custkey % 2 <> 0 THEN 2 ELSE 1 END AS n_samples,
+      CASE WHEN c_custkey % 6 = 0 THEN 'pending' ELSE 'processing' END AS project_status
+    FROM customer WHERE {MISSING_SQL} = '' AND {TARGET_SQL} IS NOT NULL
+    """
+)
+def project_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a document feed, followed into tracked projects and samples."""
+    root = scratch_dir(spark, "projects")
+    projects = TrackingTable(spark, f"{root}/projects", ["project_id"])
+    samples = TrackingTable(spark, f"{root}/samples", ["project_id", "sample_id"])
+    feed = raw_docs(_stream(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+    follow_projects(
+        feed, DOC_RULES, REQUIRED, projects, samples, f"{root}/checkpoint"
+    ).awaitTermination()
+    tracked = projects.current().select(
+        "project_id",
+        "target",
+        F.col("project_status").alias("tracked_status"),
+        F.try_element_at(F.try_element_at("user_info", F.lit("owner")), F.lit("email")).alias(
+            "owner_email"
+        ),
+        "sensitive",
+    )
+    return tracked.join(C.tracked_projects(samples, "project_id"), "project_id")
+
+
 STATUS_LAST_SQL = f"""SELECT user_id, arg_max({EVENT_STATUS_SQL}, event_id) AS st FROM events GROUP BY user_id"""
 
 

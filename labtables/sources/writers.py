@@ -128,15 +128,19 @@ class TrackingTable:
 
     A batch is written to its own folder, overwriting it when the batch is
     replayed, so a retried micro-batch changes nothing.  Writing costs as much
-    as the batch, not as the table.  Readers take the last row per key;
-    ``compact`` folds everything up to a batch into one new folder.
+    as the batch, not as the table.  Several streams can write to one table,
+    each under its own writer name, as long as their ``seq`` numbers are of one
+    order.  Readers take the last row per key; ``compact`` folds the batches
+    there are into one new version with a row per key.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], seq: str = "seq") -> None:
         self.spark, self.root, self.keys, self.seq = spark, root.rstrip("/"), keys, seq
 
-    def append(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/batches/batch={int(batch_id)}")
+    def append(self, rows: DataFrame, batch_id: int, writer: str = "main") -> None:
+        rows.write.mode("overwrite").parquet(
+            f"{self.root}/batches/writer={writer}/batch={int(batch_id)}"
+        )
 
     def _read(self, part: str) -> DataFrame | None:
         try:
@@ -146,46 +150,88 @@ class TrackingTable:
                 return None
             raise
 
-    def _compacted(self) -> tuple[DataFrame | None, int]:
-        base = self._read("compacted")
-        if base is None:
-            return None, -1
-        upto = base.agg(F.max("upto")).first()[0]
-        return (None, -1) if upto is None else (base.where(F.col("upto") == upto).drop("upto"), upto)
+    def _version(self) -> tuple[int, dict[str, int]]:
+        """Newest compacted version and the last batch of each writer in it."""
+        covered = self._read("covered")
+        rows = [] if covered is None else covered.orderBy("version").collect()
+        newest = max((r["version"] for r in rows), default=-1)
+        return newest, {r["writer"]: r["upto"] for r in rows if r["version"] == newest}
 
-    def _state(self, upto: int | None = None) -> DataFrame | None:
+    def _state(self, before: tuple[str, int] | None, only: DataFrame | None) -> DataFrame | None:
         """Compacted state merged with the batches after it.
 
         The compacted part has one row per key already, so only the recent rows
         are reduced, and it is merged with them like any small patch.
         """
-        base, done = self._compacted()
+        version, covered = self._version()
+        base = None if version < 0 else self.spark.read.parquet(
+            f"{self.root}/compacted/version={version}"
+        )
         recent = self._read("batches")
         if recent is not None:
-            wanted = F.col("batch") > done
-            if upto is not None:
-                wanted = wanted & (F.col("batch") <= upto)
-            recent = last_per_key(recent.where(wanted).drop("batch"), self.keys, self.seq)
+            # Tests on folder names only, so other batches are not even listed.
+            wanted = ~F.col("writer").isin(*covered)
+            for writer, upto in covered.items():
+                wanted = wanted | ((F.col("writer") == writer) & (F.col("batch") > upto))
+            if before is not None:
+                writer, batch_id = before
+                wanted = wanted & ((F.col("writer") != writer) | (F.col("batch") < batch_id))
+            recent = recent.where(wanted).drop("writer", "batch")
+        if only is not None:
+            base, recent = (
+                None if rows is None else rows.join(only, only.columns, "left_semi")
+                for rows in (base, recent)
+            )
+        if recent is not None:
+            recent = last_per_key(recent, self.keys, self.seq)
         if base is None or recent is None:
             return recent if base is None else base
         return merge_newer(base, recent, self.keys, self.seq)
 
-    def current(self) -> DataFrame:
-        """The last row of every key, the greatest ``seq`` winning."""
-        rows = self._state()
-        if rows is None:
+    def current(
+        self,
+        before: tuple[str, int] | None = None,
+        only: DataFrame | None = None,
+        schema: str | None = None,
+    ) -> DataFrame:
+        """The last row of every key, the greatest ``seq`` winning.
+
+        ``before`` (writer, batch) leaves out that batch of a writer and its later
+        ones.  ``only`` holds distinct values of some key columns and limits the
+        table to them before anything is reduced.  With a ``schema`` a table that
+        was never written is empty.
+        """
+        rows = self._state(before, only)
+        if rows is not None:
+            return rows
+        if schema is None:
             raise ValueError(f"nothing written to {self.root} yet")
-        return rows
-
-    def compact(self, upto: int) -> None:
-        """Write the current state as of a batch that has been written."""
-        _, done = self._compacted()
-        if upto > done:
-            self._state(upto).write.mode("overwrite").parquet(
-                f"{self.root}/compacted/upto={int(upto)}"
-            )
+        return self.spark.createDataFrame([], schema)
 
+    def compact(self) -> None:
+        """Fold all batches written so far into a new version.
 
-def write_tracking(rows: DataFrame, root: str, keys: list[str], batch_id: int, seq: str = "seq") -> None:
+        Call it between batches.  The version counts once its list of covered
+        batches is there, so a compaction that fails half-way is not seen.
+        """
+        batches = self._read("batches")
+        if batches is None:
+            return
+        version, _ = self._version()
+        # Folder names only: one row per writer.
+        upto = batches.groupBy("writer").agg(F.max("batch").cast("long").alias("upto")).collect()
+        self._state(None, None).write.mode("overwrite").parquet(
+            f"{self.root}/compacted/version={version + 1}"
+        )
+        covered = self.spark.createDataFrame(
+            [(version + 1, r["writer"], r["upto"]) for r in upto],
+            "version LONG, writer STRING, upto LONG",
+        )
+        covered.coalesce(1).write.mode("append").parquet(f"{self.root}/covered")
+
+
+def write_tracking(
+    rows: DataFrame, root: str, keys: list[str], batch_id: int, seq: str = "seq"
+) -> None:
     """Save rows by key, the newest replacing older ones."""
     TrackingTable(rows.sparkSession, root, keys, seq).append(rows, batch_id)

@@ -147,10 +147,18 @@ def test_tracking_table(spark, tmp_path):
     table.append(rows(("a", 5, "a5")), 1)  # a replayed batch
     table.append(rows(("a", 3, "late"), ("c", 6, "c6")), 2)
     assert state() == {"a": "a5", "b": "b2", "c": "c6"}
-    table.compact(upto=1)
+    table.compact()
     assert state() == {"a": "a5", "b": "b2", "c": "c6"}
-    table.compact(upto=2)
-    table.compact(upto=1)  # already covered
     table.append(rows(("b", 9, "b9")), 3)
-    assert state() == {"a": "a5", "b": "b9", "c": "c6"}
-    assert W.TrackingTable(spark, str(tmp_path / "t"), ["id"]).current().count() == 3
+    table.append(rows(("a", 8, "a8"), ("c", 1, "old")), 0, writer="other")
+    assert state() == {"a": "a8", "b": "b9", "c": "c6"}
+    earlier = table.current(before=("main", 3))
+    assert {r.id: r.v for r in earlier.collect()} == {"a": "a8", "b": "b2", "c": "c6"}
+    table.compact()
+    assert state() == {"a": "a8", "b": "b9", "c": "c6"}
+    only = spark.createDataFrame([("b",), ("nope",)], "id string")
+    again = W.TrackingTable(spark, str(tmp_path / "t"), ["id"])
+    assert [tuple(r) for r in again.current(only=only).select("id", "v").collect()] == [("b", "b9")]
+    assert again.current().count() == 3
+    empty = W.TrackingTable(spark, str(tmp_path / "none"), ["id"])
+    assert empty.current(schema="id string, seq long").count() == 0

@@ -1,8 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from labtables import schemas as S
 from labtables.operators.routing import Rule
+from labtables.plans.follow_projects import follow_projects
 from labtables.session import scratch_dir
 from labtables.sources.writers import TrackingTable
 from labtables.streaming import changes as C
@@ -117,3 +120,72 @@ def test_polling_trigger(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(got) == 1
+
+
+def project_doc(project, owner, sensitive, flowcells):
+    return json.dumps(
+        {
+            "_id": f"doc-{project}",
+            "project_id": project,
+            "project_name": project,
+            "details": {"library_construction_method": "10X", "sensitive_data": sensitive},
+            "order_details": {"owner": {"email": owner, "name": "O"}, "fields": {}},
+            "samples": {
+                name: {"details": {}, "library_prep": {"A": {"barcode": "b", "sequenced_fc": fcs}}}
+                for name, fcs in flowcells.items()
+            },
+        }
+    )
+
+
+def test_follow_projects_merges_with_what_is_tracked(spark, tmp_path):
+    projects = TrackingTable(spark, str(tmp_path / "projects"), ["project_id"])
+    samples = TrackingTable(spark, str(tmp_path / "samples"), ["project_id", "sample_id"])
+    feed, rules = tmp_path / "feed", [Rule("10X", "tenx")]
+
+    def catch_up():
+        follow_projects(
+            C.read_changes(spark, str(feed)), rules, ["project_id"], projects, samples, str(tmp_path / "cp")
+        ).awaitTermination()
+        return (
+            {r.project_id: r for r in projects.current().collect()},
+            {(r.project_id, r.sample_id): (r.flowcell, r.status) for r in samples.current().collect()},
+        )
+
+    add(
+        spark,
+        feed,
+        [
+            ("doc-p", 1, project_doc("p", "old@x", "yes", {"s1": ["20240101_a"], "s2": []})),
+            ("doc-q", 2, project_doc("q", "q@x", "no", {"s1": []})),
+            ("doc-r", 3, json.dumps({"_id": "doc-r", "project_name": "no id"})),
+        ],
+    )
+    tracked, rows = catch_up()
+    assert {p: (r.project_status, r.sensitive) for p, r in tracked.items()} == {"p": ("ongoing", True), "q": ("ongoing", False)}
+    assert rows == {("p", "s1"): ("20240101_a", "initialized"), ("p", "s2"): (None, "unsequenced"), ("q", "s1"): (None, "unsequenced")}
+
+    # Meanwhile others work on p and complete q; then both documents change.
+    done = projects.current().where("project_id = 'q'").withColumn("project_status", F.lit("completed"))
+    projects.append(done.withColumn("seq", F.lit(4).cast("long")), 0, writer="work")
+    moved = samples.current().where("project_id = 'p' AND sample_id = 's1'")
+    moved = moved.withColumn("status", F.lit("processing")).withColumn("job_id", F.lit("77"))
+    samples.append(moved.withColumn("seq", F.lit(5).cast("long")), 0, writer="work")
+    add(
+        spark,
+        feed,
+        [
+            ("doc-p", 7, project_doc("p", "new@x", "no", {"s1": ["20240101_a", "20240301_b"], "s3": ["231231_c"]})),
+            ("doc-q", 8, project_doc("q", "other@x", "yes", {"s1": ["20240101_a"]})),
+        ],
+    )
+    tracked, rows = catch_up()
+    p, q = tracked["p"], tracked["q"]
+    assert (p.project_status, p.sensitive, p.user_info["owner"]["email"]) == ("ongoing", False, "new@x")
+    assert (q.project_status, q.sensitive, q.user_info["owner"]["email"]) == ("completed", False, "q@x")
+    assert rows == {
+        ("p", "s1"): ("20240301_b", "processing"),
+        ("p", "s2"): (None, "unsequenced"),
+        ("p", "s3"): ("231231_c", "initialized"),
+        ("q", "s1"): (None, "unsequenced"),
+    }
