@@ -21,6 +21,7 @@ ONCE = (
     "flowcell_ready_stream",
     "latest_doc_stream",
     "routed_stream",
+    "project_stream",
     "status_stream",
     "dispatch",
     "write_stats_tsv",

@@ -11,8 +11,11 @@ from labtables.functions.status import rollup_status
 
 
 def status_flags(status: str = "status") -> list[Column]:
-    """The three roll-up flags, as aggregates of a project's samples."""
-    value = F.col(status)
+    """The three roll-up flags, as aggregates of a project's samples.
+
+    A missing status is in none of the classes.
+    """
+    value = F.coalesce(F.col(status), F.lit(""))
     return [
         F.bool_or(value.isin(*S.ROLLUP_ACTIVE)).alias("any_active"),
         F.bool_and(value.isin(*S.ROLLUP_FINISHED)).alias("all_finished"),

@@ -67,13 +67,17 @@ def flowcell_union(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new).distinct()
 
 
-def upsert_samples(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
+def upsert_samples(
+    base: DataFrame, patch: DataFrame, keys: list[str], now: ColumnOrName | None = None
+) -> DataFrame:
     """Add or update tracked samples.
 
     Known sample: status replaced, flowcells united, start and end replaced
     only where the patch gives one, everything else (job id too) kept.  New
-    sample: the patch with QC "", not delivered, and blanks for what it lacks.
+    sample: the patch with QC "", not delivered, started ``now`` unless the patch
+    says when, and blanks for what else it lacks.
     """
+    started = F.lit("") if now is None else as_col(now)
     changes = patch.select(
         *keys,
         F.col("status").alias("_status"),
@@ -88,8 +92,10 @@ def upsert_samples(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFr
         .withColumn("end_time", F.coalesce(blank_to_null("_end"), F.col("end_time")))
         .withColumn(
             "flowcells",
-            F.when(F.coalesce(F.size("_flowcells"), F.lit(0)) > 0, merge_flowcells("flowcells", "_flowcells"))
-            .otherwise(F.col("flowcells")),
+            F.when(
+                F.coalesce(F.size("_flowcells"), F.lit(0)) > 0,
+                merge_flowcells("flowcells", "_flowcells"),
+            ).otherwise(F.col("flowcells")),
         )
         .select(*base.columns)
     )
@@ -97,7 +103,7 @@ def upsert_samples(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFr
         *keys,
         F.coalesce("status", F.lit("pending")).alias("status"),
         null_to_blank("job_id").alias("job_id"),
-        null_to_blank("start_time").alias("start_time"),
+        F.coalesce(blank_to_null("start_time"), started).alias("start_time"),
         null_to_blank("end_time").alias("end_time"),
         merge_flowcells(F.lit(None).cast("array<string>"), "flowcells").alias("flowcells"),
         F.lit("").alias("qc"),
@@ -123,7 +129,9 @@ def merge_user_info(old: ColumnOrName, new: ColumnOrName) -> Column:
             F.map_zip_with(
                 left,
                 right,
-                lambda key, a, b: F.when(F.map_contains_key(right, key), null_to_blank(b)).otherwise(a),
+                lambda key, a, b: F.when(
+                    F.map_contains_key(right, key), null_to_blank(b)
+                ).otherwise(a),
             )
         )
 

@@ -9,7 +9,6 @@ from labtables.functions import plates as wells
 from labtables.operators import plate as P
 from labtables.plans.bindings._registry import query, table
 from labtables.plans.plate_report import PlateInputs, overview, plate_stats
-from labtables.sources.dimensions import dimension
 from labtables.sources.readers import explode_counts
 
 EVENT_TYPES = {name: f"n_{name}" for name in ("click", "view", "purchase", "error", "signup")}

@@ -7,6 +7,7 @@ import __spark_entry__ as driver
 QUERIES = driver.queries()
 WRITES = {
     "flowcell_ready_stream", "latest_doc_stream", "routed_stream", "status_stream", "dispatch",
+    "project_stream",
     "write_stats_tsv", "write_barcode_list", "write_libraries", "write_multi_sheet",
     "write_tracking", "read_long_stats",
 }

@@ -6,21 +6,21 @@ from labtables.sources.dimensions import dimension
 from labtables.streaming.dispatch import Realms
 
 RULES = [
-    R.Rule("10X", "tenx"),
-    R.Rule("Smart-seq3", "smart"),
+    R.Rule("10X", "droplet"),
+    R.Rule("Plate-3", "plate"),
     R.Rule("MARS", "mars", prefix=True),
-    R.Rule("Smart", "first", prefix=True),
-    R.Rule("SmartSeq", "second", prefix=True),
+    R.Rule("Plate", "first", prefix=True),
+    R.Rule("PlateDrop", "second", prefix=True),
 ]
 
 CASES = {
-    "10X": "tenx",
+    "10X": "droplet",
     "10X 3GEX": None,  # no prefix flag
-    "Smart-seq3": "smart",  # exact wins over the prefix
+    "Plate-3": "plate",  # exact wins over the prefix
     "MARS-seq": "mars",
     "mars-seq": None,
     " MARS-seq": None,
-    "SmartSeq_new": "first",  # first prefix in order
+    "PlateDrop_new": "first",  # first prefix in order
     "Unknown": None,
     "": None,
     None: None,

@@ -27,6 +27,8 @@ def rollup(spark, statuses, word="completed"):
         (["completed", "failed"], "partially_completed"),
         (["completed", "pending"], "partially_completed"),
         (["running"], "partially_completed"),
+        ([None], "partially_completed"),
+        (["completed", None], "partially_completed"),
         ([], "completed"),
     ],
 )

@@ -47,11 +47,11 @@ def test_follow_routed_keeps_rejects(spark, tmp_path):
     )
     routed = TrackingTable(spark, str(tmp_path / "routed"), ["doc_id"])
     rejects = TrackingTable(spark, str(tmp_path / "rejects"), ["doc_id"])
-    rules = [Rule("10X", "tenx"), Rule("MARS", "mars", prefix=True)]
+    rules = [Rule("10X", "droplet"), Rule("MARS", "mars", prefix=True)]
     C.follow_routed(
         C.read_changes(spark, str(feed)), rules, "$.details.m", routed, rejects, str(tmp_path / "cp")
     ).awaitTermination()
-    assert {r.doc_id: r.target for r in routed.current().collect()} == {"a": "tenx", "b": "mars"}
+    assert {r.doc_id: r.target for r in routed.current().collect()} == {"a": "droplet", "b": "mars"}
     assert {r.doc_id for r in rejects.current().collect()} == {"c", "d"}
 
 
@@ -141,7 +141,7 @@ def project_doc(project, owner, sensitive, flowcells):
 def test_follow_projects_merges_with_what_is_tracked(spark, tmp_path):
     projects = TrackingTable(spark, str(tmp_path / "projects"), ["project_id"])
     samples = TrackingTable(spark, str(tmp_path / "samples"), ["project_id", "sample_id"])
-    feed, rules = tmp_path / "feed", [Rule("10X", "tenx")]
+    feed, rules = tmp_path / "feed", [Rule("10X", "droplet")]
 
     def catch_up():
         follow_projects(

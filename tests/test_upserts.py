@@ -29,7 +29,7 @@ def test_upsert_samples(spark):
         ],
         PATCH,
     )
-    out = {(r.project_id, r.sample_id): r for r in U.upsert_samples(base, patch, KEYS).collect()}
+    out = {(r.project_id, r.sample_id): r for r in U.upsert_samples(base, patch, KEYS, F.lit("now")).collect()}
     assert len(out) == 4
     known = out["p", "s1"]
     assert (known.status, known.job_id, known.start_time, known.end_time) == ("completed", "1", "t0", "t9")
@@ -39,6 +39,7 @@ def test_upsert_samples(spark):
     assert out["q", "s1"].start_time == "t5" and out["q", "s1"].flowcells is None
     new = out["p", "s3"]
     assert (new.status, new.job_id, new.qc, new.delivered, new.end_time) == ("initialized", "", "", False, "")
+    assert new.start_time == "now"
 
 
 def test_upsert_docs_replaces_whole_rows(spark):
