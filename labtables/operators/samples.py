@@ -45,11 +45,13 @@ def latest_flowcell(
 
     Undated flowcells do not count; keys with none are absent.
     """
-    # Smallest (days before the far future, ordinal) = latest date, then first.
+    # The smallest (negated day, ordinal) is the latest date, and its first row.
+    # A null order is ignored, so the date is worked out once and not filtered on.
     age = -F.unix_date(flowcell_date(flowcell))
-    dated = flowcells.withColumn("_age", age).where("_age IS NOT NULL")
-    best = F.min_by(flowcell, F.struct("_age", ordinal)).alias("latest_flowcell")
-    return dated.groupBy(*keys).agg(best)
+    aged = flowcells.withColumn("_age", age)
+    order = F.when(F.col("_age").isNotNull(), F.struct("_age", ordinal))
+    best = F.min_by(flowcell, order).alias("latest_flowcell")
+    return aged.groupBy(*keys).agg(best).where("latest_flowcell IS NOT NULL")
 
 
 def latest_flowcell_of_map(library_prep: ColumnOrName) -> Column:

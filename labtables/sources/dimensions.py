@@ -17,7 +17,7 @@ def dimension(spark: SparkSession, ddl: str, rows: Iterable[tuple]) -> DataFrame
     when that size is under the session's threshold and shuffled beyond it,
     without a hint.
     """
-    schema = T._parse_datatype_string(ddl)
+    schema = T.StructType.fromDDL(ddl)
     names = [f.name for f in schema]
     records = [dict(zip(names, row, strict=True)) for row in rows]
     table = pa.Table.from_pylist(records, schema=to_arrow_schema(schema))

@@ -66,7 +66,7 @@ def read_long_stats(
     empty file has no rows, so its plate is missing from the stats and drops out
     when joined.
     """
-    schema = T._parse_datatype_string(S.LONG_STATS[kind])
+    schema = T.StructType.fromDDL(S.LONG_STATS[kind])
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     plate = path_part(F.col("_metadata.file_path"), plate_level).alias("plate")
     values = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema]
