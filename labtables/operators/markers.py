@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtables.functions._cols import presence_mask
 
+# The few Python functions that run in tasks travel with them, so executors need
+# no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def markers_equal(seen_mask: Column, required: list[str]) -> Column:
     """All required names seen (only required names have a bit)."""
