@@ -4,8 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as driver
-
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+from labtables.plans.bindings import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +14,8 @@ def con(sf_dir):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= driver.queries().items()
+    assert ORACLES.items() <= driver.oracle_sql().items()
 
 
 def test_entry_has_rows_and_a_stable_schema(spark):
