@@ -8,7 +8,8 @@ the context, and what stands next to it.  Expectation-maximisation over the coun
 patterns estimates how reliable each labeler is for each kind (they have no truth to compare
 with); the probabilities it gives the candidates train the final classifier, a naive Bayes model
 over features of the span that the labelers don't see alone.  Candidates that it gives at least
-ACCEPT, and that overlap no base span, are added.
+ACCEPT, and that overlap no base span, are added; a base match that fails its check is a
+counterexample to learn from and never added.
 
 Extraction is row by row, with one array of candidates per document and no shuffle; that table is
 written to the shared scratch folder.  Only counts of vote patterns (3^labelers per kind at most)
@@ -83,22 +84,33 @@ OTHER_CUES = r"(?i)\b(?:version|isbn|issn|order|invoice|serial|section|figure|id
 LABELERS = ("pattern", "gazetteer", "context", "neighbours")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _matches(text: Column, pattern: str, sign: str) -> Column:
     """array<struct<gap, hit, after>>, empty where the sign is missing."""
     test = F.contains(text, F.lit(sign)) if len(sign) == 1 else text.rlike(sign)
-    gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = F.transform(
-        hits,
-        lambda hit, i: F.struct(
-            F.get(gaps, i).alias("gap"), hit.alias("hit"), F.get(gaps, i + 1).alias("after")
+    found = _let(
+        F.split(text, pattern, -1),
+        lambda gaps: F.transform(
+            hits,
+            lambda hit, i: F.struct(
+                F.get(gaps, i).alias("gap"), hit.alias("hit"), F.get(gaps, i + 1).alias("after")
+            ),
         ),
     )
     return F.when(test, found).otherwise(F.array().cast("array<struct<gap:string,hit:string,after:string>>"))
 
 
-def _placed(found: Column) -> Column:
+def _placed(matches: Column) -> Column:
     """Adds where each match starts and stops, in code points."""
+    return _let(matches, _placed_once)
+
+
+def _placed_once(found: Column) -> Column:
     item = "struct<start:long,stop:long,hit:string,before:string,after:string>"
 
     def long(x: Column) -> Column:
@@ -184,7 +196,10 @@ def _judged(kind: str, placed: Column, wide: bool) -> Column:
             features.alias("features"),
         )
 
-    return F.transform(placed, one)
+    # Digit runs too short for their kind are no candidates.
+    least = {"card": 12, "phone": 7}.get(kind, 0)
+    long = F.filter(placed, lambda c: F.length(F.regexp_replace(c["hit"], "[^0-9]", "")) >= least)
+    return F.transform(long if least else placed, one)
 
 
 def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -335,7 +350,7 @@ def find(docs: DataFrame, carry: bool = False) -> DataFrame:
         .withColumn(
             "likely",
             F.transform(
-                F.filter("found", lambda c: ~c["base"] & (probability(c) >= ACCEPT)), span
+                F.filter("found", lambda c: (c["votes"][0] == 0) & (probability(c) >= ACCEPT)), span
             ),
         )
         .withColumn(
@@ -406,10 +421,11 @@ def redact(docs: DataFrame) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     """Counts per kind and the spans as text."""
     everything = F.array_sort(F.concat("base", "added"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for k, kind in enumerate(KINDS)
-    ]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,

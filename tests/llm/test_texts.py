@@ -275,7 +275,7 @@ def test_fingerprints(both):
         same = next((i for i in range(min(len(text), len(new))) if text[i] != new[i]), min(len(text), len(new)))
         assert by_id[doc]["kept_chars"] == same
         assert 0 <= by_id[doc]["near_next"] <= 1
-        if len(text) > 200 and text != once[after]:
+        if len(text) > 200 and by_id[doc]["near_next"] < 0.3:  # not near copies themselves
             assert by_id[doc]["near_edited"] > by_id[doc]["near_next"]
     prints = {}
     for r in found:
