@@ -55,12 +55,26 @@ def presence_mask(value: ColumnOrName, vocabulary: list[str]) -> Column:
     aggregation, needs no per-group list, and its size never grows with the
     group.
     """
+    vocabulary = list(dict.fromkeys(vocabulary))
     if len(vocabulary) > 62:
         raise ValueError("a presence mask holds at most 62 words")
     bits = {word: F.lit(1 << i).cast("long") for i, word in enumerate(vocabulary)}
     return case_lookup(value, bits, F.lit(0).cast("long"))
 
 
+def seen_words(value: ColumnOrName, vocabulary: list[str]) -> Column:
+    """Aggregate: the words of a vocabulary of any length that occur, in its order.
+
+    Up to 62 words it is one number; beyond, a set that the vocabulary bounds.
+    """
+    vocabulary = list(dict.fromkeys(vocabulary))
+    if len(vocabulary) <= 62:
+        return mask_words(F.bit_or(presence_mask(value, vocabulary)), vocabulary)
+    value = as_col(value)
+    found = F.collect_set(F.when(value.isin(*vocabulary), value))
+    return F.array_intersect(F.array(*[F.lit(word) for word in vocabulary]), found)
+
+
 def mask_words(mask: ColumnOrName, vocabulary: list[str]) -> Column:
     """The words whose bits are set, as an array in vocabulary order."""
     mask = as_col(mask)

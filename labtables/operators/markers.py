@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtables.functions._cols import presence_mask
+from labtables.functions._cols import presence_mask, seen_words
 
 # The few Python functions that run in tasks travel with them, so executors need
 # no copy of this package.
@@ -29,8 +29,8 @@ def complete_folders(
     return (
         files.where(F.col(file).isin(*required))
         .groupBy(*keys)
-        .agg(F.bit_or(presence_mask(file, required)).alias("_seen"))
-        .where(markers_equal(F.col("_seen"), required))
+        .agg(F.size(seen_words(file, required)).alias("_seen"))
+        .where(F.col("_seen") == len(set(required)))
         .select(*keys)
     )
 

@@ -11,6 +11,7 @@ from labtables.functions._cols import (
     blank_to_null,
     mask_words,
     presence_mask,
+    seen_words,
 )
 from labtables.functions.text import flowcell_date
 
@@ -126,19 +127,21 @@ def reference_conflicts(
     """Run samples with their reference state.
 
     A run sample fails when any member has no reference, or when one reference
-    key resolves to more than one path.  ``ref_keys`` are all reference keys
-    there are.  Members are first reduced to distinct (run sample, key, path)
-    rows, few per sample; a sample then has a conflict when it has more such
-    rows than keys.
+    key resolves to more than one path, whether or not the key is one of
+    ``ref_keys`` (the keys known beforehand).  Members are first reduced to
+    distinct (run sample, key, path) rows, few per sample, then to one row per
+    key with its number of paths.
     """
     found = F.col(path).isNotNull()
     references = members.select(*keys, ref_key, path).distinct()
-    mask = F.bit_or(F.when(found, presence_mask(ref_key, ref_keys)))
+    each = references.groupBy(*keys, ref_key).agg(
+        F.count_if(found).alias("_paths"), F.bool_or(~found).alias("_missing")
+    )
     return (
-        references.groupBy(*keys)
+        each.groupBy(*keys)
         .agg(
-            (F.count_if(found) > F.coalesce(F.bit_count(mask), F.lit(0))).alias("conflict"),
-            F.bool_or(~found).alias("missing_reference"),
+            F.coalesce(F.bool_or(F.col("_paths") > 1), F.lit(False)).alias("conflict"),
+            F.bool_or("_missing").alias("missing_reference"),
         )
         .withColumn("failed", F.col("conflict") | F.col("missing_reference"))
     )
@@ -178,18 +181,17 @@ def missing_outputs(
 ) -> DataFrame:
     """Which expected files each sample lacks, and whether it has them all.
 
-    The files found are one bit each, so the inventory is reduced to one number
-    per sample before the join, and nothing is expanded to samples x files.
+    The files found are reduced to one small set per sample before the join, and
+    nothing is expanded to samples x files.
     """
-    found = existing.groupBy(*keys).agg(F.bit_or(presence_mask(file, expected)).alias("_found"))
-    everything = (1 << len(expected)) - 1
-    lacking = F.lit(everything).cast("long").bitwiseAND(
-        F.bitwise_not(F.coalesce("_found", F.lit(0).cast("long")))
-    )
+    expected = list(dict.fromkeys(expected))
+    found = existing.groupBy(*keys).agg(seen_words(file, expected).alias("_found"))
+    every = F.array(*[F.lit(name) for name in expected]).cast("array<string>")
+    lacking = F.array_except(every, F.coalesce("_found", F.array().cast("array<string>")))
     return (
         samples.join(found, keys, "left")
-        .withColumn("missing", F.array_join(mask_words(lacking, expected), ","))
-        .withColumn("valid", lacking == 0)
+        .withColumn("missing", F.array_join(lacking, ","))
+        .withColumn("valid", F.size(lacking) == 0)
         .drop("_found")
     )
 

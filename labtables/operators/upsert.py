@@ -197,9 +197,15 @@ def update_field(
 
 
 def rejected_patches(
-    samples: DataFrame, patches: DataFrame, keys: list[str]
+    samples: DataFrame, patches: DataFrame, keys: list[str], fields: list[str] | None = None
 ) -> DataFrame:
-    """Patches for samples that do not exist, and blank statuses."""
+    """Patches for samples that do not exist, blank statuses, and patches of other fields.
+
+    ``fields`` are those that ``update_field`` was given; without it any field will do.
+    """
     known = samples.select(*keys, F.lit(True).alias("_known"))
     blank = (F.col("field") == "status") & (null_to_blank("value") == "")
-    return patches.join(known, keys, "left").where(F.col("_known").isNull() | blank).drop("_known")
+    refused = F.col("_known").isNull() | F.coalesce(blank, F.lit(False))
+    if fields is not None:
+        refused = refused | ~F.coalesce(F.col("field").isin(*fields), F.lit(False))
+    return patches.join(known, keys, "left").where(refused).drop("_known")

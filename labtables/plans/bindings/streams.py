@@ -101,8 +101,9 @@ def flowcell_ready_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS seq, arg_max(event_type, event_id) AS method
-    FROM events WHERE event_type <> 'signup' GROUP BY user_id
+    SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS seq,
+        arg_max(event_type, event_id) AS method FROM events GROUP BY user_id)
+    WHERE method <> 'signup'
     """
 )
 def latest_doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +111,7 @@ def latest_doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = TrackingTable(spark, f"{root}/docs", ["doc_id"])
     feed = _feed(_event_stream(spark, sf_dir))
     C.follow_documents(feed, docs, f"{root}/checkpoint").awaitTermination()
-    return docs.current().select(
+    return docs.current().where("body IS NOT NULL").select(
         "doc_id", "seq", F.get_json_object("body", "$.method").alias("method")
     )
 
@@ -130,8 +131,9 @@ def _routed(spark: SparkSession, sf_dir: str) -> tuple[TrackingTable, TrackingTa
 
 
 LAST_SQL = """
-    SELECT CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS seq, arg_max(event_type, event_id) AS method
-    FROM events WHERE event_type <> 'signup' GROUP BY user_id
+    SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS seq,
+        arg_max(event_type, event_id) AS method FROM events GROUP BY user_id)
+    WHERE method <> 'signup'
 """
 
 

@@ -268,4 +268,4 @@ def update_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rejected_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"))
-    return U.rejected_patches(samples, _patches(spark, sf_dir), ["sample_id"])
+    return U.rejected_patches(samples, _patches(spark, sf_dir), ["sample_id"], ["status", "qc"])

@@ -18,7 +18,8 @@ class PlateInputs:
 
     ``plates`` (plate, barcode_set), ``lookup`` the barcode dimension, ``reads``
     and ``genes`` long (barcode, n, type), ``umi`` one row per barcode,
-    ``cells`` all cells of the matrix and ``counts`` its long form.
+    ``cells`` all cells of the matrix and ``counts`` its long form.  ``failed``
+    (plate) are the plates with unusable files, as the readers return them.
     """
 
     plates: DataFrame
@@ -28,11 +29,28 @@ class PlateInputs:
     umi: DataFrame
     cells: DataFrame
     counts: DataFrame
+    failed: DataFrame | None = None
+
+
+def failed_plates(inputs: PlateInputs) -> DataFrame:
+    """Plates that get no report: with unusable files, or without rows of some kind."""
+    plates = inputs.plates.select("plate").distinct()
+    missing = [
+        plates.join(kind.select("plate").distinct(), "plate", "left_anti")
+        for kind in (inputs.reads, inputs.genes, inputs.umi)
+    ]
+    out = missing[0]
+    for more in [*missing[1:], *([inputs.failed.select("plate")] if inputs.failed else [])]:
+        out = out.union(more)
+    return out.distinct()
 
 
 def plate_stats(inputs: PlateInputs, gene_types: dict[str, str], reagent: str = "1.5") -> DataFrame:
-    """One row per well with all its statistics."""
-    wells = P.wells_for_plates(inputs.plates, inputs.lookup, reagent=reagent)
+    """One row per well with all its statistics; plates that failed to read have none."""
+    plates = inputs.plates
+    if inputs.failed is not None:
+        plates = plates.join(failed_plates(inputs), "plate", "left_anti")
+    wells = P.wells_for_plates(plates, inputs.lookup, reagent=reagent)
     reads = P.total_reads(inputs.reads.where(good_barcode("barcode")), KEYS, "n", "total_reads")
     genes = P.pivot_types(inputs.genes, KEYS, "type", "n", gene_types)
     stats = P.join_stats(wells, [reads, inputs.umi, genes], KEYS)

@@ -122,7 +122,7 @@ user_info MAP<STRING, STRUCT<email: STRING, name: STRING>>
 LONG_STATS = {
     "readspercell": "RG STRING, N BIGINT, type STRING",
     "genecounts": "SampleID STRING, Count BIGINT, type STRING",
-    "bc_umi_stats": "XC STRING, nNontagged BIGINT, nUMItag BIGINT",
+    "bc_umi_stats": "XC STRING, nUMItag BIGINT, nNontagged BIGINT",
 }
 
 BARCODE_LOOKUP = "BCset STRING, WellID STRING, XC STRING, XC_NovaSeq STRING"

@@ -54,9 +54,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
     On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``,
     so that any executor can read what another one wrote.  Only where that
-    setting is absent (tests, one machine) a local temporary folder is used.
+    setting is absent and everything runs in one process (tests, one machine) a
+    local temporary folder is used; on a cluster its absence is an error, as
+    executors would write where the others cannot read.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/labtables/{label}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{tempfile.mkdtemp(prefix='labtables-')}/{label}"

@@ -38,6 +38,20 @@ def read_docs(spark: SparkSession, path: str, schema: str = S.PROJECT_DOC) -> Da
     return parse_docs(raw, schema)
 
 
+def malformed_docs(docs: DataFrame, body: str = "body") -> DataFrame:
+    """Documents whose text is no JSON object: a table of rejects."""
+    return docs.where(_malformed(body))
+
+
+def well_formed_docs(docs: DataFrame, body: str = "body") -> DataFrame:
+    return docs.where(~_malformed(body))
+
+
+def _malformed(body: str) -> Column:
+    kind = F.schema_of_variant(F.try_parse_json(body))
+    return ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
+
+
 def lookup_doc(docs: DataFrame, doc_id: str | int, key: str = "doc_id") -> DataFrame:
     """One document by id; the filter reaches the scan."""
     return docs.where(F.col(key) == F.lit(doc_id))
@@ -56,32 +70,80 @@ def path_part(path: Column, from_end: int) -> Column:
     return F.try_element_at(F.split(path, "/"), F.lit(-from_end))
 
 
+def _lines_by_name(
+    spark: SparkSession, path: str, names: list[str], sep: str, *keep: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Delimited files read by the names in each file's own header.
+
+    Returns (kept columns, named columns as text), a row per data line, and the
+    kept columns of the files that are empty or whose header lacks a name.
+    Columns in any order and further ones do no harm.  A file (one plate's
+    statistics, or a lookup) is read whole, so its header is known to its lines.
+    """
+    kept = [f"_k{i}" for i in range(len(keep))]
+    unquoted = r'^"|"$'
+    files = spark.read.text(path, wholetext=True).select(
+        *[column.alias(name) for column, name in zip(keep, kept, strict=True)],
+        F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "").alias("_lines"),
+    )
+    header = F.transform(
+        F.split(F.coalesce(F.get("_lines", F.lit(0)), F.lit("")), sep),
+        lambda name: F.regexp_replace(F.trim(name), unquoted, ""),
+    )
+    files = files.withColumn("_header", header)
+    fine = F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains("_header", n))
+    unusable = files.where(~fine | (F.size("_lines") < 2)).select(*kept)
+    lines = files.where(fine).select(
+        *kept, "_header", F.explode(F.slice("_lines", 2, F.size("_lines"))).alias("_line")
+    )
+    cells = F.split("_line", sep)
+    values = [
+        F.nullif(
+            F.regexp_replace(
+                F.get(cells, (F.array_position("_header", n) - 1).cast("int")), unquoted, ""
+            ),
+            F.lit(""),
+        ).alias(n)
+        for n in names
+    ]
+    return lines.select(*kept, *values), unusable
+
+
 def read_long_stats(
     spark: SparkSession, path: str, kind: str, plate_level: int = 2
 ) -> tuple[DataFrame, DataFrame]:
     """Tab-separated stats files of one kind, and the plates that must fail.
 
-    The plate is a folder of the file's path, ``plate_level`` from the end.  A
-    plate fails when any line has no barcode or text where a number belongs.  An
-    empty file has no rows, so its plate is missing from the stats and drops out
-    when joined.
+    Columns are found by the names in each file's header.  The plate is a folder
+    of the file's path, ``plate_level`` from the end.  A plate fails when a file
+    of it has no data line or lacks a column, or when any line has no barcode or
+    text where a number belongs; its other lines are left out.  Spark skips files
+    of no bytes: ``plate_report.failed_plates`` finds plates without any rows.
     """
     schema = T.StructType.fromDDL(S.LONG_STATS[kind])
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    plate = path_part(F.col("_metadata.file_path"), plate_level).alias("plate")
+    plate = path_part(F.col("_metadata.file_path"), plate_level)
+    lines, unusable = _lines_by_name(spark, path, schema.names, "\t", plate)
     values = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema]
     bad = F.col(schema[0].name).isNull()
     for f in schema:
         bad = bad | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
-    lines = spark.read.schema(as_text).options(sep="\t", header=True).csv(path)
-    rows = lines.select(plate, *values, bad.alias("_bad"))
-    failed = rows.where("_bad").select("plate").distinct()
+    rows = lines.select(F.col("_k0").alias("plate"), *values, bad.alias("_bad"))
+    failed = rows.where("_bad").select("plate").union(unusable).distinct()
     stats = rows.where("NOT _bad").drop("_bad").join(failed, "plate", "left_anti")
     return stats, failed
 
 
 def read_barcode_lookup(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.BARCODE_LOOKUP).options(header=True).csv(path)
+    """The barcode dimension from comma-separated files, columns found by name.
+
+    A file that lacks a column is an error: there is no plate to fail for it.
+    """
+    schema = T.StructType.fromDDL(S.BARCODE_LOOKUP)
+    lines, unusable = _lines_by_name(spark, path, schema.names, ",", F.col("_metadata.file_path"))
+    broken = [row[0] for row in unusable.limit(5).collect()]
+    if broken:
+        raise ValueError(f"lookup files without the columns {schema.names}: {broken}")
+    return lines.select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
 def read_count_matrix(spark: SparkSession, path: str) -> DataFrame:

@@ -52,25 +52,30 @@ def run(
 
 
 def latest_changes(changes: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
-    """Each changed document once, as it is after its last change; null bodies dropped."""
-    return (
-        changes.where("body IS NOT NULL")
-        .groupBy(key)
-        .agg(F.max_by("body", seq).alias("body"), F.max(seq).alias(seq))
-    )
+    """Each changed document once, as it is after its last change.
+
+    A document whose last change deleted it (null body) is not handed on, whatever
+    it was before.
+    """
+    return _last_changes(changes, key, seq).where("body IS NOT NULL")
+
+
+def _last_changes(changes: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
+    return changes.groupBy(key).agg(F.max_by("body", seq).alias("body"), F.max(seq).alias(seq))
 
 
 def follow_documents(
     changes: DataFrame, table: TrackingTable, checkpoint: str, poll_seconds: int | None = None
 ) -> StreamingQuery:
-    """Keep ``table`` at the latest document per id.
+    """Keep ``table`` at the latest document per id; a deleted one stays with a null body,
+    so that an older version of it does not come back.
 
     At least once with an idempotent write: a replayed batch rewrites its own
     folder.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        table.append(latest_changes(batch), batch_id)
+        table.append(_last_changes(batch), batch_id)
 
     return run(changes, save, checkpoint, poll_seconds)
 

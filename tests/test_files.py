@@ -1,6 +1,7 @@
 import json
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from labtables.sources import readers as R
@@ -38,13 +39,55 @@ def test_long_stats_fail_per_plate(spark, tmp_path):
     for plate, text in {
         "p1": "RG\tN\ttype\nAC\t5\texon\nbad\t7\texon\n",
         "p2": "RG\tN\ttype\nAC\tnot a number\texon\nAG\t1\texon\n",
-        "p3": "",
+        "p3": "RG\tN\ttype\n",
     }.items():
         (tmp_path / plate).mkdir()
         (tmp_path / plate / "readspercell.txt").write_text(text)
     stats, failed = R.read_long_stats(spark, f"{tmp_path}/*/*.txt", "readspercell")
     assert sorted(tuple(r) for r in stats.select("plate", "RG", "N").collect()) == [("p1", "AC", 5), ("p1", "bad", 7)]
-    assert [r.plate for r in failed.collect()] == ["p2"]
+    assert sorted(r.plate for r in failed.collect()) == ["p2", "p3"]
+
+
+def test_long_stats_are_read_by_name(spark, tmp_path):
+    for plate, text in {
+        "p1": "extra\tnNontagged\tXC\tnUMItag\nz\t100\tAC\t5\n",
+        "p2": "XC\tnUMItag\tnNontagged\r\nAC\t6\t7\r\n",
+        "p3": "XC\tnUMItag\nAC\t6\n",
+    }.items():
+        (tmp_path / plate).mkdir()
+        (tmp_path / plate / "umi.txt").write_text(text)
+    stats, failed = R.read_long_stats(spark, f"{tmp_path}/*/*.txt", "bc_umi_stats")
+    rows = sorted(tuple(r) for r in stats.select("plate", "XC", "nUMItag", "nNontagged").collect())
+    assert rows == [("p1", "AC", 5, 100), ("p2", "AC", 6, 7)]
+    assert [r.plate for r in failed.collect()] == ["p3"]
+    (tmp_path / "swapped.csv").write_text("WellID,BCset,XC_NovaSeq,XC\nA1,1A,GT,AC\n")
+    lookup = R.read_barcode_lookup(spark, str(tmp_path / "swapped.csv"))
+    assert tuple(lookup.select("BCset", "WellID", "XC", "XC_NovaSeq").first()) == ("1A", "A1", "AC", "GT")
+
+
+def test_malformed_documents_are_kept_apart(spark):
+    docs = spark.createDataFrame(
+        [("a", '{"x": 1}'), ("b", "{broken"), ("c", None), ("d", "[1]")], "doc_id string, body string"
+    )
+    assert [r.doc_id for r in R.well_formed_docs(docs).collect()] == ["a"]
+    assert sorted(r.doc_id for r in R.malformed_docs(docs).collect()) == ["b", "c", "d"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from labtables.session import scratch_dir
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(Session, "x")
+    assert "/x" in scratch_dir(spark, "x")
 
 
 def test_lookup_files_and_logs(spark, tmp_path):

@@ -26,7 +26,7 @@ def test_follow_documents_resumes_after_the_last_change(spark, tmp_path):
 
     add(spark, feed, [("a", 1, "{}"), ("a", 3, '{"v":3}'), ("b", 2, None)])
     assert catch_up() == 3
-    assert {r.doc_id: r.body for r in docs.current().collect()} == {"a": '{"v":3}'}
+    assert {r.doc_id: r.body for r in docs.current().collect()} == {"a": '{"v":3}', "b": None}
     assert catch_up() == 0
     add(spark, feed, [("a", 2, '{"late":1}'), ("b", 4, '{"v":4}')])
     assert catch_up() == 2

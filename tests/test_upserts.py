@@ -175,3 +175,29 @@ def test_deliver_marks_and_counts(spark):
     assert entries == {"p": ("D1", 1), "q": ("DDS123", 0), "r": ("DDS123", 0)}
     now = D.delivered_now(samples, "project_id", "sample_id", "qc", "delivered").collect()
     assert [tuple(r) for r in now] == [("p", "1")]
+
+
+def test_references_outside_the_known_keys(spark):
+    df = spark.createDataFrame(
+        [("s1", "gex", "/a"), ("s1", "new", "/b"), ("s2", "new", "/a"), ("s2", "new", "/b")],
+        "s string, ref_key string, path string",
+    )
+    out = SM.reference_conflicts(df, ["s"], "ref_key", "path", ["gex"])
+    assert {r.s: r.conflict for r in out.collect()} == {"s1": False, "s2": True}
+
+
+def test_outputs_beyond_62_and_repeated_names(spark):
+    names = [f"f{k}" for k in range(70)]
+    samples = spark.createDataFrame([("s1",), ("s2",)], "s string")
+    files = spark.createDataFrame(
+        [("s1", n) for n in names] + [("s2", n) for n in names[:69]], "s string, file string"
+    )
+    out = SM.missing_outputs(samples, files, ["s"], "file", [*names, "f0"])
+    assert {r.s: (r.missing, r.valid) for r in out.collect()} == {"s1": ("", True), "s2": ("f69", False)}
+
+
+def test_marker_names_may_repeat(spark):
+    from labtables.operators.markers import complete_folders
+
+    files = spark.createDataFrame([("k", "a"), ("k", "b"), ("l", "a")], "k string, file string")
+    assert [r.k for r in complete_folders(files, ["k"], "file", ["a", "b", "a"]).collect()] == ["k"]
