@@ -21,9 +21,9 @@ from labtables.llm._common import per_worker
 
 #: Distinct pieces in each of the two halves of a worker's memory: when the young half is
 #: full it becomes the old one, and pieces met again move back, so frequent ones stay.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 #: Bytes of text that are cut at once (a longer single text is cut alone).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 # Kinds of bytes in UTF-8.  Of letters beyond ASCII only U+00C0 to U+027F count as such;
 # next to any other character no cut is made.
