@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtables.llm._common import letters_hash, parts_for, per_worker, texts
@@ -125,9 +125,10 @@ def _inverse_powers() -> Powers:
     return per_worker("inverse", lambda: Powers(pow(BASES[0], -1, MODULI[0]), MODULI[0]))
 
 
-def written(found: tuple[int, int, np.ndarray]) -> str:
+def written(found: tuple[int, int, np.ndarray]) -> tuple[str, bytes]:
+    """Length and whole hash as text, and the sketch's bytes; together the fingerprint."""
     n, whole, values = found
-    return f"{n:x}.{whole:016x}.{values.astype('>u4').tobytes().hex()}"
+    return f"{n:x}.{whole:016x}.", values.astype(">u4").tobytes()
 
 
 def likeness(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> float:
@@ -147,9 +148,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+# Sketches stay bytes, half of what their text takes, until the result is read.
 _RESULT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
-    " edited_fingerprint string, near_edited double, near_next double, kept_chars long"
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, sketch binary,"
+    " edited_fingerprint string, edited_sketch binary, near_edited double, near_next double,"
+    " kept_chars long"
 )
 _NAMES = [part.split()[0] for part in _RESULT.split(", ")]
 
@@ -163,8 +166,8 @@ def _row(doc: int | None, text: str, mine, following: str, theirs) -> tuple:
         doc,
         len(text),
         hashlib.sha256(new.encode()).hexdigest(),
-        written(mine),
-        written(changed),
+        *written(mine),
+        *written(changed),
         likeness(mine, changed),
         likeness(mine, theirs),
         kept,
@@ -198,12 +201,25 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     numbers = sorted(row[0] for row in edges.select("part").collect())
     following = dict(zip(numbers, numbers[1:] + numbers[:1], strict=True))
     if not following:
-        return done
+        return _as_text(done)
     after = F.create_map(*[F.lit(x) for pair in following.items() for x in pair])
     pairs = edges.select("doc_id", "last", after[F.col("part")].alias("next")).join(
         edges.select(F.col("part").alias("next"), "first"), "next"
     )
-    return done.unionByName(pairs.select("doc_id", "last", "first").mapInPandas(_ends, _RESULT))
+    ends = pairs.select("doc_id", "last", "first").mapInPandas(_ends, _RESULT)
+    return _as_text(done.unionByName(ends))
+
+
+def _as_text(found: DataFrame) -> DataFrame:
+    def whole(name: str, sketch: str) -> Column:
+        return F.concat(name, F.lower(F.hex(sketch)))
+
+    return found.withColumns(
+        {
+            "fingerprint": whole("fingerprint", "sketch"),
+            "edited_fingerprint": whole("edited_fingerprint", "edited_sketch"),
+        }
+    ).drop("sketch", "edited_sketch")
 
 
 def _doc(value: object) -> int | None:
