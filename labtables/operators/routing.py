@@ -11,14 +11,9 @@ from labtables.functions._cols import (
     ColumnOrName,
     as_col,
     case_lookup,
-    mask_words,
-    presence_mask,
+    seen_words,
 )
 
-# Above this many rules a CASE expression is worse than a join.
-MAX_INLINE_RULES = 200
-
-
 @dataclass(frozen=True)
 class Rule:
     """One registry entry; only entries marked ``prefix`` match by prefix."""
@@ -28,14 +23,17 @@ class Rule:
     prefix: bool = False
 
 
+#: Rules as a list become one CASE expression: no join, for short registries.  A table
+#: (``pos, key, target, is_prefix``) of any length is joined.  Both give the same.
+Rules = list[Rule] | DataFrame
+
+
 def route_target(method: ColumnOrName, rules: list[Rule]) -> Column:
     """Target of a method: its exact entry, else the first prefix entry.
 
     Case and spaces count.  The rules become one CASE expression, so routing
     needs neither a join nor a shuffle.
     """
-    if len(rules) > MAX_INLINE_RULES:
-        raise ValueError("too many rules to inline, use route_by_table")
     method = as_col(method)
     chain = None
     exact = [(method == F.lit(r.key), r.target) for r in rules]
@@ -46,15 +44,43 @@ def route_target(method: ColumnOrName, rules: list[Rule]) -> Column:
     return chain if chain is not None else F.lit(None).cast("string")
 
 
-def route(df: DataFrame, method: str, rules: list[Rule], out: str = "target") -> DataFrame:
-    """Rows with a target; rows of unknown methods are dropped."""
-    return df.withColumn(out, route_target(method, rules)).where(F.col(out).isNotNull())
+def with_target(df: DataFrame, method: str, rules: Rules, out: str = "target") -> DataFrame:
+    """All rows with their target; null for unknown methods.
 
+    For a table of rules each distinct method is expanded to its own prefixes, which
+    turns the prefix test into an equi-join.
+    """
+    if not isinstance(rules, DataFrame):
+        return df.withColumn(out, route_target(method, rules))
+    methods = df.select(F.col(method).alias("_method")).where("_method IS NOT NULL").distinct()
+    prefixes = methods.select(
+        "_method",
+        F.explode(F.sequence(F.lit(0), F.length("_method"))).alias("_length"),
+    ).withColumn("_key", F.left("_method", F.col("_length")))
+    exact = F.col("_rule.key") == F.col("_method")
+    best = (
+        prefixes.join(rules.select(F.struct("*").alias("_rule")), F.col("_key") == F.col("_rule.key"))
+        .where(exact | F.col("_rule.is_prefix"))
+        .groupBy("_method")
+        .agg(F.min_by("_rule.target", F.struct(~exact, F.col("_rule.pos"))).alias("_target"))
+    )
+    return (
+        df.join(best, F.col(method) == F.col("_method"), "left")
+        .withColumn(out, F.col("_target"))
+        .drop("_method", "_target")
+    )
 
-def unrouted(df: DataFrame, method: str, rules: list[Rule]) -> DataFrame:
+
+def route(df: DataFrame, method: str, rules: Rules, out: str = "target") -> DataFrame:
+    """Rows with a target; rows of unknown methods are dropped (see :func:`unrouted`)."""
+    return with_target(df, method, rules, out).where(F.col(out).isNotNull())
+
+
+def unrouted(df: DataFrame, method: str, rules: Rules) -> DataFrame:
     """Side output of :func:`route`: how many rows each unknown method has."""
     return (
-        df.where(route_target(method, rules).isNull())
+        with_target(df.select(method), method, rules, "_out")
+        .where("_out IS NULL")
         .groupBy(method)
         .agg(F.count("*").alias("n_rows"))
     )
@@ -63,24 +89,8 @@ def unrouted(df: DataFrame, method: str, rules: list[Rule]) -> DataFrame:
 def route_by_table(
     df: DataFrame, method: str, registry: DataFrame, out: str = "target"
 ) -> DataFrame:
-    """:func:`route` for a registry too long to inline.
-
-    ``registry`` has ``pos, key, target, is_prefix``.  Each distinct method is
-    expanded to its own prefixes, which turns the prefix test into an equi-join.
-    """
-    methods = df.select(F.col(method).alias("_method")).where("_method IS NOT NULL").distinct()
-    prefixes = methods.select(
-        "_method",
-        F.explode(F.sequence(F.lit(0), F.length("_method"))).alias("_length"),
-    ).withColumn("_key", F.left("_method", F.col("_length")))
-    exact = F.col("key") == F.col("_method")
-    best = (
-        prefixes.join(registry, F.col("_key") == F.col("key"))
-        .where(exact | F.col("is_prefix"))
-        .groupBy("_method")
-        .agg(F.min_by("target", F.struct(~exact, F.col("pos"))).alias(out))
-    )
-    return df.join(best, F.col(method) == F.col("_method")).drop("_method")
+    """:func:`route` by a table of rules."""
+    return route(df, method, registry, out)
 
 
 @dataclass(frozen=True)
@@ -95,16 +105,16 @@ class Decision:
 def feature_sets(
     members: DataFrame, keys: list[str], feature: str, decisions: list[Decision]
 ) -> DataFrame:
-    """The feature set of each group, as bits, in the decision table's vocabulary.
+    """The feature set of each group, in the order of the decision table's vocabulary.
 
     ``members`` has one row per member of a group.  A feature outside the
-    vocabulary is only noted, since such a group cannot match.  No list is
-    gathered, so a group may be of any size.
+    vocabulary is only noted, since such a group cannot match.  A set is no longer
+    than the vocabulary, so a group may be of any size.
     """
     vocabulary = _vocabulary(decisions)
     known = F.coalesce(F.col(feature).isin(*vocabulary), F.lit(False))
     return members.groupBy(*keys).agg(
-        F.bit_or(presence_mask(feature, vocabulary)).alias("feature_mask"),
+        seen_words(feature, vocabulary).alias("features"),
         F.bool_or(~known).alias("has_foreign_feature"),
     )
 
@@ -117,24 +127,22 @@ def match_decision_table(
     ``groups`` comes from :func:`feature_sets`, with the method added.  Nulls
     where nothing matches.
     """
-    vocabulary = _vocabulary(decisions)
-    bit = {word: 1 << i for i, word in enumerate(vocabulary)}
-    first: dict[tuple[str, int], Decision] = {}
+    first: dict[tuple[str, tuple[str, ...]], Decision] = {}
     for d in decisions:
-        first.setdefault((d.method, sum(bit[f] for f in set(d.features))), d)
+        first.setdefault((d.method, tuple(sorted(set(d.features)))), d)
     chosen = {name: F.lit(None) for name in outputs}
-    for (key, mask), d in first.items():
+    for (key, words), d in first.items():
+        wanted = F.array(*[F.lit(word) for word in words]).cast("array<string>")
         test = (
             (F.col(method) == F.lit(key))
-            & (F.col("feature_mask") == F.lit(mask).cast("long"))
+            & (F.col("features") == wanted)
             & ~F.col("has_foreign_feature")
         )
         for name in outputs:
             chosen[name] = F.when(test, F.lit(d.outputs.get(name))).otherwise(chosen[name])
-    features = F.array_join(mask_words("feature_mask", vocabulary), ",")
     return groups.select(
-        *[c for c in groups.columns if c not in ("feature_mask", "has_foreign_feature")],
-        features.alias("features"),
+        *[c for c in groups.columns if c not in ("features", "has_foreign_feature")],
+        F.array_join("features", ",").alias("features"),
         *[column.alias(name) for name, column in chosen.items()],
     )
 

@@ -9,8 +9,6 @@ from labtables.functions._cols import (
     ColumnOrName,
     as_col,
     blank_to_null,
-    mask_words,
-    presence_mask,
     seen_words,
 )
 from labtables.functions.text import flowcell_date
@@ -104,14 +102,12 @@ def group_by_origin(
     """Run samples: members, distinct features and flowcells per origin.
 
     ``members`` has one row per member and flowcell.  The features come from a
-    fixed vocabulary and are gathered as bits.  Members and flowcells have no
+    fixed vocabulary of any length.  Members and flowcells have no
     bound per group, so they stay rows of ``members``; here they are counted.
     """
     return members.groupBy(*keys).agg(
         F.count("*").alias("n_members"),
-        F.array_join(
-            mask_words(F.bit_or(presence_mask(feature, features)), features), ","
-        ).alias("features"),
+        F.array_join(seen_words(feature, features), ",").alias("features"),
         F.count_distinct(flowcell).alias("n_flowcells"),
     )
 

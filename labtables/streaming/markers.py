@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from labtables.operators.markers import chain, stretch_summaries
+from labtables.operators.markers import ENTRY, marker_number
+
+# The few Python functions that run in tasks travel with them, so executors need
+# no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Summary of a stretch as in ``labtables.operators.markers``: per marker that occurs,
+#: where it first does, and what is seen and how often it fired at the end, had it
+#: fired there.
+Summary = dict[int, list]
+
+
+def advance(summary: Summary, marker: int, seq: int, n_markers: int) -> None:
+    """Extend a summary by one marker file."""
+    for entry in summary.values():
+        entry[1].add(marker)
+        if len(entry[1]) == n_markers:
+            entry[1] = set()
+            entry[2] += 1
+    if marker not in summary:
+        summary[marker] = [seq, set(), 0]
+
+
+def chain(seen: set[int], summaries: Iterable[Summary], n_markers: int) -> tuple[set[int], int]:
+    """State and number of firings after some stretches, from a given state."""
+    total = 0
+    for summary in summaries:
+        new = [entry for marker, entry in summary.items() if marker not in seen]
+        if len(seen) + len(new) < n_markers:
+            seen = seen | set(summary)
+        else:
+            _, after, fired = max(new, key=lambda entry: entry[0])
+            seen, total = set(after), total + 1 + fired
+    return seen, total
 
 
 def flowcell_ready(
@@ -27,30 +63,74 @@ def flowcell_ready(
 
     The rows of a batch are first reduced to one summary per key and stretch of
     the log, in as many tasks as there are stretches; only summaries reach the
-    task that owns the key's state.  State travels with the rows here, which for
-    very many small keys is faster than one call per key to the state store.
+    task that owns the key's state.  A stream cannot aggregate before its state,
+    so this reduction is Python here and native in ``completions``.  Keys travel
+    as one JSON text, as pandas would change large numbers beside nulls.
     """
-    summaries = stretch_summaries(files, keys, file, required, seq, stretch_rows)
+    n_markers = len(set(required))
+    key_ddl = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    marked = files.select(
+        F.to_json(F.struct(*keys), exact).alias("_key"),
+        F.expr(f"`{seq}` div {int(stretch_rows)}").alias("stretch"),
+        F.col(seq).cast("long").alias("_seq"),
+        marker_number(file, required).alias("_marker"),
+    ).where("_marker IS NOT NULL")
+
+    def summarise(stretch: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_seq")
+        summaries: dict[str, Summary] = {}
+        for key, marker, at in zip(rows["_key"], rows["_marker"], rows["_seq"], strict=True):
+            advance(summaries.setdefault(key, {}), int(marker), int(at), n_markers)
+        return pd.DataFrame(
+            [
+                [
+                    key,
+                    stretch[0],
+                    [
+                        {"marker": m, "first": first, "seen": sorted(seen), "fired": fired}
+                        for m, (first, seen, fired) in summary.items()
+                    ],
+                ]
+                for key, summary in summaries.items()
+            ],
+            columns=["_key", "stretch", "entries"],
+        )
+
+    summaries = marked.groupBy("stretch").applyInPandas(
+        summarise, f"_key STRING, stretch BIGINT, entries ARRAY<{ENTRY}>"
+    )
 
     def track(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         stretches = [
-            row
-            for frame in frames
-            for row in zip(frame["stretch"], frame["ends"], frame["fired"], strict=True)
+            row for frame in frames for row in zip(frame["stretch"], frame["entries"], strict=True)
         ]
         stretches.sort(key=lambda row: row[0])
-        before = state.get[0] if state.exists else 0
-        after, fired = chain(before, ((ends, n) for _, ends, n in stretches))
+        before = set(state.get[0]) if state.exists else set()
+        after, fired = chain(
+            before,
+            (
+                {e["marker"]: [e["first"], set(e["seen"]), e["fired"]] for e in entries}
+                for _, entries in stretches
+            ),
+            n_markers,
+        )
         if after:
-            state.update((after,))
+            state.update((sorted(int(marker) for marker in after),))
         elif state.exists:
             state.remove()
         if fired:
-            yield pd.DataFrame([[*key, fired]], columns=[*keys, "n_events"])
+            yield pd.DataFrame({"_key": [key[0]], "n_events": [fired]})
 
-    key_ddl = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
-    return summaries.groupBy(*keys).applyInPandasWithState(
-        track, f"{key_ddl}, n_events BIGINT", "mask INT", "append", GroupStateTimeout.NoTimeout
+    fired = summaries.groupBy("_key").applyInPandasWithState(
+        track,
+        "_key STRING, n_events BIGINT",
+        "seen ARRAY<INT>",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+    return fired.select(F.from_json("_key", key_ddl, exact).alias("_key"), "n_events").select(
+        "_key.*", "n_events"
     )

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from labtables.operators import markers as M
-from labtables.streaming.markers import flowcell_ready
+from labtables.streaming.markers import advance, chain, flowcell_ready
 
 MARKERS = ["RTAComplete.txt", "CopyComplete.txt"]
 
@@ -29,11 +29,11 @@ def test_chained_summaries_equal_stepping(files, size):
     required = ["a", "b", "c"]
     stretches = []
     for start in range(0, len(files), size):
-        summary = M.fresh_summary(3)
-        for file in files[start : start + size]:
-            M.advance(summary, 1 << file)
+        summary = {}
+        for place, file in enumerate(files[start : start + size], start):
+            advance(summary, file, place, 3)
         stretches.append(summary)
-    _, fired = M.chain(0, stretches)
+    _, fired = chain(set(), stretches, 3)
     assert fired == watch([required[f] for f in files], required)
 
 
@@ -67,6 +67,20 @@ def test_completions(spark, stretch_rows):
     assert {(r.instrument, r.folder): r.n_events for r in found} == expected(rows)
 
 
+@pytest.mark.parametrize(("levels", "fan_in"), [(0, 2), (1, 3), (3, 2)])
+def test_many_markers_chained_in_levels(spark, levels, fan_in):
+    names = [f"m{i}" for i in range(70)]
+    rng = random.Random(levels)
+    rows = [(rng.choice([None, 2**53 + 1]), rng.choice([*names, "x"]), seq) for seq in range(3000)]
+    df = spark.createDataFrame(rows, "folder long, file string, seq long")
+    found = M.completions(df, ["folder"], "file", [*names, "m0"], "seq", 250, levels, fan_in).collect()
+    logs = {}
+    for folder, file, _ in rows:
+        logs.setdefault(folder, []).append(file)
+    assert {r.folder: r.n_events for r in found} == {k: watch(v, names) for k, v in logs.items()}
+    assert min(r.n_events for r in found) > 1
+
+
 def test_complete_folders(spark):
     rows = log(3, n=60)
     df = spark.createDataFrame(rows, SCHEMA)
@@ -95,3 +109,21 @@ def test_stream_over_batches_equals_batch(spark, tmp_path):
     out = spark.read.schema(events.schema).parquet(str(tmp_path / "out"))
     found = out.groupBy(*KEYS).agg(F.sum("n_events").alias("n")).collect()
     assert {(r.instrument, r.folder): r.n for r in found} == expected(rows)
+
+
+def test_stream_keeps_nulls_and_large_numbers_in_keys(spark, tmp_path):
+    rows = [(k, f"m{i % 12}", 20 * i + n) for i in range(24) for n, k in enumerate([None, 2**53 + 1])]
+    schema = "folder long, file string, seq long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    required = [f"m{i}" for i in range(12)]
+    events = flowcell_ready(files, ["folder"], "file", required, "seq", stretch_rows=100)
+    query = (
+        events.writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    out = spark.read.schema(events.schema).parquet(str(tmp_path / "out")).collect()
+    assert {r.folder: r.n_events for r in out} == {None: 2, 2**53 + 1: 2}

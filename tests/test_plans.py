@@ -30,7 +30,7 @@ def plan(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
 def test_no_all_pairs_join_and_no_python_per_row(spark, sf_dir, name):
     text = plan(spark, sf_dir, name)
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "InPandas"):
         assert operator not in text
     assert "Exchange SinglePartition" not in text
 

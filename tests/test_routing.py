@@ -53,9 +53,29 @@ def test_unrouted_counts(spark):
     assert set(found) == {m for m, t in CASES.items() if t is None}
 
 
-def test_inline_rules_are_limited():
-    with pytest.raises(ValueError):
-        R.route_target("m", [R.Rule(str(i), "t") for i in range(R.MAX_INLINE_RULES + 1)])
+def test_any_number_of_rules_in_both_forms(spark):
+    rules = [R.Rule(f"{i:03d}", f"t{i}", prefix=i % 2 == 0) for i in range(300)]
+    registry = dimension(
+        spark,
+        "pos int, key string, target string, is_prefix boolean",
+        [(i, r.key, r.target, r.prefix) for i, r in enumerate(rules)],
+    )
+    df = spark.createDataFrame([("298x",), ("299",), ("299x",), (None,)], "method string")
+    for form in (rules, registry):
+        found = {r.method: r.target for r in R.with_target(df, "method", form).collect()}
+        assert found == {"298x": "t298", "299": "t299", "299x": None, None: None}
+        lost = {r.method: r.n_rows for r in R.unrouted(df, "method", form).collect()}
+        assert lost == {"299x": 1, None: 1}
+
+
+def test_decisions_with_a_long_vocabulary(spark):
+    words = [f"w{i}" for i in range(70)]
+    decisions = [R.Decision("m", tuple(words), {"to": "all"}), R.Decision("m", ("w69",), {"to": "one"})]
+    rows = [("a", w) for w in words] + [("b", "w69"), ("c", "w69"), ("c", "other")]
+    df = spark.createDataFrame(rows, "k string, f string")
+    groups = R.feature_sets(df, ["k"], "f", decisions).withColumn("m", F.lit("m"))
+    found = {r.k: r.to for r in R.match_decision_table(groups, "m", decisions, ["to"]).collect()}
+    assert found == {"a": "all", "b": "one", "c": None}
 
 
 def test_decision_table_compares_sets(spark):
