@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtables.functions.status import delivery_action, to_deliver
+from labtables.functions._cols import ColumnOrName, as_col
+from labtables.functions.status import delivery_action, passed_qc, to_deliver
 from labtables.operators.lifecycle import summarise_samples
 
 
@@ -79,8 +80,14 @@ def delivery_entries(
     delivered: str = "delivered",
     default_id: str = "DDS123",
     dds_id: str = "dds_project_id",
+    now: ColumnOrName | None = None,
 ) -> DataFrame:
-    """One new delivery entry per project, also when no sample is left to send."""
+    """One new delivery entry per project, also when no sample is left to send.
+
+    With ``now`` it has the upload and release dates too; its samples are the rows of
+    :func:`delivered_now`.
+    """
+    dates = [] if now is None else [as_col(now).alias("date_uploaded"), as_col(now).alias("date_released")]
     counts = samples.groupBy(key).agg(
         F.count_if(to_deliver(qc, delivered)).alias("n_included")
     )
@@ -90,6 +97,37 @@ def delivery_entries(
         F.coalesce("n_included", F.lit(0)).alias("n_included"),
         F.lit("unknown").alias("total_volume"),
         F.lit("delivered").alias("delivery_status"),
+        *dates,
+    )
+
+
+def new_reports(
+    projects: DataFrame,
+    samples: DataFrame,
+    key: str,
+    sample: str,
+    now: ColumnOrName,
+    qc: str = "qc",
+) -> tuple[DataFrame, DataFrame]:
+    """Unsigned report entries of the given projects, and the samples in them as rows.
+
+    A report includes all Passed samples, delivered or not; a project without any gets
+    none.
+    """
+    included = samples.where(passed_qc(qc)).select(key, sample)
+    included = included.join(projects.select(key), key, "left_semi")
+    entries = included.groupBy(key).agg(F.count("*").alias("n_included"))
+    return (
+        entries.select(
+            key,
+            "n_included",
+            F.concat(F.col(key).cast("string"), F.lit("_report.html")).alias("file_name"),
+            as_col(now).alias("date_created"),
+            F.lit("").alias("signee"),
+            F.lit("").alias("date_signed"),
+            F.lit(False).alias("rejected"),
+        ),
+        included,
     )
 
 

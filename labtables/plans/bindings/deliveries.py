@@ -14,7 +14,7 @@ from labtables.plans.bindings._registry import (
     query,
     table,
 )
-from labtables.plans.delivery_round import delivery_round
+from labtables.plans.delivery_round import Round, delivery_round
 
 # Reports of an order: finished ones have a first, unsigned report and every
 # third a second one; every fifth open one has a single signed report.
@@ -170,16 +170,49 @@ def delivery_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     WITH {DECISION_SQL}
-    SELECT project_id, count(*) FILTER (qc = 'Passed') AS n_included FROM d LEFT JOIN q ON k = project_id
-    WHERE action = 'proceed_delivery' GROUP BY project_id
+    SELECT project_id, count(*) FILTER (qc = 'Passed') AS n_included, '2025-01-01 12:00:00' AS date_uploaded,
+      '2025-01-01 12:00:00' AS date_released
+    FROM d LEFT JOIN q ON k = project_id WHERE action = 'proceed_delivery' GROUP BY project_id
     """
 )
 def delivery_round_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = order_samples(spark, sf_dir, F.lit(False).alias("delivered"))
-    entries, _ = delivery_round(
-        _projects(spark, sf_dir), samples, _reports(spark, sf_dir), "project_id"
+    entries = _round(spark, sf_dir).entries
+    return entries.select("project_id", "n_included", "date_uploaded", "date_released")
+
+
+def _round(spark: SparkSession, sf_dir: str) -> Round:
+    samples = order_samples(
+        spark, sf_dir, "l_linenumber", "l_partkey", F.lit(False).alias("delivered")
+    )
+    now = F.lit("2025-01-01 12:00:00")
+    return delivery_round(
+        _projects(spark, sf_dir), samples, _reports(spark, sf_dir), "project_id", "l_linenumber", now
     )
-    return entries.select("project_id", "n_included")
+
+
+@query(
+    f"""
+    WITH {DECISION_SQL}
+    SELECT l_orderkey AS project_id, l_linenumber FROM (SELECT *, {SAMPLE_QC_SQL} AS qc FROM lineitem)
+    JOIN d ON l_orderkey = d.project_id WHERE qc = 'Passed' AND action = 'proceed_delivery'
+    """
+)
+def delivery_round_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of this round's entries."""
+    return _round(spark, sf_dir).included
+
+
+@query(
+    f"""
+    WITH {DECISION_SQL}
+    SELECT project_id, count(*) AS n_included, CAST(project_id AS VARCHAR) || '_report.html' AS file_name,
+      '2025-01-01 12:00:00' AS date_created, '' AS signee, '' AS date_signed, false AS rejected
+    FROM d JOIN q ON k = project_id WHERE action = 'generate_report' AND qc = 'Passed' GROUP BY project_id
+    """
+)
+def delivery_round_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New unsigned reports of the projects that need one."""
+    return _round(spark, sf_dir).reports
 
 
 @query(
@@ -191,13 +224,7 @@ def delivery_round_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def delivery_round_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = order_samples(
-        spark, sf_dir, "l_linenumber", "l_partkey", F.lit(False).alias("delivered")
-    )
-    _, marked = delivery_round(
-        _projects(spark, sf_dir), samples, _reports(spark, sf_dir), "project_id"
-    )
-    return marked.drop("status")
+    return _round(spark, sf_dir).samples.drop("status")
 
 
 @query(

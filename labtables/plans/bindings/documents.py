@@ -11,7 +11,7 @@ from labtables.functions import text as T
 from labtables.operators.routing import Rule
 from labtables.operators.samples import explode_samples
 from labtables.plans.bindings._registry import query, table
-from labtables.plans.intake import intake_projects, intake_samples
+from labtables.plans.intake import intake_projects, intake_samples, missing_paths
 from labtables.plans.one_off import run_once
 from labtables.sources.readers import existing_docs, lookup_doc, parse_docs, typed
 
@@ -203,6 +203,23 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+    SELECT CAST(c_custkey AS VARCHAR) AS doc_id, concat_ws(',', nullif({MISSING_SQL}, ''),
+      CASE WHEN c_custkey % 6 = 0 THEN 'samples.S1.library_prep.A.sequenced_fc' END,
+      CASE WHEN c_custkey % 6 = 0 THEN 'samples.S2.library_prep.A.sequenced_fc' END,
+      CASE WHEN c_custkey % 2 <> 0 THEN 'samples.S2.details.status_(manual)' END) AS missing
+    FROM customer
+    """
+)
+def missing_sample_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document and each of its samples lacks."""
+    wanted = ["library_prep.A.sequenced_fc", "details.status_(manual)"]
+    return project_docs(spark, sf_dir).select(
+        "doc_id", F.array_join(missing_paths("variant", REQUIRED, wanted), ",").alias("missing")
+    )
+
+
 @query(
     """
     SELECT o_orderkey, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS valid FROM orders
@@ -239,7 +256,7 @@ TARGET_SQL = """CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exact_machinery'
     WITH t AS (SELECT user_id, arg_max(event_type, event_id) IN ('click', 'view') AS done FROM events
                GROUP BY user_id),
     r AS (SELECT c_custkey, c_mktsegment, {TARGET_SQL} AS target
-      FROM customer WHERE {MISSING_SQL} = '')
+      FROM customer WHERE {MISSING_SQL} = '' AND c_custkey % 6 <> 0)
     SELECT 'P' || CAST(c_custkey AS VARCHAR) AS project_id, target,
       CASE WHEN user_id IS NULL THEN 'insert' WHEN done THEN 'skip' ELSE 'sync' END AS action,
       NOT (user_id IS NOT NULL AND done) AS proceed
@@ -248,7 +265,7 @@ TARGET_SQL = """CASE WHEN c_mktsegment = 'MACHINERY' THEN 'exact_machinery'
 )
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intake_projects(
-        project_docs(spark, sf_dir), RULES, REQUIRED, _tracking(spark, sf_dir), ["customer_name", "library_prep.A"]
+        project_docs(spark, sf_dir), RULES, REQUIRED, _tracking(spark, sf_dir), ["customer_name", "library_prep.A.sequenced_fc"]
     )
     return rows.select("project_id", "target", "action", "proceed")
 

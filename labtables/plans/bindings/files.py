@@ -156,3 +156,62 @@ def write_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         if status == "O":
             stored.compact()
     return stored.current()
+
+
+@query("SELECT p_brand AS BCset, p_name AS WellID, CAST(p_partkey AS VARCHAR) AS XC, p_type AS XC_NovaSeq FROM part")
+def read_barcode_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a lookup whose columns are in another order, with one more."""
+    path = scratch_dir(spark, "lookup")
+    table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("XC"),
+        F.col("p_size").alias("extra"),
+        F.col("p_name").alias("WellID"),
+        F.col("p_type").alias("XC_NovaSeq"),
+        F.col("p_brand").alias("BCset"),
+    ).write.options(header=True).csv(path)
+    return readers.read_barcode_lookup(spark, f"{path}/*.csv")
+
+
+@query(
+    """
+    SELECT DISTINCT 'project=' || CAST(o_custkey % 5 AS VARCHAR) AS project_id, 'sample=' || o_orderstatus AS sample_id,
+      'flowcell=' || CAST(o_orderkey % 2 AS VARCHAR) AS flowcell FROM orders
+    """
+)
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written below project/sample/run/flowcell; the inventory names the folders."""
+    path = scratch_dir(spark, "inventory")
+    levels = ["project", "sample", "run", "flowcell"]
+    table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 5).alias("project"),
+        F.col("o_orderstatus").alias("sample"),
+        F.lit("r").alias("run"),
+        (F.col("o_orderkey") % 2).alias("flowcell"),
+        F.col("o_orderpriority").alias("value"),
+    ).hint("rebalance", *levels).write.partitionBy(*levels).text(path)
+    files = readers.list_files(spark, path, "part-*")
+    return readers.fastq_folders(files).select("project_id", "sample_id", "flowcell").distinct()
+
+
+@query(
+    """
+    SELECT CAST(user_id % 40 AS INTEGER) AS log, count(*) AS n_lines, bool_or(event_type = 'purchase') AS bought
+    FROM events GROUP BY 1
+    """
+)
+def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log files of 40 machines, read whole."""
+    path = scratch_dir(spark, "logs")
+    table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 40).alias("log"), F.col("event_type").alias("value")
+    ).hint("rebalance", "log").write.partitionBy("log").text(path)
+    log = F.regexp_extract("path", "log=([0-9]+)", 1).cast("int")
+    lines = F.regexp_count("text", F.lit("\n")).cast("long")
+    return (
+        readers.read_logs(spark, f"{path}/*/*")
+        .groupBy(log.alias("log"))
+        .agg(
+            F.sum(lines).alias("n_lines"),
+            F.bool_or(F.contains("text", F.lit("purchase"))).alias("bought"),
+        )
+    )

@@ -39,13 +39,12 @@ def pivot_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT o_custkey, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS total_reads FROM orders
-    WHERE o_orderstatus <> 'P' GROUP BY o_custkey
+    GROUP BY o_custkey
     """
 )
 def total_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = (
         table(spark, sf_dir, "orders")
-        .where("o_orderstatus <> 'P'")
         .select("o_custkey", F.round("o_totalprice").cast("long").alias("n"))
     )
     return P.total_reads(long, ["o_custkey"], "n", "total_reads")

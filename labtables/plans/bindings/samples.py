@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labtables.functions.text import flowcell_date
+from labtables.schemas import RUN_SUCCESS_MARKER
 from labtables.operators import samples as S
 from labtables.plans.bindings._registry import query, table
+from labtables.plans import post_run as R
 from labtables.plans.bindings.statuses import EVENT_STATUS, EVENT_STATUS_SQL
 from labtables.functions._cols import case_lookup
 from labtables.sources.dimensions import dimension
@@ -263,14 +265,41 @@ def missing_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT c_custkey, c_name FROM customer
-    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
     """
 )
 def samples_without_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     found = (
         table(spark, sf_dir, "orders")
-        .where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
         .select(F.col("o_custkey").alias("c_custkey"))
     )
     return S.samples_without_fastq(samples, found, ["c_custkey"])
+
+
+@query(
+    """
+    WITH e AS (SELECT user_id, bool_or(event_type = 'click') AS c, bool_or(event_type = 'purchase') AS p,
+        bool_or(event_type = 'view') AS v FROM events GROUP BY user_id)
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'processing'
+        WHEN coalesce(c AND p AND v, false) AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'completed'
+        ELSE 'post_processing_failed' END AS status,
+      concat_ws(',', CASE WHEN NOT coalesce(c, false) THEN 'click' END,
+        CASE WHEN NOT coalesce(p, false) THEN 'purchase' END, CASE WHEN NOT coalesce(v, false) THEN 'view' END) AS missing,
+      CASE WHEN c_custkey % 7 <> 0 THEN '/r/' || CAST(c_custkey AS VARCHAR) || '/web_summary.html' END AS report_path
+    FROM customer LEFT JOIN e ON user_id = c_custkey
+    """
+)
+def after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as samples with a log each; their events are the files that exist."""
+    key = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    status = F.when(key % 3 == 0, F.lit("processing")).otherwise(F.lit("processed"))
+    report = F.when(
+        key % 7 != 0, F.concat(F.lit("- Run summary HTML: /r/"), key.cast("string"), F.lit("/web_summary.html"))
+    )
+    ending = F.when(key % 5 != 0, F.lit(RUN_SUCCESS_MARKER))
+    logs = customers.select(key, F.concat_ws("\n", F.lit("start"), report, ending).alias("text"))
+    files = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("file"))
+    samples = customers.select(key, status.alias("status"))
+    return R.after_run(samples, logs, files, ["c_custkey"], ["click", "purchase", "view"]).drop("run_succeeded")

@@ -183,6 +183,27 @@ def project_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracked.join(C.tracked_projects(samples, "project_id"), "project_id")
 
 
+@query(
+    f"""
+    SELECT CAST(c_custkey AS VARCHAR) AS doc_id, c_custkey AS seq,
+      CASE WHEN {MISSING_SQL} <> '' THEN 'incomplete' ELSE 'unrouted' END AS reason,
+      CASE WHEN {MISSING_SQL} <> '' THEN {MISSING_SQL} ELSE c_mktsegment END AS detail
+    FROM customer WHERE {MISSING_SQL} <> '' OR {TARGET_SQL} IS NULL
+    """
+)
+def project_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed: the documents that are not followed, with the reason."""
+    root = scratch_dir(spark, "project-rejects")
+    projects = TrackingTable(spark, f"{root}/projects", ["project_id"])
+    samples = TrackingTable(spark, f"{root}/samples", ["project_id", "sample_id"])
+    rejects = TrackingTable(spark, f"{root}/rejects", ["doc_id"])
+    feed = raw_docs(_stream(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+    follow_projects(
+        feed, DOC_RULES, REQUIRED, projects, samples, f"{root}/checkpoint", rejects=rejects
+    ).awaitTermination()
+    return rejects.current()
+
+
 STATUS_LAST_SQL = f"""SELECT user_id, arg_max({EVENT_STATUS_SQL}, event_id) AS st FROM events GROUP BY user_id"""
 
 
@@ -213,7 +234,7 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT event_type, count(*) AS n_rows, CAST(round(sum(value * 100)) AS BIGINT) AS total, 'handled' AS outcome
     FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type
-    UNION ALL SELECT 'view', 0, 0, 'failed'
+    UNION ALL SELECT event_type, count(*), 0, 'failed' FROM events WHERE event_type = 'view' GROUP BY event_type
     UNION ALL SELECT event_type, count(*), 0, 'unhandled' FROM events WHERE event_type IN ('error', 'signup') GROUP BY event_type
     """
 )
@@ -238,7 +259,13 @@ def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     dispatcher.register_handler("view", broken)
     dispatcher.register_handler("purchase", store("purchase"))
     events = _event_stream(spark, sf_dir)
-    dispatcher.start(events, f"{root}/checkpoint", f"{root}/errors").awaitTermination()
+    dispatcher.start(
+        events,
+        f"{root}/checkpoint",
+        f"{root}/errors",
+        replay_path=f"{root}/replay",
+        unhandled_path=f"{root}/unhandled",
+    ).awaitTermination()
 
     handled = (
         spark.read.schema("event_type STRING, n_rows BIGINT, total BIGINT")
@@ -248,10 +275,11 @@ def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("outcome", F.lit("handled"))
     )
     zero = F.lit(0).cast("long")
-    failed = spark.read.parquet(f"{root}/errors").select(
-        "event_type", zero.alias("n_rows"), zero.alias("total"), F.lit("failed").alias("outcome")
-    ).distinct()
-    unhandled = dispatcher.unhandled(table(spark, sf_dir, "events")).select(
-        "event_type", "n_rows", zero.alias("total"), F.lit("unhandled").alias("outcome")
-    )
-    return handled.unionByName(failed).unionByName(unhandled)
+
+    def kept(folder: str, outcome: str) -> DataFrame:
+        rows = spark.read.schema("event_type STRING").parquet(f"{root}/{folder}/*")
+        return rows.groupBy("event_type").agg(
+            F.count("*").alias("n_rows"), zero.alias("total"), F.lit(outcome).alias("outcome")
+        )
+
+    return handled.unionByName(kept("replay", "failed")).unionByName(kept("unhandled", "unhandled"))

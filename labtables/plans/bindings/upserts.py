@@ -13,7 +13,7 @@ from labtables.plans.bindings._registry import query, table
     """
     WITH x AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS doc_id,
         'order ' || CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS body, o_orderkey
-      FROM orders WHERE o_orderstatus = 'P'),
+      FROM orders),
     p AS (SELECT doc_id, arg_max(name, o_orderkey) AS name, arg_max(body, o_orderkey) AS body FROM x GROUP BY doc_id)
     SELECT * FROM p
     UNION ALL
@@ -27,7 +27,6 @@ def upsert_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey"))
     changes = (
         table(spark, sf_dir, "orders")
-        .where("o_orderstatus = 'P'")
         .select(
             doc_id.alias("doc_id"),
             F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"),
@@ -105,7 +104,7 @@ def upsert_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT l_orderkey AS project_id, 'fc' || CAST(l_suppkey AS VARCHAR) AS flowcell FROM lineitem WHERE l_returnflag = 'A'
     UNION
-    SELECT l_orderkey, 'fc' || CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R'
+    SELECT l_orderkey, 'fc' || CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE l_returnflag <> 'A'
     """
 )
 def flowcell_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +114,7 @@ def flowcell_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag",
     )
     known = rows.where("l_returnflag = 'A'").drop("l_returnflag")
-    new = rows.where("l_returnflag = 'R'").drop("l_returnflag")
+    new = rows.where("l_returnflag <> 'A'").drop("l_returnflag")
     return U.flowcell_union(known, new)
 
 
@@ -191,7 +190,7 @@ def merge_user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH t AS (SELECT o_custkey, bool_and(o_orderstatus <> 'O') AS done FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+    WITH t AS (SELECT o_custkey, bool_and(o_orderstatus <> 'O') AS done FROM orders GROUP BY 1)
     SELECT c_custkey AS project_id, CASE WHEN o_custkey IS NULL THEN 'insert' WHEN done THEN 'skip' ELSE 'sync' END AS action,
       o_custkey IS NULL OR NOT done AS proceed
     FROM customer LEFT JOIN t ON c_custkey = o_custkey
@@ -201,7 +200,6 @@ def init_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.bool_and(F.col("o_orderstatus") != "O")
     tracking = (
         table(spark, sf_dir, "orders")
-        .where("o_orderpriority = '1-URGENT'")
         .groupBy(F.col("o_custkey").alias("project_id"))
         .agg(F.when(done, F.lit("completed")).otherwise(F.lit("ongoing")).alias("project_status"))
     )

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from labtables.functions.documents import is_sensitive, user_info
-from labtables.operators.routing import Rule, route
+from labtables.operators.routing import Rules, route
 from labtables.operators.samples import merge_tracking
 from labtables.operators.upsert import merge_user_info
-from labtables.plans.intake import complete_documents, intake_samples
+from labtables.plans.intake import complete_documents, intake_samples, rejected_documents
 from labtables.sources.readers import parse_docs
 from labtables.sources.writers import TrackingTable
 from labtables.streaming.changes import latest_changes, run
@@ -36,7 +36,7 @@ def _contacts(owner: str, fields: str) -> Column:
     )
 
 
-def project_rows(docs: DataFrame, rules: list[Rule], required: list[str]) -> DataFrame:
+def project_rows(docs: DataFrame, rules: Rules, required: list[str]) -> DataFrame:
     """Complete, routed documents as project rows."""
     complete = complete_documents(docs, required).select(
         F.col("doc.project_id").alias("project_id"),
@@ -71,15 +71,20 @@ def merge_projects(incoming: DataFrame, tracked: DataFrame) -> DataFrame:
 
 def follow_projects(
     changes: DataFrame,
-    rules: list[Rule],
+    rules: Rules,
     required: list[str],
     projects: TrackingTable,
     samples: TrackingTable,
     checkpoint: str,
     poll_seconds: int | None = None,
     writer: str = "feed",
+    rejects: TrackingTable | None = None,
 ) -> StreamingQuery:
-    """Keep both tracking tables up to date with the feed."""
+    """Keep both tracking tables up to date with the feed.
+
+    ``rejects`` keeps the changed documents that go no further, with the reason; a
+    document that is mended later stays there under its old ``seq``.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         docs = parse_docs(latest_changes(batch)).persist()
@@ -96,6 +101,8 @@ def follow_projects(
             projects.append(going, batch_id, writer)
             merged = merge_tracking(rows, tracked_samples, ["project_id", "sample_id"])
             samples.append(merged, batch_id, writer)
+            if rejects is not None:
+                rejects.append(rejected_documents(docs, rules, required), batch_id, writer)
         finally:
             for cached in (going, incoming, docs):
                 cached.unpersist()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtables.functions._cols import let
+from labtables.functions._cols import ColumnOrName, as_col, let
 from labtables.functions.documents import missing_fields, project_info
 from labtables.functions.status import not_aborted
-from labtables.operators.routing import Rule, route
+from labtables.operators.routing import Rules, route, with_target
 from labtables.operators.samples import (
     explode_samples,
     latest_flowcell_of_map,
@@ -18,6 +18,24 @@ from labtables.operators.upsert import init_projects
 from labtables.sources.readers import typed
 
 
+def missing_paths(
+    variant: ColumnOrName, required: list[str], sample_required: list[str] | None = None
+) -> Column:
+    """All required paths a document lacks: its own, then ``samples.<name>.<path>`` of each."""
+    own = missing_fields(variant, required)
+    if not sample_required:
+        return own
+    samples = F.try_variant_get(as_col(variant), "$.samples", "map<string, variant>")
+    lacking = F.transform(
+        F.map_entries(samples),
+        lambda entry: F.transform(
+            missing_fields(entry["value"], sample_required),
+            lambda path: F.concat(F.lit("samples."), entry["key"], F.lit("."), path),
+        ),
+    )
+    return F.concat(own, F.coalesce(F.flatten(lacking), F.array().cast("array<string>")))
+
+
 def complete_documents(
     docs: DataFrame, required: list[str], sample_required: list[str] | None = None
 ) -> DataFrame:
@@ -25,26 +43,61 @@ def complete_documents(
 
     One look at each document, no shuffle.
     """
+    return docs.where(
+        let("variant", lambda v: F.size(missing_paths(v, required, sample_required)) == 0)
+    )
+
 
-    def complete(variant: Column) -> Column:
-        ok = F.size(missing_fields(variant, required)) == 0
-        if not sample_required:
-            return ok
-        samples = F.map_values(F.try_variant_get(variant, "$.samples", "map<string, variant>"))
-        lacking = F.exists(samples, lambda s: F.size(missing_fields(s, sample_required)) > 0)
-        return ok & ~F.coalesce(lacking, F.lit(False))
+METHOD = "doc.details.library_construction_method"
 
-    return docs.where(let("variant", complete))
+
+def rejected_documents(
+    docs: DataFrame,
+    rules: Rules,
+    required: list[str],
+    sample_required: list[str] | None = None,
+) -> DataFrame:
+    """Documents that go no further, with the reason: (doc_id, seq, reason, detail).
+
+    ``malformed`` text, ``incomplete`` with the missing paths, or ``unrouted`` with the
+    method.  With the documents that are handed on they make up all documents.
+    """
+    lacking = let("variant", lambda v: missing_paths(v, required, sample_required))
+    checked = docs.select(
+        "doc_id",
+        "seq",
+        F.col(METHOD).alias("method"),
+        F.col("variant").isNull().alias("_malformed"),
+        F.array_join(lacking, ",").alias("_missing"),
+    )
+    reason = (
+        F.when(F.col("_malformed"), F.lit("malformed"))
+        .when(F.col("_missing") != "", F.lit("incomplete"))
+        .when(F.col("_target").isNull(), F.lit("unrouted"))
+    )
+    detail = (
+        F.when(F.col("reason") == "incomplete", F.col("_missing"))
+        .when(F.col("reason") == "unrouted", F.col("method"))
+    )
+    return (
+        with_target(checked, "method", rules, "_target")
+        .withColumn("reason", reason)
+        .where("reason IS NOT NULL")
+        .select("doc_id", "seq", "reason", detail.alias("detail"))
+    )
 
 
 def intake_projects(
     docs: DataFrame,
-    rules: list[Rule],
+    rules: Rules,
     required: list[str],
     tracking: DataFrame,
     sample_required: list[str] | None = None,
 ) -> DataFrame:
-    """Routed, complete projects with the action to take on each."""
+    """Routed, complete projects with the action to take on each.
+
+    The others are in :func:`rejected_documents`.
+    """
     docs = complete_documents(docs, required, sample_required)
     info = project_info(typed(docs))
     return init_projects(route(info, "library_prep_method", rules), tracking, "project_id")

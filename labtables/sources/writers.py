@@ -106,16 +106,22 @@ def multi_sheet_lines(
     return out
 
 
-def write_multi_sheet(lines: DataFrame, path: str, run_sample: str) -> None:
+def write_multi_sheet(
+    lines: DataFrame, path: str, run_sample: str, max_lines: int = 1_000_000
+) -> None:
     """One folder per run sample; its files, in name order, are the sheet.
 
-    Range partitioning puts a run sample's lines in order and splits one that is
-    very long, where gathering it as one value would not.
+    A sheet of up to ``max_lines`` lines is one file.  Only a longer one is cut, at
+    ranges of its lines, so that none has to pass through one task.
     """
-    order = [run_sample, "section_no", "line_no", "_order"]
+    order = ["section_no", "line_no", "_order"]
+    long = lines.groupBy(run_sample).agg((F.count("*") > max_lines).alias("_long"))
+    # Lines of a sheet that is not long are equal here, and equal values stay together.
+    cuts = [F.when(F.col("_long"), F.col(name)) for name in order]
     (
-        lines.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        lines.join(long, run_sample)
+        .repartitionByRange(run_sample, *cuts)
+        .sortWithinPartitions(run_sample, *order)
         .select(run_sample, "line")
         .write.mode("overwrite")
         .partitionBy(run_sample)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from labtables import schemas as S
 from labtables.functions.status import rollup_status
 from labtables.operators.lifecycle import summarise_samples
-from labtables.operators.routing import Rule, route_target
+from labtables.operators.routing import Rules, with_target
 from labtables.sources.writers import TrackingTable
 
 
@@ -82,7 +82,7 @@ def follow_documents(
 
 def follow_routed(
     changes: DataFrame,
-    rules: list[Rule],
+    rules: Rules,
     method_path: str,
     table: TrackingTable,
     rejects: TrackingTable,
@@ -95,7 +95,7 @@ def follow_routed(
         docs = latest_changes(batch).withColumn(
             "method", F.get_json_object("body", method_path)
         )
-        docs = docs.withColumn("target", route_target("method", rules)).persist()
+        docs = with_target(docs, "method", rules).persist()
         try:
             table.append(docs.where("target IS NOT NULL"), batch_id)
             rejects.append(docs.where("target IS NULL").drop("target"), batch_id)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from labtables import schemas as S
-from labtables.operators.routing import Rule, route
+from labtables.operators.routing import Rules, route
 from labtables.streaming.changes import run
 
 Handler = Callable[[DataFrame, int], None]
@@ -38,6 +38,7 @@ class Dispatcher:
     ) -> list[tuple[str, str]]:
         """Hand a batch to the handlers; returns (event type, error) of failures."""
         errors = []
+        held = batch.is_cached
         batch = batch.persist()
         try:
             for event_type, handler in list(self.handlers.items()):
@@ -46,13 +47,19 @@ class Dispatcher:
                 except Exception as error:  # noqa: BLE001 - any user error
                     errors.append((event_type, f"{type(error).__name__}: {error}"))
         finally:
-            batch.unpersist()
+            if not held:
+                batch.unpersist()
         return errors
 
+    def without_handler(self, events: DataFrame, type_column: str = "event_type") -> DataFrame:
+        """Rows of event types that no handler is registered for."""
+        known = F.coalesce(F.col(type_column).isin(*self.handlers), F.lit(False))
+        return events.where(~known)
+
     def unhandled(self, events: DataFrame, type_column: str = "event_type") -> DataFrame:
         """Row counts of event types without a handler."""
-        known = F.coalesce(F.col(type_column).isin(*self.handlers), F.lit(False))
-        return events.where(~known).groupBy(type_column).agg(F.count("*").alias("n_rows"))
+        rows = self.without_handler(events, type_column)
+        return rows.groupBy(type_column).agg(F.count("*").alias("n_rows"))
 
     def start(
         self,
@@ -61,15 +68,35 @@ class Dispatcher:
         errors_path: str,
         type_column: str = "event_type",
         poll_seconds: int | None = None,
+        replay_path: str | None = None,
+        unhandled_path: str | None = None,
     ) -> StreamingQuery:
-        """Dispatch a stream; failures are written to ``errors_path`` per batch."""
+        """Dispatch a stream; failures are written to ``errors_path`` per batch.
+
+        ``replay_path`` keeps the rows whose handler failed, as a stream would read
+        them again; ``unhandled_path`` keeps those of types without a handler.  Both
+        are written per batch, so a retried batch rewrites its own.
+        """
 
         def each_batch(batch: DataFrame, batch_id: int) -> None:
-            errors = self.dispatch(batch, batch_id, type_column)
-            if errors:
-                batch.sparkSession.createDataFrame(
-                    errors, "event_type STRING, error STRING"
-                ).write.mode("overwrite").parquet(f"{errors_path}/batch={batch_id}")
+            batch = batch.persist()
+            try:
+                errors = self.dispatch(batch, batch_id, type_column)
+                if unhandled_path is not None:
+                    self.without_handler(batch, type_column).write.mode("overwrite").parquet(
+                        f"{unhandled_path}/batch={batch_id}"
+                    )
+                if errors and replay_path is not None:
+                    failed = {event_type for event_type, _ in errors}
+                    batch.where(F.col(type_column).isin(*failed)).write.mode("overwrite").parquet(
+                        f"{replay_path}/batch={batch_id}"
+                    )
+                if errors:
+                    batch.sparkSession.createDataFrame(
+                        errors, "event_type STRING, error STRING"
+                    ).write.mode("overwrite").parquet(f"{errors_path}/batch={batch_id}")
+            finally:
+                batch.unpersist()
 
         return run(events, each_batch, checkpoint, poll_seconds)
 
@@ -96,13 +123,19 @@ class Realms:
     ) -> None:
         self.realms[name] = Realm(extract, finalize)
 
+    def without_realm(self, docs: DataFrame, method: str, rules: Rules) -> DataFrame:
+        """Side output of :meth:`apply`: how many documents each target without a realm has."""
+        routed = route(docs, method, rules, out="realm")
+        lost = routed.where(~F.col("realm").isin(*self.realms)) if self.realms else routed
+        return lost.groupBy("realm").agg(F.count("*").alias("n_rows"))
+
     def apply(
-        self, docs: DataFrame, method: str, rules: list[Rule], staging: str | None = None
+        self, docs: DataFrame, method: str, rules: Rules, staging: str | None = None
     ) -> DataFrame:
         """Route documents, run each realm on its own slice, unite the results.
 
         Rules whose realm is not registered are skipped, so their documents
-        drop out.  Each realm reads the documents again; with many realms give a
+        drop out (:meth:`without_realm` counts them).  Each realm reads the documents again; with many realms give a
         ``staging`` folder, where the routed documents are written once, by
         realm, so that each realm then reads only its own.
         """

@@ -205,3 +205,19 @@ def test_tracking_table(spark, tmp_path):
     assert again.current().count() == 3
     empty = W.TrackingTable(spark, str(tmp_path / "none"), ["id"])
     assert empty.current(schema="id string, seq long").count() == 0
+
+
+@pytest.mark.parametrize(("max_lines", "one_file"), [(1000, True), (100, False)])
+def test_only_long_sheets_are_cut(spark, tmp_path, max_lines, one_file):
+    rows = [(f"s{s}", 1, 2, f"{s}-{i:04d}", f"{i:04d}") for s in range(6) for i in range(800)]
+    lines = spark.createDataFrame(
+        rows, "run_sample string, section_no int, line_no int, line string, _order string"
+    ).repartition(5)
+    W.write_multi_sheet(lines, str(tmp_path / "out"), "run_sample", max_lines)
+    several = 0
+    for s in range(6):
+        files = sorted((tmp_path / "out" / f"run_sample=s{s}").glob("part-*"))
+        text = "".join(f.read_text() for f in files)
+        assert text.split() == [f"{s}-{i:04d}" for i in range(800)]
+        several += len(files) > 1
+    assert (several == 0) == one_file
