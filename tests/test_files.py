@@ -167,7 +167,7 @@ def test_long_sheet_over_several_files_is_in_order(spark, tmp_path):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        W.write_multi_sheet(lines, str(tmp_path / "m"), "run_sample")
+        W.write_multi_sheet(lines, str(tmp_path / "m"), "run_sample", max_lines=1000)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     folder = tmp_path / "m" / "run_sample=r"
@@ -213,7 +213,12 @@ def test_only_long_sheets_are_cut(spark, tmp_path, max_lines, one_file):
     lines = spark.createDataFrame(
         rows, "run_sample string, section_no int, line_no int, line string, _order string"
     ).repartition(5)
-    W.write_multi_sheet(lines, str(tmp_path / "out"), "run_sample", max_lines)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        W.write_multi_sheet(lines, str(tmp_path / "out"), "run_sample", max_lines)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     several = 0
     for s in range(6):
         files = sorted((tmp_path / "out" / f"run_sample=s{s}").glob("part-*"))
