@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,15 @@ def per_worker(key: str, make: Callable[[], object]) -> object:
 def parts_for(spark: SparkSession, at_least: int = 1) -> int:
     """The session's number of shuffle partitions, which follows the cluster and its data."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def give_back() -> None:
+    """Hand freed memory back to the machine, between batches.
+
+    Python workers outlive their stage, and what their allocators keep of it would count
+    beside the memory of the next stage's workers.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtables.llm._common import letters_hash, per_worker, texts
+from labtables.llm._common import give_back, letters_hash, per_worker, texts
 from labtables.llm._words import mixed, run_hashes, word_hashes, word_spans
 from labtables.session import scratch_dir
 
@@ -154,6 +154,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((doc, row, set_key(found), band_keys(signature(found)) if len(found) else []))
         out = pd.DataFrame(rows, columns=["doc_id", "row_key", "cls", "bands"])
         yield out.astype({"doc_id": "Int64"})
+        give_back()
 
 
 def _meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtables.llm._common import letters_hash, texts
+from labtables.llm._common import give_back, letters_hash, texts
 
 UNKNOWN = "und"
 #: Texts learned from at most, shared evenly among the languages.
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def task(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         learned = Model(**given.value) if given.value else None
-        size = max(8, (8 << 20) // max(sum(len(w) for w in learned.weights.values()), 1)) if learned else 1
+        size = max(8, (2 << 20) // max(sum(len(w) for w in learned.weights.values()), 1)) if learned else 1
         for batch in batches:
             labels, scores = [UNKNOWN] * len(batch), np.zeros(len(batch))
             usable = [
@@ -214,6 +214,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     labels[i] = learned.languages[k]
                     scores[i] = float(np.clip((row[k] + 1) / 2, 0, 1))
             yield pd.DataFrame({"lang_pred": labels, "score": scores})
+            give_back()
 
     mark = F.pandas_udf(task, "lang_pred string, score double")
     found = docs.select("*", mark(F.coalesce("text", F.lit(""))).alias("__found"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtables.llm._common import texts
+from labtables.llm._common import give_back, texts
 from labtables.llm._tokens import encoder
 from labtables.session import scratch_dir
 
@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
                     rows.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
+            give_back()
 
     return texts(docs).mapInPandas(cut, PIECES)
 
