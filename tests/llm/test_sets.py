@@ -129,6 +129,31 @@ def test_nearest_recall(spark, sf_dir):
         assert all(abs(exact[i] - s) < 1e-12 for i, s in near if i in exact)
 
 
+def test_nearest_recall_on_many_rows(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(10, 32))[rng.integers(0, 10, 20_000)] * 0.3 + rng.normal(size=(20_000, 32))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    table = spark.createDataFrame(
+        [(k, p) for k, p in enumerate(points.tolist())], "vec_id long, embedding array<double>"
+    )
+    found = {}
+    for r in nearest.search(table, F.col("vec_id") % 400 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(found) == 50
+    hits = 0
+    for query, near in found.items():
+        scores = points @ points[query]
+        scores[query] = -2
+        hits += len(near & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.99 * 20 * len(found)
+
+
+def test_nearest_leaves_out_entries_that_cannot_matter():
+    held = {0: 5, 1: 5, 2: 5, 3: 5}
+    assert nearest.walk(np.array([1.0, 0.2]), np.array([0.5, 0.1]), held, 0.7) == [0, 1, 2]
+    assert nearest.bundles({0: 3000, 1: 1000, 2: 200, 24: 9000, 25: 1}, 24) == {0: 0, 1: 0, 2: 2, 24: 24, 25: 25}
+
+
 def test_nearest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(k, [1.0, float(k % 3), 0.5]) for k in range(30)]
