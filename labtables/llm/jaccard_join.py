@@ -21,7 +21,9 @@ links asks for, but in independent meetings of bounded size.
 
 Defined cases: a null text is the empty text; texts without words have the empty set and are one
 class, without links to others; repeated rows are copies; a null doc_id is larger than any other
-when the smallest is taken; an empty table gives no rows; other columns are ignored.
+when the smallest is taken, and a group of only such ones has a null class_id; group_id tells all
+groups apart, also those and ones that share a doc_id; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -238,12 +240,12 @@ def groups(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, copies, text_links, n_links, row_key.
+    """One row per document: doc_id, group_id, class_id, copies, text_links, n_links, row_key.
 
-    class_id is the smallest doc_id of its group (of documents linked over any number of
-    steps), copies the number of documents with the same set, text_links the number of
-    other sets linked to it, n_links the number of other documents linked to it, copies
-    among them; row_key is ``row_key(docs)``, to find the row again.
+    group_id names its group (of documents linked over any number of steps) by the smallest
+    hash of its sets, class_id is the group's smallest doc_id, copies the number of documents
+    with the same set, text_links the number of other sets linked to it, n_links the number of
+    other documents linked to it, copies among them; row_key is ``row_key(docs)``, to find the row again.
     """
     spark = docs.sparkSession
     folder = scratch_dir(spark, "jaccard")
@@ -253,7 +255,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).write.parquet(f"{folder}-signatures")
     signed = spark.read.parquet(f"{folder}-signatures")
     classes = signed.groupBy("cls").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("first_id"),
+        F.min("row_key").alias("first_key"),
+        F.count(F.lit(1)).alias("copies"),
+        F.first("bands").alias("bands"),
     )
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -280,23 +285,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         met.where("a != b").select("a", "b", F.lit(1), "b")
     )
 
-    # Texts of the representatives that meet others; documents with equal ids are told
-    # apart by their class.
-    needed = blocks.join(classes.select("cls", "first_id", "copies"), "cls")
-    chosen = (
-        signed.select("doc_id", "cls")
-        .join(needed, "cls")
-        .where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "cls", "block", "copies")
-        .distinct()
-    )
-    given = read.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text")
-    having = given.join(chosen, "id").select("cls", "block", "copies", "text")
+    # Texts of the representatives that meet others, found by a key that rows of other texts
+    # do not share, whatever their ids.
+    chosen = blocks.join(classes, "cls").select(F.col("first_key").alias("row_key"), "cls", "block", "copies")
+    given = docs.select(row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    having = given.join(chosen, "row_key").select("cls", "block", "copies", "text")
     found = (
         having.join(sides, "block")
         .select("a", "b", "side", "cls", "copies", "text")
         .groupBy("a", "b")
-        .applyInPandas(_meet_own, "cls long, other long, links long, documents long")
+        .applyInPandas(_meet, "cls long, other long, links long, documents long")
     )
     found.write.parquet(f"{folder}-links")
     found = spark.read.parquet(f"{folder}-links")
@@ -312,6 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest = of_class.groupBy("grp").agg(F.min("first_id").alias("class_id"))
     of_class = of_class.join(smallest, "grp").select(
         "cls",
+        F.col("grp").alias("group_id"),
         "class_id",
         "copies",
         F.coalesce("links", F.lit(0)).alias("text_links"),
@@ -327,12 +326,12 @@ def row_key() -> Column:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of which one stays in each group: that of the smallest doc_id."""
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     first = (
         near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy("class_id", F.col("doc_id").isNull())
-        .agg(F.min("row_key").alias("row_key"))
-        .select("row_key")
+        .groupBy("group_id")
+        .agg(F.min(place).alias("first"))
+        .select("first.row_key")
     )
     rows = docs.select(
         row_key().alias("row_key"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
@@ -340,9 +339,3 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     # Rows repeated as a whole have one key; any of them will do.
     one = rows.join(first, "row_key").groupBy("row_key").agg(F.first("row").alias("row"))
     return one.select(*[F.col("row")[n].alias(n) for n in docs.columns])
-
-
-def _meet_own(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    # Where ids repeat a text of another class may come along.
-    right = [set_key(shingles(text)) == cls for text, cls in zip(rows["text"], rows["cls"], strict=True)]
-    return _meet(key, rows[np.array(right, dtype=bool)])

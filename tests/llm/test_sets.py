@@ -57,6 +57,22 @@ def test_jaccard_join(spark, both, block, monkeypatch):
     assert len(kept) == len({r["class_id"] for r in found.collect()})
 
 
+def test_unlinked_documents_stay_whatever_their_ids(spark):
+    def text(seed):
+        return " ".join(f"{seed}w{k}" for k in range(40))
+
+    near = text("g").replace("gw39", "other")
+    rows = [(None, text(seed)) for seed in "abcdef"] + [(None, text("a")), (None, text("g")), (None, near)]
+    rows += [(5, text("h")), (5, text("i")), (5, text("i")), (-1, text("j")), (9, text("k")), (None, text("k"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.near_duplicates(docs).collect()
+    assert len({r["group_id"] for r in found}) == 11
+    assert sum(r["text_links"] for r in found) == 2  # of "g" and its near copy
+    kept = Counter((r["doc_id"], r["text"][0]) for r in jaccard_join.one_of_each_group(docs).collect())
+    expected = [(None, seed) for seed in "abcdefg"] + [(5, "h"), (5, "i"), (-1, "j"), (9, "k")]
+    assert kept == Counter(expected)
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = jaccard_join.least_matches()
     rng = np.random.default_rng(1)
