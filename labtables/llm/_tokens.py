@@ -2,7 +2,8 @@
 
 The vocabularies used here cut a text into runs of letters, of marks and of white space
 before they look at ids, so the ids of a text are those of its pieces in order, if the
-pieces begin where such a run surely begins.  Arrow finds the distinct pieces of a batch,
+pieces begin where such a run surely begins.  A text that holds the name of an added token
+(``<|endoftext|>``) goes to the library as a whole, which cuts it there first.  Arrow finds the distinct pieces of a batch,
 a worker asks the library once for each and keeps the ids.  The tests compare whole texts
 with the library's own encoding of them.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -72,13 +74,18 @@ def _byte_letters() -> dict[int, int]:
 class Encoder:
     """Ids of texts by one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, names_are_text: bool = True):
+        """With ``names_are_text`` a special token's name inside a text is ordinary text; without,
+        it is that token, which is the library's default and what the operators use."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # A special token's name inside a text is ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = names_are_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        names = [re.escape(t.content.encode().lower()) for t in added if not (names_are_text and t.special)]
+        # More texts than needed may match (other case); those are only slower.
+        self.added = re.compile(b"|".join(names), re.IGNORECASE) if names else None
         # A vocabulary that drops white space has no use for the blank before a word.
         self.keeps_blanks = "Removed" not in json.dumps(
             json.loads(self.tokenizer.to_str())["pre_tokenizer"]
@@ -153,8 +160,15 @@ class Encoder:
         held: list[bytes] = []
         size = 0
         for text in texts:
-            held.append(text.encode())
-            size += len(held[-1])
+            data = text.encode()
+            if self.added is not None and self.added.search(data):
+                yield from self._slice(held)
+                held, size = [], 0
+                whole = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+                yield np.array(whole.ids, dtype="<u4")
+                continue
+            held.append(data)
+            size += len(data)
             if size >= SLICE_BYTES:
                 yield from self._slice(held)
                 held, size = [], 0
@@ -162,5 +176,5 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
-    return per_worker(f"encoder {path}", lambda: Encoder(path))
+    """The worker's encoder for a vocabulary file, with the library's ids."""
+    return per_worker(f"encoder {path}", lambda: Encoder(path, names_are_text=False))

@@ -18,7 +18,7 @@ from labtables.llm import (
     private_data,
     repeats,
 )
-from labtables.llm._tokens import Encoder
+from labtables.llm._tokens import Encoder, encoder
 from labtables.session import scratch_dir
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,26 @@ def test_pieces_have_the_ids_of_whole_texts(path, both):
         assert ids.tolist() == whole(text), text[:80]
 
 
+SPECIAL = [
+    "a <|endoftext|> b", "a  <|endoftext|>\n\nb", "<|startoftext|>x<|endoftext|>", "plain text",
+    "<|ENDOFTEXT|> x", "", "don't  <|endoftext|><|endoftext|>", "after all of them",
+]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_special_names_in_texts_have_the_ids_of_the_library(path):
+    whole = Tokenizer.from_file(path)
+    for text, ids in zip(SPECIAL, encoder(path).encode(SPECIAL), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_counts_special_names_as_the_library(spark):
+    docs = spark.createDataFrame([*enumerate(SPECIAL)], "doc_id long, text string")
+    whole = Tokenizer.from_file(BYTES)
+    found = {r["doc_id"]: r["length"] for r in rows(packing.packed(docs, BYTES, 0))}
+    assert found == {k: len(whole.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(SPECIAL)}
+
+
 def base_spans(text):
     def luhn(digits):
         total = 0
