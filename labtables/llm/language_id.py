@@ -2,7 +2,9 @@
 
 A text is the set of its letter n-grams (1 to 3, lower case) that occur in the learning
 sample; the kernel of two texts is the mean over n of the shared n-grams divided by the
-root of the product of both counts (presence, not frequency).  Nyström landmarks from the
+root of the product of both counts (presence, not frequency).  Every letter and combining mark
+of any script counts as itself, everything else (digits, marks, white space but the blank) as one
+sign; each language of the sample brings its own most frequent n-grams.  Nyström landmarks from the
 sample give features, one-versus-rest kernel ridge regression gives each language a score.
 As the kernel is a product of n-gram rows with landmark rows, landmark and regression
 matrices are multiplied once after learning, and a batch of texts is scored by one matrix
@@ -20,6 +22,7 @@ doc_id counts as the empty string in the hash; repeated rows and other columns d
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,22 +31,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtables.llm._common import give_back, letters_hash, texts
+from labtables.llm._common import give_back, letters_hash, per_worker, texts
 
 UNKNOWN = "und"
 #: Texts learned from at most, shared evenly among the languages.
 SAMPLE_TEXTS = 1600
 LANDMARKS = 240
 RIDGE = 1e-2
-#: Letters with a code of their own; all others share code 0.
-ALPHABET = 63
 SIZES = (1, 2, 3)
-#: N-grams of each size that count: those in most texts of the sample.
-GRAMS = 8192
+#: N-grams of each size that count: those in most texts of each language, which share this
+#: number evenly but have LEAST_GRAMS each, however many languages there are.
+GRAMS, LEAST_GRAMS = 8192, 512
+#: Cells of texts x n-grams that are held at once.
+CELLS = 8 << 20
 #: Code points that are handled at once; a longer text is handled in several slices.
 SLICE = 1 << 20
 
-_BITS = 6
+_BITS = 21  # three code points in one number
 _LETTER = re.compile(r"[^\W\d_]")
 _WIDE = 0x110000
 
@@ -51,8 +55,7 @@ _WIDE = 0x110000
 @dataclass
 class Model:
     languages: list[str]
-    letters: np.ndarray  # code point -> code
-    columns: dict[int, np.ndarray]  # n -> n-gram code -> column, -1 outside the sample
+    columns: dict[int, np.ndarray]  # n -> sorted n-grams of the sample
     weights: dict[int, np.ndarray]  # n -> columns x languages
 
 
@@ -62,35 +65,47 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(key) % 4 == 2
 
 
-def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def _own_code() -> np.ndarray:
+    """Code point -> itself for letters, combining marks and the blank, otherwise 0."""
+    points = np.arange(_WIDE, dtype=np.int64)
+    own = [c == 32 or unicodedata.category(chr(c))[0] in "LM" for c in range(_WIDE)]
+    return np.where(own, points, 0)
 
 
-def _present(
-    texts_: list[str], letters: np.ndarray, columns: dict[int, np.ndarray]
-) -> dict[int, np.ndarray]:
+def _codes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return per_worker("letters of all scripts", _own_code)[points]
+
+
+def _grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """The n-gram that begins at each place, as one number."""
+    gram = codes[: max(len(codes) - n + 1, 0)].copy()
+    for k in range(1, n):
+        gram = (gram << _BITS) | codes[k : len(codes) - n + 1 + k]
+    return gram
+
+
+def _present(texts_: list[str], columns: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """n -> texts x columns, 1 where the n-gram occurs; whole texts, a slice at a time."""
-    out = {n: np.zeros((len(texts_), c.max(initial=-1) + 1), np.float32) for n, c in columns.items()}
+    out = {n: np.zeros((len(texts_), len(c)), np.float32) for n, c in columns.items()}
     held: list[tuple[int, np.ndarray]] = []
 
     def put() -> None:
         rows = np.concatenate([np.full(len(codes), row) for row, codes in held])
         codes = np.concatenate([codes for _, codes in held])
         for n, column in columns.items():
-            if len(codes) < n:
+            if len(codes) < n or not len(column):
                 continue
-            gram = codes[: len(codes) - n + 1].copy()
-            for k in range(1, n):
-                gram = (gram << _BITS) | codes[k : len(codes) - n + 1 + k]
+            gram = _grams(codes, n)
             first, last = rows[: len(gram)], rows[n - 1 :]
-            found = column[gram]
-            use = (found >= 0) & (first == last)
+            found = np.minimum(np.searchsorted(column, gram), len(column) - 1)
+            use = (column[found] == gram) & (first == last)
             out[n][first[use], found[use]] = 1
         held.clear()
 
     size = 0
     for row, text in enumerate(texts_):
-        codes = letters[_code_points(text)]
+        codes = _codes(text)
         for start in range(0, len(codes), SLICE):
             held.append((row, codes[start : start + SLICE + max(SIZES) - 1]))
             size += len(held[-1][1])
@@ -115,36 +130,29 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
         return None
     languages = sorted({language for _, language in sample})
     words = [text for text, _ in sample]
-    points = np.concatenate([_code_points(text) for text in words] or [np.zeros(0, "<u4")])
-    known, counts = np.unique(points, return_counts=True)
-    is_letter = np.array([chr(c).isalpha() or c == 32 for c in known], dtype=bool)
-    known, counts = known[is_letter], counts[is_letter]
-    letters = np.zeros(_WIDE, dtype=np.int32)
-    kept = known[np.argsort(-counts, kind="stable")][:ALPHABET]
-    letters[kept] = np.arange(1, len(kept) + 1)
-
-    columns = {}
-    for n in SIZES:
-        seen = np.zeros(1 << (_BITS * n), dtype=np.int32)
-        for text in words:
-            codes = letters[_code_points(text)]
-            gram = codes[: max(len(codes) - n + 1, 0)].copy()
-            for k in range(1, n):
-                gram = (gram << _BITS) | codes[k : len(codes) - n + 1 + k]
-            seen[np.unique(gram)] += 1
-        kept = np.argsort(-seen, kind="stable")[: min(GRAMS, np.count_nonzero(seen))]
-        columns[n] = np.full(len(seen), -1, dtype=np.int32)
-        columns[n][np.sort(kept)] = np.arange(len(kept))
-
-    rows = _scaled(_present(words, letters, columns))
+    each = max(LEAST_GRAMS, GRAMS // len(languages))
+    kept: dict[int, list[np.ndarray]] = {n: [] for n in SIZES}
+    for language in languages:
+        own = [_codes(text) for text, l in sample if l == language]
+        for n in SIZES:
+            every = np.concatenate([np.unique(_grams(codes, n)) for codes in own])
+            grams, seen = np.unique(every, return_counts=True)
+            kept[n].append(grams[np.argsort(-seen, kind="stable")[:each]])
+    columns = {n: np.unique(np.concatenate(kept[n])) for n in SIZES}
+
     # The sample comes in order of a hash, so every so-many-th row is a fair choice.
     chosen = np.unique(np.linspace(0, len(words) - 1, min(LANDMARKS, len(words))).astype(int))
-    landmarks = {n: r[chosen] for n, r in rows.items()}
+    landmarks = _scaled(_present([words[i] for i in chosen], columns))
     between = sum(landmarks[n] @ landmarks[n].T for n in SIZES).astype(float) / len(SIZES)
     values, vectors = np.linalg.eigh(between)
     good = values > values.max(initial=0) * 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    features = (sum(rows[n] @ landmarks[n].T for n in SIZES) / len(SIZES)) @ root
+    at_once = max(1, CELLS // max(sum(map(len, columns.values())), 1))
+    parts = []
+    for start in range(0, len(words), at_once):
+        rows = _scaled(_present(words[start : start + at_once], columns))
+        parts.append(sum(rows[n] @ landmarks[n].T for n in SIZES) / len(SIZES))
+    features = np.concatenate(parts) @ root
     features = np.hstack([features, np.ones((len(words), 1))])
     targets = np.array([[1.0 if l == m else -1.0 for m in languages] for _, l in sample])
     # Each language weighs the same, however many texts it has.
@@ -156,12 +164,12 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
         n: (landmarks[n].T @ (root @ beta[:-1]) / len(SIZES)).astype(np.float32) for n in SIZES
     }
     weights[0] = beta[-1:].astype(np.float32)
-    return Model(languages, letters, columns, weights)
+    return Model(languages, columns, weights)
 
 
 def score(model: Model, texts_: list[str]) -> np.ndarray:
     """texts x languages, about 1 for the language and -1 for the others."""
-    rows = _scaled(_present(texts_, model.letters, model.columns))
+    rows = _scaled(_present(texts_, model.columns))
     return sum(rows[n] @ model.weights[n] for n in SIZES) + model.weights[0]
 
 
@@ -193,7 +201,7 @@ def learning_sample(docs: DataFrame, language: str = "lang") -> list[tuple[str,
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` as they are, with lang_pred and score; reads only the text."""
     names = docs.columns
-    # Bounded by alphabet and sample.
+    # Bounded by the sample.
     given = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def task(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

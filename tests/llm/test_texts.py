@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -331,3 +332,34 @@ def test_language(both, odd, empty, sf_dir, spark):
     nothing = language_id.fit(language_id.learning_sample(empty))
     assert nothing is None
     assert {r["lang_pred"] for r in rows(language_id.predict(odd.select("doc_id", "text"), None))} == {"und"}
+
+
+SCRIPTS = {
+    "zh": "的一是不了人我在有他这中大来上个国到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后",
+    "yue": "嘅一係唔咗人我喺有佢呢中大嚟上個國到講哋為子同你地出道都時年得就嗰要下以生會自住去之過屋學對可姖入後",
+    "el": "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώ",
+    "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "he": "אבגדהוזחטיכלמנסעפצקרשת",
+    "hi": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसहािीुूेैोौ",
+    "ko": "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허고노도로모보소오조초코토포호",
+    "en": "abcdefghijklmnopqrstuvwxyz",
+}
+
+
+def test_language_in_several_scripts():
+    rng = np.random.default_rng(3)
+
+    def text(language):
+        letters = list(SCRIPTS[language])
+        return " ".join("".join(rng.choice(letters, rng.integers(2, 7))) for _ in range(20))
+
+    # Far more letters of English than of the others, so that theirs are not the most frequent.
+    sample = [(text(language), language) for language in SCRIPTS for _ in range(12)]
+    sample += [(" ".join(text("en") for _ in range(40)), "en") for _ in range(12)]
+    order = rng.permutation(len(sample))
+    model = language_id.fit([sample[i] for i in order])
+    asked = [(text(language), language) for language in SCRIPTS for _ in range(10)]
+    found = language_id.score(model, [t for t, _ in asked]).argmax(axis=1)
+    right = [model.languages[k] == language for k, (_, language) in zip(found, asked, strict=True)]
+    assert np.mean(right) >= 0.97
