@@ -84,9 +84,10 @@ def tempered(sizes: dict[str | None, float], power: float = 0.5) -> dict[str | N
     return {name: max(size, 1) ** power for name, size in sizes.items()}
 
 
-def source_sizes(docs: DataFrame) -> dict[str | None, float]:
+def source_sizes(docs: DataFrame, size: Column | None = None) -> dict[str | None, float]:
     """Characters of each source, a row per source."""
-    rows = docs.groupBy("source").agg(F.sum(_size()).alias("size")).collect()
+    size = document_size() if size is None else size
+    rows = docs.groupBy("source").agg(F.sum(size).alias("size")).collect()
     return {row["source"]: float(row["size"]) for row in rows}
 
 
@@ -95,25 +96,39 @@ def _key() -> Column:
     return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
 
 
-def _size() -> Column:
+def document_size() -> Column:
+    """Characters of a document, at least 1."""
     return F.greatest(F.coalesce(F.char_length("text"), F.lit(0)), F.lit(1)).cast("long")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float]) -> DataFrame:
+def document_key() -> Column:
+    """What deals documents to buckets; whole copies of a row are interchangeable."""
+    return letters_hash("doc_id", "text")
+
+
+def mix(
+    docs: DataFrame,
+    weights: dict[str | None, float],
+    size: Column | None = None,
+    key: Column | None = None,
+) -> DataFrame:
     """All columns and rows of ``docs`` and __mix: block, slot, place (order inside the block).
 
-    Sorting by __mix.slot, __mix.place gives the mixed order.
+    Sorting by __mix.slot, __mix.place gives the mixed order.  Where ``docs`` has no texts,
+    ``size`` and ``key`` say what ``document_size()`` and ``document_key()`` said of them; slots
+    are the same then.
     """
+    size = document_size() if size is None else size
+    key = document_key() if key is None else key
     spark = docs.sparkSession
     names = docs.columns
     keyed = docs.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
         F.col("source"),
         _key().alias("key"),
-        _size().alias("size"),
-        # Copies of a document go to different buckets only by doc_id; whole copies of a
-        # row are interchangeable.
-        letters_hash("doc_id", "text").alias("place"),
+        size.alias("size"),
+        # Copies of a document go to different buckets only by doc_id.
+        key.alias("place"),
     )
     counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
     if not counts:
@@ -125,8 +140,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float]) -> DataFrame:
 
     # Characters before each bucket of a source, from one row per bucket.
     order = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    place = letters_hash("doc_id", "text").alias("place")
-    light = docs.select("source", _key().alias("key"), _size().alias("size"), place)
+    light = docs.select("source", _key().alias("key"), size.alias("size"), key.alias("place"))
     before = (
         light.withColumn("bucket", F.pmod(F.col("place"), buckets))
         .groupBy("key", "bucket")

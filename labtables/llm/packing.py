@@ -14,6 +14,9 @@ shard is packed by one task from lengths alone (a few MB).  In a shard:
 4. the rest, largest first, goes where it fits best, small pieces last, and into new
    sequences where nothing has room.
 
+In a given order (``packed_in_order``) shards are ranges of it, packed in runs of RUN_PIECES, and
+sequences are numbered by the middle place of their pieces, so that what is read first comes first.
+
 Defined cases: a null text is the empty text, of one id; repeated rows are packed each;
 an empty table gives no rows; other columns are ignored.
 """
@@ -28,12 +31,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labtables.llm import mixing
 from labtables.llm._common import give_back, texts
 from labtables.llm._tokens import encoder
 from labtables.session import scratch_dir
 
 CAPACITY = 2048
 SHARD_PIECES = 200_000
+#: Pieces that are packed together where an order is to be kept.
+RUN_PIECES = 8192
 GROUPS = 96
 #: New configurations asked for at most; the solution is a good one before that.
 ROUNDS = 400
@@ -76,6 +82,36 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return cut.withColumn("shard", key).groupBy("shard").applyInPandas(shard, schema)
 
 
+def pack_in_order(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to pieces with slot and place, in whose order they are packed;
+    ``cut`` is read several times, so pass a written table."""
+    shards = max(1, -(-cut.count() // SHARD_PIECES))
+    names = cut.columns
+    # Slots hold few pieces each, so ranges of them are about even.
+    cuts = sorted(set(cut.approxQuantile("slot", [k / shards for k in range(1, shards)], 0.1 / shards))) if shards > 1 else []
+    number = F.lit(0)
+    if cuts:
+        edges = F.array(*[F.lit(int(c)) for c in cuts])
+        number = F.size(F.filter(edges, lambda edge: edge < F.col("slot")))
+
+    def shard(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["slot", "place", "doc_id", "ids_crc32", "piece"], kind="stable")
+        first = int(group["shard"].iloc[0]) << 32
+        parts = []
+        for start in range(0, len(group), RUN_PIECES):
+            run = group.iloc[start : start + RUN_PIECES]
+            sequence, offset = pack_lengths(run["length"].to_numpy(), capacity)
+            middle = pd.Series(np.arange(len(run))).groupby(sequence).median().sort_values(kind="stable")
+            rank = np.empty(int(sequence.max()) + 1, dtype=np.int64)
+            rank[middle.index.to_numpy()] = np.arange(len(middle))
+            parts.append(run[names].assign(sequence_id=first + rank[sequence], offset=offset))
+            first += len(middle)
+        return pd.concat(parts)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
+    return cut.withColumn("shard", number).groupBy("shard").applyInPandas(shard, schema)
+
+
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and place of each length (1 to capacity)."""
     n = len(lengths)
@@ -205,3 +241,52 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
     folder = scratch_dir(spark, "pieces")
     pieces(docs, vocabulary, end_id, capacity).write.parquet(folder)
     return pack(spark.read.parquet(folder), capacity)
+
+
+def document_pieces(
+    docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY
+) -> DataFrame:
+    """One row per document with its pieces and, for ``mixing.mix``, its source, size and key."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            every = []
+            for ids in encoder(vocabulary).encode(batch["text"]):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                first = len(ids) % capacity or capacity
+                at = [0, *range(first, len(ids) + 1, capacity)]
+                every.append(
+                    [
+                        {"piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[a:b].tobytes())}
+                        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))
+                    ]
+                )
+            yield batch.drop(columns="text").astype({"doc_id": "Int64"}).assign(pieces=every)
+            give_back()
+
+    kept = docs.select(
+        "doc_id",
+        "source",
+        mixing.document_size().alias("size"),
+        mixing.document_key().alias("key"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    pieces_type = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
+    return kept.mapInPandas(cut, f"doc_id long, source string, size long, key long, pieces {pieces_type}")
+
+
+def packed_in_order(
+    docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY
+) -> DataFrame:
+    """Pieces of every document and their places, with source and slot, in the order that mixes
+    the sources to the root of their sizes; sequences are numbered in that order."""
+    spark = docs.sparkSession
+    folder = scratch_dir(spark, "mixed")
+    document_pieces(docs, vocabulary, end_id, capacity).write.parquet(f"{folder}-documents")
+    held = spark.read.parquet(f"{folder}-documents")
+    size, key = F.col("size"), F.col("key")
+    mixed = mixing.mix(held, mixing.tempered(mixing.source_sizes(held, size)), size, key)
+    mixed.select(
+        "doc_id", "source", "__mix.slot", "__mix.place", F.explode("pieces").alias("cut")
+    ).select("doc_id", "cut.*", "source", "slot", "place").write.parquet(f"{folder}-pieces")
+    return pack_in_order(spark.read.parquet(f"{folder}-pieces"), capacity).drop("place")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labtables.llm import jaccard_join, mixing, nearest
+from labtables.llm import jaccard_join, mixing, nearest, packing
 from labtables.llm import queries as llm_queries
 
 
@@ -221,3 +221,26 @@ def test_pipeline(spark, odd, empty, real, tmp_path):
             assert kept[0] == docs.count() - 5
     whole = corpus_pipeline.run(spark, write_table(real, tmp_path / "run"))
     assert whole.count() >= 1
+
+
+@pytest.mark.parametrize("shard", [200_000, 300])
+def test_sequences_follow_the_mixture(spark, monkeypatch, shard):
+    monkeypatch.setattr(mixing, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(packing, "RUN_PIECES", 100)
+    monkeypatch.setattr(packing, "SHARD_PIECES", shard)
+    rows = [(k, " ".join(f"{k % 7} word{k}" for _ in range(12)), "big" if k % 10 else "small") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = mixing.tempered(mixing.source_sizes(docs))
+    share = weights["small"] / sum(weights.values())  # a quarter, of a tenth of the texts
+    slots = {r["doc_id"]: r["slot"] for r in mixing.mix(docs, weights).select("doc_id", "__mix.slot").collect()}
+    found = corpus_pipeline.pack(spark, corpus_pipeline.mix_sources(spark, docs, ""), "").collect()
+    assert {r["doc_id"]: r["slot"] for r in found} == slots
+    assert len(found) == len({(r["doc_id"], r["piece"]) for r in found})
+    assert {r["doc_id"] for r in found} == set(range(1500))
+    order = sorted(found, key=lambda r: r["sequence_id"])
+    # As long as the small source lasts, every prefix of sequences has its share of it.
+    for n in (200, 300, 400, 500):
+        taken = sum(r["length"] for r in order[:n] if r["source"] == "small")
+        assert abs(taken / sum(r["length"] for r in order[:n]) - share) < 0.08, n
+    middle = [r["slot"] for r in order]
+    assert np.corrcoef(middle, np.arange(len(middle)))[0, 1] > 0.99
