@@ -14,11 +14,13 @@ from labtables.llm import (
     jaccard_join,
     language_id,
     licenses,
+    merkle,
     mixing,
     nearest,
     packing,
     private_data,
     repeats,
+    token_counts,
 )
 from labtables.llm._common import table
 from labtables.session import scratch_dir
@@ -26,6 +28,7 @@ from labtables.session import scratch_dir
 #: Vocabulary files are found by the installed package; other files may be passed.
 PACKED_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 STORED_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+COUNTED_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some rows claim one character more than they have; their proofs do not lead to the root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    n_chars = F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    claim = merkle.leaf("doc_id", "source", "lang", n_chars, "text")
+    proofs = merkle.manifest(docs.withColumn("claim", claim), fields, "lang", "doc_id", keep=["claim"])
+    found = proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2("proof", 256).alias("proof_sha256"),
+        merkle.folded("claim").alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), COUNTED_VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -90,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_fingerprints,
         op9_language,
         op10_jaccard_join,
+        op12_merkle,
+        op13_token_counts,
     )
 }
 # No operator's whole result can be said in SQL: each one's method adds to it (spans, labels,
