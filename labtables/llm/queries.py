@@ -21,6 +21,7 @@ from labtables.llm import (
     private_data,
     repeats,
     token_counts,
+    whitening,
 )
 from labtables.llm._common import table
 from labtables.session import scratch_dir
@@ -80,6 +81,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some rows claim one character more than they have; their proofs do not lead to the root."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_fingerprints,
         op9_language,
         op10_jaccard_join,
+        op11_whitening,
         op12_merkle,
         op13_token_counts,
     )
