@@ -29,8 +29,15 @@ def letters_hash(*columns: str | Column) -> Column:
 
 
 def per_worker(key: str, make: Callable[[], object]) -> object:
-    """An object made once per Python worker, which Spark reuses for many tasks."""
+    """An object made once per Python worker, which Spark reuses for many tasks.
+
+    Only the objects of one module are kept: workers outlive a stage, and what the operator of
+    an earlier stage kept would stay beside that of the present one.
+    """
     kept = vars(sys).setdefault("_labtables_per_worker", {})
+    if kept.get("owner") != make.__module__:
+        kept.clear()
+        kept["owner"] = make.__module__
     if key not in kept:
         kept[key] = make()
     return kept[key]
