@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labtables import schemas as S
@@ -112,7 +111,7 @@ def project_end_date(
     status: str,
     seq: str,
     ts: str,
-    chunk_rows: int = 1_000_000,
+    chunk_rows: int = 100_000,
 ) -> DataFrame:
     """When each project was finished, null if it was reopened since.
 
@@ -120,60 +119,42 @@ def project_end_date(
     leave it.  So the date is that of the first finishing row after the last
     clearing row.  ``seq`` is a unique number that orders the log.
 
-    A project's log is cut into chunks of at most ``chunk_rows`` sequence
-    numbers.  Each chunk is reduced to two rows' worth of facts, and only those
-    are brought together per project, so no task ever holds the whole log of a
-    project however long it is.
+    A project's log is cut into chunks of ``chunk_rows`` sequence numbers, and a chunk is
+    summed up by whether it clears, and the first finishing row after that.  Two neighbours
+    make one summary of the same form: the right one if it clears, else the left one's
+    date or, without any, the right one's.  So the log is read once, a list holds the
+    rows of one chunk at most, and per project only summaries are brought together.
+    ``labtables.streaming.rollup`` carries the same summary from batch to batch.
     """
     value = F.col(status)
-    facts = log.select(
-        key,
-        F.expr(f"`{seq}` div {int(chunk_rows)}").alias("_chunk"),
-        F.col(seq).alias("_seq"),
-        F.col(ts).alias("_ts"),
-        value.isin(*S.CLEARS_END_DATE).alias("_clears"),
-        value.isin(*S.SETS_END_DATE).alias("_sets"),
-    )
-    in_chunk = W.partitionBy(key, "_chunk")
+    clears, sets = value.isin(*S.CLEARS_END_DATE), value.isin(*S.SETS_END_DATE)
+    fact = F.struct(F.col(seq).alias("seq"), F.col(ts).alias("ts"), clears.alias("clears"))
     chunks = (
-        facts.where("_clears OR _sets")
-        .withColumn("_clear", F.max(F.when(F.col("_clears"), F.col("_seq"))).over(in_chunk))
+        log.select(
+            key,
+            F.expr(f"`{seq}` div {int(chunk_rows)}").alias("_chunk"),
+            F.when(clears | sets, fact).alias("_fact"),
+        )
         .groupBy(key, "_chunk")
-        .agg(
-            F.max("_clear").alias("_clear"),
-            F.min_by(
-                "_ts",
-                F.when(
-                    F.col("_sets")
-                    & (F.col("_clear").isNull() | (F.col("_seq") > F.col("_clear"))),
-                    F.col("_seq"),
-                ),
-            ).alias("_ts"),
+        .agg(F.collect_list("_fact").alias("_facts"))
+        .withColumn(
+            "_cleared",
+            F.array_max(F.transform(F.filter("_facts", lambda f: f["clears"]), lambda f: f["seq"])),
         )
     )
-    # The chunk's own date counts when no later chunk clears it; the earliest
-    # such chunk wins.
-    per_project = W.partitionBy(key)
-    dated = (
-        chunks.withColumn(
-            "_last_clear_chunk",
-            F.max(F.when(F.col("_clear").isNotNull(), F.col("_chunk"))).over(per_project),
-        )
-        .groupBy(key)
-        .agg(
-            F.min_by(
-                "_ts",
-                F.when(
-                    F.col("_ts").isNotNull()
-                    & (
-                        F.col("_last_clear_chunk").isNull()
-                        | (F.col("_chunk") >= F.col("_last_clear_chunk"))
-                    ),
-                    F.col("_chunk"),
-                ),
-            ).alias("end_date")
-        )
+    cleared = F.col("_cleared")
+    after = F.filter(
+        "_facts", lambda f: ~f["clears"] & (cleared.isNull() | (f["seq"] > cleared))
+    )
+    summary = F.struct(
+        "_chunk", cleared.isNotNull().alias("clears"), F.array_min(after)["ts"].alias("ts")
+    )
+    in_order = F.array_sort(F.collect_list(summary))
+    date = F.aggregate(
+        "_chunks",
+        F.lit(None).cast(log.schema[ts].dataType),
+        lambda held, part: F.when(part["clears"], part["ts"]).otherwise(F.coalesce(held, part["ts"])),
+    )
+    return (
+        chunks.groupBy(key).agg(in_order.alias("_chunks")).select(key, date.alias("end_date"))
     )
-    # Projects whose log never touches the date have none either.
-    projects = log.select(key).distinct()
-    return projects.join(dated, key, "left")

@@ -53,16 +53,20 @@ def latest_flowcell(
     return aged.groupBy(*keys).agg(best).where("latest_flowcell IS NOT NULL")
 
 
-def latest_flowcell_of_map(library_prep: ColumnOrName) -> Column:
-    """:func:`latest_flowcell` inside one document's prep map: no shuffle."""
-    flowcells = F.flatten(
+def flowcells_of_map(library_prep: ColumnOrName) -> Column:
+    """All flowcells of one document's prep map, in its order."""
+    return F.flatten(
         F.transform(
             F.map_values(as_col(library_prep)),
             lambda prep: F.coalesce(prep["sequenced_fc"], F.array().cast("array<string>")),
         )
     )
+
+
+def latest_flowcell_of_map(library_prep: ColumnOrName) -> Column:
+    """:func:`latest_flowcell` inside one document's prep map: no shuffle."""
     dated = F.transform(
-        flowcells,
+        flowcells_of_map(library_prep),
         lambda fc, i: F.struct(
             (-F.unix_date(flowcell_date(fc))).alias("age"), i.alias("pos"), fc.alias("flowcell")
         ),

@@ -1,9 +1,10 @@
 """Keyed merges into the tracking tables.
 
-The stored table is the large side and a patch the small one.  No merge here
-does a full outer join: rows the patch touches are found by joining *to* the
-patch, so a patch under the broadcast threshold leaves the stored table
-unshuffled, and a larger one falls back to shuffled joins.
+The stored table is the large side and a patch the small one.  Rows the patch
+touches are found by joining *to* the patch, so a patch under the broadcast
+threshold leaves the stored table unshuffled, and a larger one falls back to
+shuffled joins.  Only ``upsert_samples``, where both sides give columns, is one full
+outer join.
 """
 
 from __future__ import annotations
@@ -28,34 +29,6 @@ def upsert_docs(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(patch.select(*base.columns))
 
 
-def _new_rows(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
-    """Patch rows whose key the stored table does not have."""
-    touched = base.select(*keys).join(patch.select(*keys), keys, "left_semi")
-    return patch.join(touched, keys, "left_anti")
-
-
-def merge_newer(base: DataFrame, patch: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Stored rows with the patch rows that are newer; one row per key in both.
-
-    An equal ``seq`` is the same change replayed, and the stored row stays.
-    """
-    newest = patch.select(*keys, F.col(seq).alias("_seq"))
-    kept = (
-        base.join(newest, keys, "left")
-        .where(F.col("_seq").isNull() | (F.col(seq) >= F.col("_seq")))
-        .select(*base.columns)
-    )
-    stored = base.select(*keys, F.col(seq).alias("_seq")).join(
-        patch.select(*keys), keys, "left_semi"
-    )
-    newer = (
-        patch.join(stored, keys, "left")
-        .where(F.col("_seq").isNull() | (F.col(seq) > F.col("_seq")))
-        .select(*base.columns)
-    )
-    return kept.unionByName(newer)
-
-
 def merge_flowcells(old: ColumnOrName, new: ColumnOrName) -> Column:
     """Union of two flowcell lists of one sample, without duplicates."""
     empty = F.array().cast("array<string>")
@@ -68,48 +41,53 @@ def flowcell_union(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_samples(
-    base: DataFrame, patch: DataFrame, keys: list[str], now: ColumnOrName | None = None
+    base: DataFrame,
+    patch: DataFrame,
+    keys: list[str],
+    now: ColumnOrName | None = None,
+    replaced: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add or update tracked samples.
 
     Known sample: status replaced, flowcells united, start and end replaced
     only where the patch gives one, everything else (job id too) kept.  New
     sample: the patch with QC "", not delivered, started ``now`` unless the patch
-    says when, and blanks for what else it lacks.
+    says when, and blanks for what else it lacks.  Columns named in ``replaced``
+    are the patch's wherever it has the sample.
+
+    One full outer join, so each side is read and shuffled once: for a large
+    stored table hand in the part that the patch may touch, as snapshots do.
     """
     started = F.lit("") if now is None else as_col(now)
-    changes = patch.select(
-        *keys,
-        F.col("status").alias("_status"),
-        F.col("start_time").alias("_start"),
-        F.col("end_time").alias("_end"),
-        F.col("flowcells").alias("_flowcells"),
-    )
-    updated = (
-        base.join(changes, keys, "left")
-        .withColumn("status", F.coalesce("_status", "status"))
-        .withColumn("start_time", F.coalesce(blank_to_null("_start"), F.col("start_time")))
-        .withColumn("end_time", F.coalesce(blank_to_null("_end"), F.col("end_time")))
-        .withColumn(
-            "flowcells",
-            F.when(
-                F.coalesce(F.size("_flowcells"), F.lit(0)) > 0,
-                merge_flowcells("flowcells", "_flowcells"),
-            ).otherwise(F.col("flowcells")),
-        )
-        .select(*base.columns)
+    rest = [c for c in base.columns if c not in keys]
+    changes = ["status", "job_id", "start_time", "end_time", "flowcells", *replaced]
+    both = base.select(*keys, F.struct(*rest).alias("_old")).join(
+        patch.select(*keys, F.struct(*changes).alias("_new")), keys, "full"
     )
-    added = _new_rows(base, patch, keys).select(
-        *keys,
-        F.coalesce("status", F.lit("pending")).alias("status"),
-        null_to_blank("job_id").alias("job_id"),
-        F.coalesce(blank_to_null("start_time"), started).alias("start_time"),
-        null_to_blank("end_time").alias("end_time"),
-        merge_flowcells(F.lit(None).cast("array<string>"), "flowcells").alias("flowcells"),
-        F.lit("").alias("qc"),
-        F.lit(False).alias("delivered"),
+    old, new = F.col("_old"), F.col("_new")
+    known = old.isNotNull()
+    given = F.coalesce(F.size(new["flowcells"]), F.lit(0)) > 0
+    nothing = F.lit(None).cast("array<string>")
+    values = {
+        "status": F.coalesce(new["status"], old["status"], F.lit("pending")),
+        "job_id": F.when(known, old["job_id"]).otherwise(null_to_blank(new["job_id"])),
+        "start_time": F.coalesce(
+            blank_to_null(new["start_time"]), F.when(known, old["start_time"]).otherwise(started)
+        ),
+        "end_time": F.coalesce(
+            blank_to_null(new["end_time"]), F.when(known, old["end_time"]).otherwise(F.lit(""))
+        ),
+        "flowcells": F.when(known & ~given, old["flowcells"]).otherwise(
+            merge_flowcells(F.when(known, old["flowcells"]).otherwise(nothing), new["flowcells"])
+        ),
+        "qc": F.when(known, old["qc"]).otherwise(F.lit("")),
+        "delivered": F.when(known, old["delivered"]).otherwise(F.lit(False)),
+    }
+    for name in replaced:
+        values[name] = F.when(new.isNotNull(), new[name]).otherwise(old[name])
+    return both.select(
+        *[F.col(c) if c in keys else values.get(c, old[c]).alias(c) for c in base.columns]
     )
-    return updated.unionByName(added)
 
 
 def upsert_user_info(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:

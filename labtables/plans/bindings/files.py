@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from labtables.operators import plate as P
 from labtables.plans.bindings._registry import query, table
 from labtables.session import scratch_dir
-from labtables.sources import readers, writers
+from labtables.sources import readers, snapshots, writers
 
 
 def _well_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,18 +144,15 @@ def write_multi_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def write_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches by order status, whose orders interleave, and a compaction."""
+    """Three batches by order status, whose orders interleave; the second comes twice."""
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("body"), "o_orderstatus"
     )
     path = scratch_dir(spark, "tracking")
-    stored = writers.TrackingTable(spark, path, ["doc_id"])
-    for batch, status in enumerate("FOP"):
+    for batch, status in enumerate("FOOP"):
         part = rows.where(F.col("o_orderstatus") == status).drop("o_orderstatus")
-        writers.write_tracking(part, path, ["doc_id"], batch)
-        if status == "O":
-            stored.compact()
-    return stored.current()
+        snapshots.write_tracking(part, path, ["doc_id"], min(batch, 1) + batch // 3, buckets=8)
+    return snapshots.Snapshot(spark, path, ["doc_id"], buckets=8).current()
 
 
 @query("SELECT p_brand AS BCset, p_name AS WellID, CAST(p_partkey AS VARCHAR) AS XC, p_type AS XC_NovaSeq FROM part")

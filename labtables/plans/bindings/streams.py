@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from labtables.functions._cols import case_lookup
 from labtables.operators import markers as M
 from labtables.operators.routing import Rule
-from labtables.plans.bindings._registry import ROLLUP_SQL, query, table
+from labtables.operators.upsert import update_field
+from labtables.plans.bindings._registry import ROLLUP_SQL, STAMP_SQL, query, stamp, table
 from labtables.plans.bindings.documents import MISSING_SQL, REQUIRED, TARGET_SQL, raw_docs
 from labtables.plans.bindings.documents import RULES as DOC_RULES
 from labtables.plans.bindings.statuses import EVENT_STATUS, EVENT_STATUS_SQL
-from labtables.plans.follow_projects import follow_projects
+from labtables.plans.follow_projects import (
+    SAMPLE_KEYS,
+    follow_projects,
+    project_table,
+    rejected,
+    sample_table,
+)
 from labtables.session import scratch_dir
-from labtables.sources.writers import TrackingTable
 from labtables.streaming import changes as C
 from labtables.streaming.dispatch import Dispatcher
 from labtables.streaming.markers import flowcell_ready as ready_stream
+from labtables.streaming.rollup import follow_rollup, rolled_up
 
 MARKERS = ["click", "purchase"]
 
@@ -108,10 +115,9 @@ def flowcell_ready_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latest_doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark, "latest-docs")
-    docs = TrackingTable(spark, f"{root}/docs", ["doc_id"])
     feed = _feed(_event_stream(spark, sf_dir))
-    C.follow_documents(feed, docs, f"{root}/checkpoint").awaitTermination()
-    return docs.current().where("body IS NOT NULL").select(
+    C.follow_documents(feed, f"{root}/checkpoint").awaitTermination()
+    return C.latest_documents(spark, f"{root}/checkpoint").where("body IS NOT NULL").select(
         "doc_id", "seq", F.get_json_object("body", "$.method").alias("method")
     )
 
@@ -119,17 +125,6 @@ def latest_doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_RULES = [Rule("click", "clicks"), Rule("p", "p_realm", prefix=True), Rule("v", "never")]
 
 
-def _routed(spark: SparkSession, sf_dir: str) -> tuple[TrackingTable, TrackingTable]:
-    root = scratch_dir(spark, "routed")
-    routed = TrackingTable(spark, f"{root}/routed", ["doc_id"])
-    rejects = TrackingTable(spark, f"{root}/rejects", ["doc_id"])
-    feed = _feed(_event_stream(spark, sf_dir))
-    C.follow_routed(
-        feed, STREAM_RULES, "$.method", routed, rejects, f"{root}/checkpoint"
-    ).awaitTermination()
-    return routed, rejects
-
-
 LAST_SQL = """
     SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS seq,
         arg_max(event_type, event_id) AS method FROM events GROUP BY user_id)
@@ -146,41 +141,94 @@ LAST_SQL = """
 )
 def routed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routed documents, and the unrouted ones with a null target."""
-    routed, rejects = _routed(spark, sf_dir)
+    checkpoint = f"{scratch_dir(spark, 'routed')}/checkpoint"
+    feed = _feed(_event_stream(spark, sf_dir))
+    C.follow_routed(feed, STREAM_RULES, "$.method", checkpoint).awaitTermination()
+    routed, rejects = C.routed_documents(spark, checkpoint, STREAM_RULES, "$.method")
     columns = ["doc_id", "seq", "method"]
-    return routed.current().select(*columns, "target").unionByName(
-        rejects.current().select(*columns, F.lit(None).cast("string").alias("target"))
+    return routed.select(*columns, "target").unionByName(
+        rejects.select(*columns, F.lit(None).cast("string").alias("target"))
     )
 
 
 @query(
     f"""
-    SELECT 'P' || CAST(c_custkey AS VARCHAR) AS project_id, {TARGET_SQL} AS target, 'ongoing' AS tracked_status,
-      'own' || CAST(c_custkey AS VARCHAR) AS owner_email, c_custkey % 4 = 0 AS sensitive,
-      CASE WHEN c_custkey % 2 <> 0 THEN 2 ELSE 1 END AS n_samples,
-      CASE WHEN c_custkey % 6 = 0 THEN 'pending' ELSE 'processing' END AS project_status
-    FROM customer WHERE {MISSING_SQL} = '' AND {TARGET_SQL} IS NOT NULL
+    WITH k AS (SELECT *, c_custkey AS k, {TARGET_SQL} AS target, c_custkey % 9 = 0 AS done,
+        c_custkey % 3 = 0 AND c_custkey % 9 <> 0 AS changed, c_custkey % 6 <> 0 AS sequenced, c_custkey % 8 = 1 AS worked
+      FROM customer WHERE {MISSING_SQL} = '' AND {TARGET_SQL} IS NOT NULL),
+    s AS (SELECT k.*, sample_id FROM k, (VALUES ('S1'), ('S2')) AS t(sample_id) WHERE sample_id = 'S1' OR k % 2 <> 0)
+    SELECT 'P' || CAST(k AS VARCHAR) AS project_id, target, CASE WHEN done THEN 'completed' ELSE 'ongoing' END AS tracked_status,
+      CASE WHEN changed THEN 'new' ELSE 'own' END || CAST(k AS VARCHAR) AS owner_email, k % 4 = 0 AS sensitive, sample_id,
+      CASE WHEN worked THEN 'processing' WHEN sequenced THEN 'initialized' ELSE 'unsequenced' END AS status,
+      CASE WHEN sequenced THEN CASE WHEN changed THEN '20240301_' ELSE '20240101_' END || CAST(k AS VARCHAR) END AS flowcell,
+      CASE WHEN NOT sequenced THEN '' ELSE '20240101_' || CAST(k AS VARCHAR) || ',' ||
+        CASE WHEN changed THEN '20240301_' || CAST(k AS VARCHAR) || ',' ELSE '' END || '231231_A' END AS flowcells,
+      CASE WHEN worked THEN 'at work' ELSE 'at intake' END AS start_time, '' AS end_time,
+      CASE WHEN worked THEN 'Passed' ELSE '' END AS qc, false AS delivered,
+      CASE WHEN worked OR sequenced THEN 'processing' ELSE 'pending' END AS project_status
+    FROM s
     """
 )
 def project_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as a document feed, followed into tracked projects and samples."""
+    """Customers as a document feed in two batches, with work on some samples in between.
+
+    The second batch has new owners and flowcells for every third project; every ninth was
+    completed before and stays as it is.
+    """
     root = scratch_dir(spark, "projects")
-    projects = TrackingTable(spark, f"{root}/projects", ["project_id"])
-    samples = TrackingTable(spark, f"{root}/samples", ["project_id", "sample_id"])
-    feed = raw_docs(_stream(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
-    follow_projects(
-        feed, DOC_RULES, REQUIRED, projects, samples, f"{root}/checkpoint"
-    ).awaitTermination()
-    tracked = projects.current().select(
-        "project_id",
-        "target",
-        F.col("project_status").alias("tracked_status"),
-        F.try_element_at(F.try_element_at("user_info", F.lit("owner")), F.lit("email")).alias(
-            "owner_email"
+    projects = project_table(spark, f"{root}/projects", buckets=8)
+    samples = sample_table(spark, f"{root}/samples", buckets=8)
+    docs = raw_docs(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+
+    def catch_up() -> None:
+        follow_projects(
+            C.read_changes(spark, f"{root}/feed"),
+            DOC_RULES,
+            REQUIRED,
+            projects,
+            samples,
+            f"{root}/checkpoint",
+            now=F.lit("at intake"),
+        ).awaitTermination()
+
+    docs.write.mode("append").parquet(f"{root}/feed")
+    catch_up()
+
+    number = F.substr("project_id", F.lit(2)).cast("long")
+    worked = samples.current().where(number % 8 == 1)
+    patches = worked.select(
+        *SAMPLE_KEYS,
+        "seq",
+        F.inline(
+            F.array(
+                F.struct(F.lit("status").alias("field"), F.lit("processing").alias("value")),
+                F.struct(F.lit("qc").alias("field"), F.lit("Passed").alias("value")),
+            )
         ),
-        "sensitive",
     )
-    return tracked.join(C.tracked_projects(samples, "project_id"), "project_id")
+    samples.upsert(update_field(worked, patches, SAMPLE_KEYS, ["status", "qc"], "seq", F.lit("at work")))
+    done = projects.current().where(number % 9 == 0).withColumn("project_status", F.lit("completed"))
+    projects.upsert(done)
+
+    changed = F.replace(
+        F.replace("body", F.lit("20240101_"), F.lit("20240301_")), F.lit('"email":"own'), F.lit('"email":"new')
+    )
+    later = docs.where(F.col("seq") % 3 == 0).withColumn("body", changed)
+    later.withColumn("seq", F.col("seq") + 1_000_000_000).write.mode("append").parquet(f"{root}/feed")
+    catch_up()
+
+    kept = samples.current()
+    owner = F.try_element_at(F.try_element_at("user_info", F.lit("owner")), F.lit("email"))
+    tracked = projects.current().select(
+        "project_id", "target", F.col("project_status").alias("tracked_status"), owner.alias("owner_email"), "sensitive"
+    )
+    rolled = C.tracked_projects(kept, "project_id").drop("n_samples")
+    return (
+        kept.drop("seq", "job_id")
+        .withColumn("flowcells", F.array_join(F.array_sort("flowcells"), ","))
+        .join(tracked, "project_id")
+        .join(rolled, "project_id")
+    )
 
 
 @query(
@@ -194,40 +242,93 @@ def project_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def project_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same feed: the documents that are not followed, with the reason."""
     root = scratch_dir(spark, "project-rejects")
-    projects = TrackingTable(spark, f"{root}/projects", ["project_id"])
-    samples = TrackingTable(spark, f"{root}/samples", ["project_id", "sample_id"])
-    rejects = TrackingTable(spark, f"{root}/rejects", ["doc_id"])
     feed = raw_docs(_stream(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
-    follow_projects(
-        feed, DOC_RULES, REQUIRED, projects, samples, f"{root}/checkpoint", rejects=rejects
-    ).awaitTermination()
-    return rejects.current()
+    C.follow_documents(feed, f"{root}/checkpoint").awaitTermination()
+    return rejected(spark, f"{root}/checkpoint", DOC_RULES, REQUIRED)
+
+
+def _status_log(events: DataFrame) -> DataFrame:
+    return events.select(
+        (F.col("user_id") % 40).alias("project_id"),
+        F.col("user_id").alias("sample_id"),
+        case_lookup("event_type", EVENT_STATUS).alias("status"),
+        "event_id",
+        "ts",
+    )
 
 
-STATUS_LAST_SQL = f"""SELECT user_id, arg_max({EVENT_STATUS_SQL}, event_id) AS st FROM events GROUP BY user_id"""
+STATUS_LAST_SQL = f"""SELECT user_id, arg_max({EVENT_STATUS_SQL}, event_id) AS st,
+      max({STAMP_SQL.format('ts')}) FILTER (event_type IN ('click', 'view')) AS start_time,
+      max({STAMP_SQL.format('ts')}) FILTER (event_type IN ('purchase', 'error')) AS end_time
+    FROM events GROUP BY user_id"""
 
 
 @query(
     f"""
     WITH s AS ({STATUS_LAST_SQL}),
-    f AS (SELECT user_id % 40 AS project_id, count(*) AS n_samples, bool_or(st IN ('processing')) AS a,
+    f AS (SELECT user_id % 40 AS project_id, bool_or(st IN ('processing')) AS a,
         bool_and(st IN ('completed')) AS b, bool_and(st IN ('pending')) AS c FROM s GROUP BY 1)
-    SELECT project_id, n_samples, {ROLLUP_SQL.format(finished='completed')} AS project_status FROM f
+    SELECT project_id, user_id AS sample_id, st AS status, start_time, end_time,
+      {ROLLUP_SQL.format(finished='completed')} AS project_status
+    FROM f JOIN s ON project_id = user_id % 40
     """
 )
 def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status rows in three batches that come in no order; each changes what is there."""
     root = scratch_dir(spark, "status")
-    samples = TrackingTable(spark, f"{root}/samples", ["project_id", "sample_id"])
-    log = _event_stream(spark, sf_dir).select(
-        (F.col("user_id") % 40).alias("project_id"),
-        F.col("user_id").alias("sample_id"),
-        case_lookup("event_type", EVENT_STATUS).alias("status"),
-        "event_id",
+    log = _status_log(table(spark, sf_dir, "events"))
+    for batch in (1, 0, 2):
+        log.where(F.col("event_id") % 3 == batch).write.mode("append").parquet(f"{root}/log")
+        rows = C.read_changes(spark, f"{root}/log", log.schema)
+        C.follow_status(
+            rows, ["project_id", "sample_id"], "status", "event_id", "ts", f"{root}/checkpoint"
+        ).awaitTermination()
+    samples = C.current_statuses(spark, f"{root}/checkpoint")
+    rolled = C.tracked_projects(samples, "project_id").drop("n_samples")
+    return samples.join(rolled, "project_id").select(
+        "project_id",
+        "sample_id",
+        "status",
+        stamp("start_time").alias("start_time"),
+        stamp("end_time").alias("end_time"),
+        "project_status",
+    )
+
+
+@query(
+    f"""
+    WITH e AS (SELECT user_id % 40 AS p, event_id, ts,
+        CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END AS k,
+        lag(CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END)
+          OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events),
+    c AS (SELECT p, event_id, ts, sum(CASE WHEN was IS NULL THEN 1 ELSE 0 END) OVER w AS n,
+        sum(CAST(k = 0 AS INT) - CAST(coalesce(was = 0, false) AS INT)) OVER w AS active,
+        sum(CAST(k = 1 AS INT) - CAST(coalesce(was = 1, false) AS INT)) OVER w AS finished,
+        sum(CAST(k = 2 AS INT) - CAST(coalesce(was = 2, false) AS INT)) OVER w AS idle
+      FROM e WINDOW w AS (PARTITION BY p ORDER BY event_id)),
+    s AS (SELECT p, event_id, ts, n, CASE WHEN active > 0 THEN 'processing' WHEN finished = n THEN 'completed'
+        WHEN idle = n THEN 'pending' ELSE 'partially_completed' END AS st FROM c),
+    l AS (SELECT p, max(event_id) FILTER (st = 'processing') AS cleared, max(n) AS n_samples,
+        arg_max(st, event_id) AS project_status FROM s GROUP BY p),
+    d AS (SELECT s.p, arg_min(s.ts, s.event_id) AS end_date FROM s JOIN l ON s.p = l.p
+        WHERE s.st IN ('completed', 'partially_completed') AND s.event_id > coalesce(l.cleared, -1) GROUP BY s.p)
+    SELECT CAST(l.p AS VARCHAR) AS project_id, CAST(n_samples AS BIGINT) AS n_samples, project_status,
+      {STAMP_SQL.format('end_date')} AS end_date
+    FROM l LEFT JOIN d ON l.p = d.p
+    """
+)
+def rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project status and end date after each status row, in two batches."""
+    root = scratch_dir(spark, "rollup")
+    log = _status_log(table(spark, sf_dir, "events"))
+    half = log.agg(F.median("event_id")).first()[0] or 0
+    for batch in (F.col("event_id") <= half, F.col("event_id") > half):
+        log.where(batch).write.mode("append").parquet(f"{root}/log")
+        rows = C.read_changes(spark, f"{root}/log", log.schema)
+        follow_rollup(rows, "project_id", "sample_id", "status", "event_id", "ts", f"{root}/kept")
+    return rolled_up(spark, f"{root}/kept").select(
+        F.col("project").alias("project_id"), "n_samples", "project_status", stamp("end_date").alias("end_date")
     )
-    C.follow_status(
-        log, ["project_id", "sample_id"], "status", "event_id", samples, f"{root}/checkpoint"
-    ).awaitTermination()
-    return C.tracked_projects(samples, "project_id")
 
 
 @query(

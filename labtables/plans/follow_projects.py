@@ -1,31 +1,47 @@
-"""The change feed, followed into the tracking tables.
+"""The change feed, followed into the tracked projects and samples.
 
-Each micro-batch of changed documents is routed and checked, and its projects and
-samples are merged with what is tracked: a new project is inserted as ongoing, a
-completed one is left alone, any other has its contacts and sensitivity brought
-up to date; a sample keeps the status and job it is tracked with.
+The latest documents are Spark's streaming state.  Those that a batch touches are routed
+and checked, and their projects and samples are merged with what is tracked: a new
+project is inserted as ongoing, a completed one is left alone, any other has its contacts
+and sensitivity brought up to date; a sample keeps the status, job, times, QC and delivery
+it is tracked with, and its flowcells are united.
+
+Projects and samples are snapshots laid out by project: a batch reads and rewrites only the
+folders of its projects.  Merging the same batch again changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from labtables.functions._cols import ColumnOrName
 from labtables.functions.documents import is_sensitive, user_info
 from labtables.operators.routing import Rules, route
 from labtables.operators.samples import merge_tracking
-from labtables.operators.upsert import merge_user_info
+from labtables.operators.upsert import merge_user_info, upsert_samples
 from labtables.plans.intake import complete_documents, intake_samples, rejected_documents
 from labtables.sources.readers import parse_docs
-from labtables.sources.writers import TrackingTable
-from labtables.streaming.changes import latest_changes, run
+from labtables.sources.snapshots import Snapshot
+from labtables.streaming.changes import follow_documents, latest_documents
 
 PROJECT = """project_id STRING, projects_reference STRING, project_name STRING, method STRING,
   target STRING, project_status STRING, user_info MAP<STRING, MAP<STRING, STRING>>,
   sensitive BOOLEAN, seq BIGINT"""
 SAMPLE = """project_id STRING, sample_id STRING, flowcell STRING, status STRING, job_id STRING,
+  start_time STRING, end_time STRING, flowcells ARRAY<STRING>, qc STRING, delivered BOOLEAN,
   seq BIGINT"""
+SAMPLE_KEYS = ["project_id", "sample_id"]
+
+
+def project_table(spark: SparkSession, root: str, buckets: int = 64) -> Snapshot:
+    return Snapshot(spark, root, ["project_id"], buckets=buckets)
+
+
+def sample_table(spark: SparkSession, root: str, buckets: int = 64) -> Snapshot:
+    """Samples lie with their project, as they are looked up by it."""
+    return Snapshot(spark, root, SAMPLE_KEYS, buckets=buckets, bucket_by=["project_id"])
 
 
 def _contacts(owner: str, fields: str) -> Column:
@@ -36,9 +52,11 @@ def _contacts(owner: str, fields: str) -> Column:
     )
 
 
-def project_rows(docs: DataFrame, rules: Rules, required: list[str]) -> DataFrame:
+def project_rows(
+    docs: DataFrame, rules: Rules, required: list[str], sample_required: list[str] | None = None
+) -> DataFrame:
     """Complete, routed documents as project rows."""
-    complete = complete_documents(docs, required).select(
+    complete = complete_documents(docs, required, sample_required).select(
         F.col("doc.project_id").alias("project_id"),
         F.col("doc_id").alias("projects_reference"),
         F.col("doc.project_name").alias("project_name"),
@@ -69,42 +87,64 @@ def merge_projects(incoming: DataFrame, tracked: DataFrame) -> DataFrame:
     )
 
 
+def merge_samples(rows: DataFrame, tracked: DataFrame, now: ColumnOrName) -> DataFrame:
+    """Rows to write: samples of documents merged with the tracked ones of their projects.
+
+    A tracked status and job id stay, flowcells are united, the latest flowcell and ``seq``
+    are the document's; a new sample starts ``now`` with empty QC and undelivered.
+    """
+    patch = merge_tracking(rows.withColumn("job_id", F.lit("")), tracked, SAMPLE_KEYS)
+    patch = patch.withColumns(
+        {"start_time": F.lit(None).cast("string"), "end_time": F.lit(None).cast("string")}
+    )
+    return upsert_samples(tracked, patch, SAMPLE_KEYS, now, replaced=("flowcell", "seq"))
+
+
 def follow_projects(
     changes: DataFrame,
     rules: Rules,
     required: list[str],
-    projects: TrackingTable,
-    samples: TrackingTable,
+    projects: Snapshot,
+    samples: Snapshot,
     checkpoint: str,
     poll_seconds: int | None = None,
-    writer: str = "feed",
-    rejects: TrackingTable | None = None,
+    sample_required: list[str] | None = None,
+    now: ColumnOrName | None = None,
 ) -> StreamingQuery:
-    """Keep both tracking tables up to date with the feed.
+    """Keep both snapshots up to date with the feed.
 
-    ``rejects`` keeps the changed documents that go no further, with the reason; a
-    document that is mended later stays there under its old ``seq``.
+    ``now`` is the start of a new sample (the time of the batch by default).  Documents that
+    go no further are in :func:`rejected`.
     """
+    started = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if now is None else now
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        docs = parse_docs(latest_changes(batch)).persist()
-        incoming = project_rows(docs, rules, required).persist()
-        # Only what this batch touches is looked up, and not what a first attempt
-        # at the same batch may have written.
+        docs = parse_docs(batch.where("body IS NOT NULL")).persist()
+        incoming = project_rows(docs, rules, required, sample_required).persist()
         touched = incoming.select("project_id").distinct()
-        tracked = projects.current(before=(writer, batch_id), only=touched, schema=PROJECT)
-        tracked_samples = samples.current(before=(writer, batch_id), only=touched, schema=SAMPLE)
+        tracked = projects.current(only=touched, schema=PROJECT)
+        tracked_samples = samples.current(only=touched, schema=SAMPLE)
         going = merge_projects(incoming, tracked).persist()
         try:
-            rows = intake_samples(docs).join(going.select("project_id", "seq"), "project_id")
-            rows = rows.withColumn("job_id", F.lit(""))
-            projects.append(going, batch_id, writer)
-            merged = merge_tracking(rows, tracked_samples, ["project_id", "sample_id"])
-            samples.append(merged, batch_id, writer)
-            if rejects is not None:
-                rejects.append(rejected_documents(docs, rules, required), batch_id, writer)
+            rows = intake_samples(docs, all_flowcells=True).join(
+                going.select("project_id", "seq"), "project_id"
+            )
+            samples.upsert(merge_samples(rows, tracked_samples, started), batch_id)
+            projects.upsert(going, batch_id)
         finally:
             for cached in (going, incoming, docs):
                 cached.unpersist()
 
-    return run(changes, save, checkpoint, poll_seconds)
+    return follow_documents(changes, checkpoint, save, poll_seconds)
+
+
+def rejected(
+    spark: SparkSession,
+    checkpoint: str,
+    rules: Rules,
+    required: list[str],
+    sample_required: list[str] | None = None,
+) -> DataFrame:
+    """Latest documents that go no further, with the reason; a mended one is gone from here."""
+    docs = parse_docs(latest_documents(spark, checkpoint).where("body IS NOT NULL"))
+    return rejected_documents(docs, rules, required, sample_required)

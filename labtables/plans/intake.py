@@ -11,6 +11,7 @@ from labtables.functions.status import not_aborted
 from labtables.operators.routing import Rules, route, with_target
 from labtables.operators.samples import (
     explode_samples,
+    flowcells_of_map,
     latest_flowcell_of_map,
     sequencing_status,
 )
@@ -103,13 +104,21 @@ def intake_projects(
     return init_projects(route(info, "library_prep_method", rules), tracking, "project_id")
 
 
-def intake_samples(docs: DataFrame) -> DataFrame:
-    """Samples of documents that are not aborted, with flowcell and status."""
+def intake_samples(docs: DataFrame, all_flowcells: bool = False) -> DataFrame:
+    """Samples of documents that are not aborted, with latest flowcell and status.
+
+    ``all_flowcells`` adds the list of all of them, without duplicates.
+    """
     samples = explode_samples(typed(docs), "samples", "project_id")
     manual = F.try_element_at(F.col("sample.details"), F.lit("status_(manual)"))
     latest = latest_flowcell_of_map("sample.library_prep")
+    every = F.coalesce(
+        F.array_compact(F.array_distinct(flowcells_of_map("sample.library_prep"))),
+        F.array().cast("array<string>"),
+    )
+    more = [every.alias("flowcells")] if all_flowcells else []
     return (
         samples.where(not_aborted(manual))
-        .select("project_id", "sample_id", latest.alias("flowcell"))
+        .select("project_id", "sample_id", latest.alias("flowcell"), *more)
         .withColumn("status", sequencing_status("flowcell"))
     )

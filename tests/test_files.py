@@ -1,4 +1,5 @@
 import json
+import shutil
 from pathlib import Path
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labtables.sources import readers as R
 from labtables.sources import writers as W
+from labtables.sources.snapshots import Snapshot
 
 
 def lines_of(folder):
@@ -175,36 +177,73 @@ def test_long_sheet_over_several_files_is_in_order(spark, tmp_path):
     assert lines_of(folder) == ["[libraries]", "fastq_id,fastqs,feature_types"] + [f"s{i:05d},/f,GEX" for i in range(5000)]
 
 
-def test_tracking_table(spark, tmp_path):
-    table = W.TrackingTable(spark, str(tmp_path / "t"), ["id"])
+def snapshot_rows(spark, *values):
+    return spark.createDataFrame(list(values), "id string, seq long, v string")
 
-    def rows(*values):
-        return spark.createDataFrame(list(values), "id string, seq long, v string")
+
+def files_of(root):
+    return {str(p): p.stat().st_mtime_ns for p in root.glob("current/*/part-*")}
+
+
+def test_snapshot_keeps_the_newest_row_of_every_key(spark, tmp_path):
+    table = Snapshot(spark, str(tmp_path / "t"), ["id"], buckets=4)
 
     def state():
         return {r.id: r.v for r in table.current().collect()}
 
-    table.append(rows(("a", 1, "a1"), ("b", 2, "b2")), 0)
-    table.append(rows(("a", 5, "a5")), 1)
+    table.upsert(snapshot_rows(spark, ("a", 1, "a1"), ("b", 2, "b2"), ("a", 0, "a0")), 0)
+    table.upsert(snapshot_rows(spark, ("a", 5, "a5")), 1)
     assert state() == {"a": "a5", "b": "b2"}
-    table.append(rows(("a", 5, "a5")), 1)  # a replayed batch
-    table.append(rows(("a", 3, "late"), ("c", 6, "c6")), 2)
-    assert state() == {"a": "a5", "b": "b2", "c": "c6"}
-    table.compact()
+    table.upsert(snapshot_rows(spark, ("a", 9, "not again")), 1)  # a replayed batch
+    table.upsert(snapshot_rows(spark, ("a", 3, "late"), ("c", 6, "c6")), 2)
     assert state() == {"a": "a5", "b": "b2", "c": "c6"}
-    table.append(rows(("b", 9, "b9")), 3)
-    table.append(rows(("a", 8, "a8"), ("c", 1, "old")), 0, writer="other")
-    assert state() == {"a": "a8", "b": "b9", "c": "c6"}
-    earlier = table.current(before=("main", 3))
-    assert {r.id: r.v for r in earlier.collect()} == {"a": "a8", "b": "b2", "c": "c6"}
-    table.compact()
-    assert state() == {"a": "a8", "b": "b9", "c": "c6"}
+    table.upsert(snapshot_rows(spark, ("c", 6, "same seq")))
+    table.upsert(snapshot_rows(spark).limit(0), 3)
+    assert state() == {"a": "a5", "b": "b2", "c": "same seq"}
     only = spark.createDataFrame([("b",), ("nope",)], "id string")
-    again = W.TrackingTable(spark, str(tmp_path / "t"), ["id"])
-    assert [tuple(r) for r in again.current(only=only).select("id", "v").collect()] == [("b", "b9")]
-    assert again.current().count() == 3
-    empty = W.TrackingTable(spark, str(tmp_path / "none"), ["id"])
+    assert [tuple(r) for r in table.current(only).select("id", "v").collect()] == [("b", "b2")]
+    with pytest.raises(ValueError, match="columns"):
+        table.upsert(snapshot_rows(spark, ("a", 10, "x")).withColumn("more", F.lit(1)), 4)
+    empty = Snapshot(spark, str(tmp_path / "none"), ["id"])
     assert empty.current(schema="id string, seq long").count() == 0
+    with pytest.raises(ValueError, match="nothing"):
+        empty.current()
+
+
+def test_merge_reads_and_writes_touched_folders_only(spark, tmp_path):
+    table = Snapshot(spark, str(tmp_path / "t"), ["id"], buckets=16)
+    table.upsert(spark.range(500).selectExpr("CAST(id AS STRING) AS id", "id AS seq", "'x' AS v"), 0)
+    before = files_of(tmp_path / "t")
+    assert len(before) == 16
+    table.upsert(snapshot_rows(spark, ("7", 1000, "new"), ("7", 1001, "newest")), 1)
+    after = files_of(tmp_path / "t")
+    assert len(after.items() - before.items()) == 1 and len(before.items() - after.items()) == 1
+    one = table.current(spark.createDataFrame([("7",)], "id string"))
+    assert one.first().v == "newest"
+    plan = one._jdf.queryExecution().executedPlan()
+    assert "PartitionFilters: [isnotnull(bucket" in plan.toString() or "PartitionFilters: [(bucket" in plan.toString()
+    assert table.current().count() == 500
+
+
+def test_failure_while_folders_are_replaced(spark, tmp_path):
+    table = Snapshot(spark, str(tmp_path / "t"), ["id"], buckets=2)
+    table.upsert(snapshot_rows(spark, ("a", 1, "a1"), ("b", 2, "b2"), ("c", 3, "c3")), 0)
+    table.upsert(snapshot_rows(spark, ("a", 4, "a4")), 1)
+    # The job died after folders were removed, before the new ones were in place.
+    (tmp_path / "t" / "pending" / "_PLACED").unlink()
+    touched = table._touched(snapshot_rows(spark, ("a", 4, "a4")))[0]
+    shutil.rmtree(tmp_path / "t" / "current" / f"bucket={touched}")
+    again = Snapshot(spark, str(tmp_path / "t"), ["id"], buckets=2)
+    again.upsert(snapshot_rows(spark, ("a", 4, "a4")), 1)
+    assert {r.id: r.v for r in again.current().collect()} == {"a": "a4", "b": "b2", "c": "c3"}
+
+
+def test_rows_placed_by_part_of_the_key(spark, tmp_path):
+    table = Snapshot(spark, str(tmp_path / "t"), ["p", "s"], buckets=8, bucket_by=["p"])
+    rows = [(f"p{k % 20}", f"s{k}", k) for k in range(200)]
+    table.upsert(spark.createDataFrame(rows, "p string, s string, seq long"))
+    found = table.current(spark.createDataFrame([("p3",)], "p string"))
+    assert {r.s for r in found.collect()} == {f"s{k}" for k in range(200) if k % 20 == 3}
 
 
 @pytest.mark.parametrize(("max_lines", "one_file"), [(1000, True), (100, False)])

@@ -5,7 +5,7 @@ import pytest
 from labtables.plans.bindings import QUERIES
 
 WRITES = {
-    "flowcell_ready_stream", "latest_doc_stream", "routed_stream", "status_stream", "dispatch",
+    "flowcell_ready_stream", "latest_doc_stream", "routed_stream", "status_stream", "rollup_stream", "dispatch",
     "project_stream", "project_stream_rejects", "read_barcode_lookup", "list_files", "read_logs",
     "write_stats_tsv", "write_barcode_list", "write_libraries", "write_multi_sheet",
     "write_tracking", "read_long_stats",
@@ -54,6 +54,21 @@ def test_columns_and_filters_reach_the_scan(spark, sf_dir):
     assert "EqualTo(c_custkey,42)" in plan(spark, sf_dir, "lookup_document")
 
 
+def test_end_date_reads_the_log_once_and_without_a_window(spark, sf_dir):
+    text = plan(spark, sf_dir, "project_end_date")
+    assert text.count("FileScan") == 1 and "Window" not in text
+    assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_sample_merge_reads_and_shuffles_each_side_once(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, sf_dir, "upsert_samples")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("FileScan") == 2 and text.count("Exchange hashpartitioning") == 2
+
+
 def test_documents_are_parsed_once(spark, sf_dir):
     text = plan(spark, sf_dir, "intake")
     assert text.count("from_json") == 1

@@ -1,15 +1,18 @@
 import json
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from labtables import schemas as S
+from labtables.operators.lifecycle import current_status
 from labtables.operators.routing import Rule
-from labtables.plans.follow_projects import follow_projects
+from labtables.plans.follow_projects import follow_projects, project_table, rejected, sample_table
 from labtables.session import scratch_dir
-from labtables.sources.writers import TrackingTable
 from labtables.streaming import changes as C
 from labtables.streaming.dispatch import Dispatcher
+from labtables.streaming.rollup import follow_rollup, rolled_up
 
 
 def add(spark, path, rows, schema=S.RAW_DOC):
@@ -17,24 +20,60 @@ def add(spark, path, rows, schema=S.RAW_DOC):
 
 
 def test_follow_documents_resumes_after_the_last_change(spark, tmp_path):
-    feed, docs = tmp_path / "feed", TrackingTable(spark, str(tmp_path / "docs"), ["doc_id"])
+    feed, checkpoint = tmp_path / "feed", str(tmp_path / "cp")
+    seen = []
 
     def catch_up():
-        query = C.follow_documents(C.read_changes(spark, str(feed)), docs, str(tmp_path / "cp"))
+        def note(batch, batch_id):
+            seen.append({r.doc_id: r.body for r in batch.collect()})
+
+        query = C.follow_documents(C.read_changes(spark, str(feed)), checkpoint, note)
         query.awaitTermination()
         return sum(p["numInputRows"] for p in query.recentProgress)
 
+    def state():
+        return {r.doc_id: (r.seq, r.body) for r in C.latest_documents(spark, checkpoint).collect()}
+
     add(spark, feed, [("a", 1, "{}"), ("a", 3, '{"v":3}'), ("b", 2, None)])
-    assert catch_up() == 3
-    assert {r.doc_id: r.body for r in docs.current().collect()} == {"a": '{"v":3}', "b": None}
+    assert catch_up() >= 3
+    assert state() == {"a": (3, '{"v":3}'), "b": (2, None)}
     assert catch_up() == 0
-    add(spark, feed, [("a", 2, '{"late":1}'), ("b", 4, '{"v":4}')])
-    assert catch_up() == 2
-    assert {r.doc_id: r.body for r in docs.current().collect()} == {"a": '{"v":3}', "b": '{"v":4}'}
+    add(spark, feed, [("a", 2, '{"late":1}'), ("b", 4, '{"v":4}'), ("c", 5, "{}")])
+    catch_up()
+    assert state() == {"a": (3, '{"v":3}'), "b": (4, '{"v":4}'), "c": (5, "{}")}
+    assert [batch for batch in seen if batch][-1] == {"a": '{"v":3}', "b": '{"v":4}', "c": "{}"}
+
+
+def test_feed_from_a_sequence_number(spark, tmp_path):
+    feed, checkpoint = tmp_path / "feed", str(tmp_path / "cp")
+
+    def catch_up():
+        changes = C.read_changes(spark, str(feed), since=2)
+        C.follow_documents(changes, checkpoint).awaitTermination()
+        return {r.doc_id: r.seq for r in C.latest_documents(spark, checkpoint).collect()}
+
+    add(spark, feed, [("a", 1, "{}"), ("b", 2, "{}"), ("c", 3, "{}")])
+    assert catch_up() == {"c": 3}
+    add(spark, feed, [("a", 4, "{}")])
+    assert catch_up() == {"c": 3, "a": 4}
 
 
 def test_follow_routed_keeps_rejects(spark, tmp_path):
-    feed = tmp_path / "feed"
+    feed, checkpoint = tmp_path / "feed", str(tmp_path / "cp")
+    rules = [Rule("10X", "droplet"), Rule("MARS", "mars", prefix=True)]
+    batches = []
+
+    def catch_up():
+        C.follow_routed(
+            C.read_changes(spark, str(feed)),
+            rules,
+            "$.details.m",
+            checkpoint,
+            lambda batch, batch_id: batches.append({r.doc_id: r.target for r in batch.collect()}),
+        ).awaitTermination()
+        routed, rejects = C.routed_documents(spark, checkpoint, rules, "$.details.m")
+        return {r.doc_id: r.target for r in routed.collect()}, {r.doc_id for r in rejects.collect()}
+
     add(
         spark,
         feed,
@@ -45,29 +84,95 @@ def test_follow_routed_keeps_rejects(spark, tmp_path):
             ("d", 4, "{}"),
         ],
     )
-    routed = TrackingTable(spark, str(tmp_path / "routed"), ["doc_id"])
-    rejects = TrackingTable(spark, str(tmp_path / "rejects"), ["doc_id"])
-    rules = [Rule("10X", "droplet"), Rule("MARS", "mars", prefix=True)]
-    C.follow_routed(
-        C.read_changes(spark, str(feed)), rules, "$.details.m", routed, rejects, str(tmp_path / "cp")
-    ).awaitTermination()
-    assert {r.doc_id: r.target for r in routed.current().collect()} == {"a": "droplet", "b": "mars"}
-    assert {r.doc_id for r in rejects.current().collect()} == {"c", "d"}
-
-
-def test_status_stream_equals_batch(spark, tmp_path):
-    schema = "p string, s string, status string, seq long"
-    batches = [
-        [("p", "1", "processing", 1), ("p", "2", "completed", 2), ("q", "1", "pending", 3)],
-        [("p", "1", "completed", 5), ("q", "1", "initialized", 4)],
+    assert catch_up() == ({"a": "droplet", "b": "mars"}, {"c", "d"})
+    add(spark, feed, [("c", 5, '{"details":{"m":"10X"}}'), ("a", 6, None)])
+    assert catch_up() == ({"b": "mars", "c": "droplet"}, {"d"})
+    assert [batch for batch in batches if batch][-1] == {"c": "droplet"}
+
+
+STATUS_LOG = "p string, s string, status string, seq long, ts timestamp"
+
+
+def at(minute):
+    return datetime(2024, 1, 1, 12, minute)
+
+
+def test_status_stream_in_any_order_of_batches(spark, tmp_path):
+    rows = [
+        ("p", "1", "processing", 1, at(1)),
+        ("p", "2", "completed", 2, at(2)),
+        ("q", "1", "pending", 3, at(3)),
+        ("q", "1", "initialized", 4, at(4)),
+        ("p", "1", "completed", 5, at(5)),
+        ("p", "2", "running", 6, at(6)),
+        ("p", "2", "aborted", 7, at(7)),
+    ]
+    expected = {
+        (r.p, r.s): (r.status, r.start_time, r.end_time)
+        for r in current_status(spark.createDataFrame(rows, STATUS_LOG), ["p", "s"], "status", "seq", "ts").collect()
+    }
+    for number, order in enumerate(([0, 1, 2], [2, 1, 0], [1, 2, 0])):
+        folder = tmp_path / str(number)
+        for part in order:
+            add(spark, folder / "log", rows[part::3], STATUS_LOG)
+            log = C.read_changes(spark, str(folder / "log"), STATUS_LOG)
+            C.follow_status(log, ["p", "s"], "status", "seq", "ts", str(folder / "cp")).awaitTermination()
+        samples = C.current_statuses(spark, str(folder / "cp"))
+        assert {(r.p, r.s): (r.status, r.start_time, r.end_time) for r in samples.collect()} == expected
+        projects = {r.p: r.project_status for r in C.tracked_projects(samples, "p").collect()}
+        assert projects == {"p": "completed", "q": "processing"}
+
+
+def step_through(rows):
+    """Status and end date of every project after each row, one at a time."""
+    held, out = {}, {}
+    for project, sample, status, seq, ts in rows:
+        held.setdefault(project, {})[sample] = status
+        found = set(held[project].values())
+        if found & set(S.ROLLUP_ACTIVE):
+            rolled = "processing"
+        elif found <= set(S.ROLLUP_FINISHED):
+            rolled = "completed"
+        elif found <= set(S.ROLLUP_NOT_STARTED):
+            rolled = "pending"
+        else:
+            rolled = "partially_completed"
+        end = out.get(project, (None, None, None))[2]
+        if rolled in S.SETS_END_DATE:
+            end = end or ts
+        elif rolled in S.CLEARS_END_DATE:
+            end = None
+        out[project] = (len(held[project]), rolled, end)
+    return out
+
+
+def test_rollup_and_end_date_after_every_change(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["processing", "completed", "completed", "aborted", "failed", "pending", "unsequenced", "processing_failed"]
+    rows = [
+        (f"p{rng.randrange(6)}", f"s{rng.randrange(3)}", rng.choice(words), k, at(0) + timedelta(seconds=k))
+        for k in range(400)
     ]
-    table = TrackingTable(spark, str(tmp_path / "t"), ["p", "s"])
-    expected = [{"p": "processing", "q": "pending"}, {"p": "completed", "q": "processing"}]
-    for rows, statuses in zip(batches, expected, strict=True):
-        add(spark, tmp_path / "log", rows, schema)
-        log = C.read_changes(spark, str(tmp_path / "log"), schema)
-        C.follow_status(log, ["p", "s"], "status", "seq", table, str(tmp_path / "cp")).awaitTermination()
-        assert {r.p: r.project_status for r in C.tracked_projects(table, "p").collect()} == statuses
+    for n, stop in enumerate((150, 151, 400)):
+        part = rows[(0, 150, 151)[n] : stop]
+        add(spark, tmp_path / "log", part, STATUS_LOG)
+        log = C.read_changes(spark, str(tmp_path / "log"), STATUS_LOG)
+        follow_rollup(log, "p", "s", "status", "seq", "ts", str(tmp_path / "kept"))
+        found = rolled_up(spark, str(tmp_path / "kept")).collect()
+        assert {r.project: (r.n_samples, r.project_status, r.end_date) for r in found} == step_through(rows[:stop])
+
+
+def test_rollup_ignores_late_rows(spark, tmp_path):
+    rows = [("p", "1", "completed", 5, at(5)), ("p", "2", "processing", 2, at(2))]
+    late = [("p", "1", "processing", 1, at(1)), ("p", "2", "completed", 9, at(9)), ("p", "2", None, 8, at(8))]
+    for part in (rows, late):
+        add(spark, tmp_path / "log", part, STATUS_LOG)
+        log = C.read_changes(spark, str(tmp_path / "log"), STATUS_LOG)
+        follow_rollup(log, "p", "s", "status", "seq", "ts", str(tmp_path / "kept"))
+    (row,) = rolled_up(spark, str(tmp_path / "kept")).collect()
+    assert (row.n_samples, row.n_active, row.n_finished, row.project_status) == (2, 0, 2, "completed")
+    # Only what a batch touched is written again.
+    assert spark.read.parquet(str(tmp_path / "kept" / "projects")).count() == 2
 
 
 def test_dispatcher(spark, tmp_path):
@@ -139,13 +244,20 @@ def project_doc(project, owner, sensitive, flowcells):
 
 
 def test_follow_projects_merges_with_what_is_tracked(spark, tmp_path):
-    projects = TrackingTable(spark, str(tmp_path / "projects"), ["project_id"])
-    samples = TrackingTable(spark, str(tmp_path / "samples"), ["project_id", "sample_id"])
+    projects = project_table(spark, str(tmp_path / "projects"), buckets=4)
+    samples = sample_table(spark, str(tmp_path / "samples"), buckets=4)
     feed, rules = tmp_path / "feed", [Rule("10X", "droplet")]
 
     def catch_up():
         follow_projects(
-            C.read_changes(spark, str(feed)), rules, ["project_id"], projects, samples, str(tmp_path / "cp")
+            C.read_changes(spark, str(feed)),
+            rules,
+            ["project_id"],
+            projects,
+            samples,
+            str(tmp_path / "cp"),
+            sample_required=["library_prep"],
+            now=F.lit("now"),
         ).awaitTermination()
         return (
             {r.project_id: r for r in projects.current().collect()},
@@ -159,6 +271,7 @@ def test_follow_projects_merges_with_what_is_tracked(spark, tmp_path):
             ("doc-p", 1, project_doc("p", "old@x", "yes", {"s1": ["20240101_a"], "s2": []})),
             ("doc-q", 2, project_doc("q", "q@x", "no", {"s1": []})),
             ("doc-r", 3, json.dumps({"_id": "doc-r", "project_name": "no id"})),
+            ("doc-s", 3, project_doc("s", "s@x", "no", {"s1": []}).replace("library_prep", "prep")),
         ],
     )
     tracked, rows = catch_up()
@@ -167,10 +280,11 @@ def test_follow_projects_merges_with_what_is_tracked(spark, tmp_path):
 
     # Meanwhile others work on p and complete q; then both documents change.
     done = projects.current().where("project_id = 'q'").withColumn("project_status", F.lit("completed"))
-    projects.append(done.withColumn("seq", F.lit(4).cast("long")), 0, writer="work")
+    projects.upsert(done.withColumn("seq", F.lit(4).cast("long")))
     moved = samples.current().where("project_id = 'p' AND sample_id = 's1'")
     moved = moved.withColumn("status", F.lit("processing")).withColumn("job_id", F.lit("77"))
-    samples.append(moved.withColumn("seq", F.lit(5).cast("long")), 0, writer="work")
+    moved = moved.withColumns({"start_time": F.lit("t1"), "qc": F.lit("Passed"), "delivered": F.lit(True)})
+    samples.upsert(moved.withColumn("seq", F.lit(5).cast("long")))
     add(
         spark,
         feed,
@@ -189,3 +303,13 @@ def test_follow_projects_merges_with_what_is_tracked(spark, tmp_path):
         ("p", "s3"): ("231231_c", "initialized"),
         ("q", "s1"): (None, "unsequenced"),
     }
+    kept = {(r.project_id, r.sample_id): r for r in samples.current().collect()}
+    worked, new = kept["p", "s1"], kept["p", "s3"]
+    assert sorted(worked.flowcells) == ["20240101_a", "20240301_b"]
+    assert (worked.job_id, worked.start_time, worked.end_time, worked.qc, worked.delivered) == ("77", "t1", "", "Passed", True)
+    assert (new.job_id, new.start_time, new.end_time, new.qc, new.delivered) == ("", "now", "", "", False)
+    lost = rejected(spark, str(tmp_path / "cp"), rules, ["project_id"], ["library_prep"]).collect()
+    assert {(r.doc_id, r.reason, r.detail) for r in lost} == {
+        ("doc-r", "incomplete", "project_id"),
+        ("doc-s", "incomplete", "samples.s1.library_prep"),
+    }
