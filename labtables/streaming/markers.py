@@ -2,51 +2,87 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from labtables.operators.markers import ENTRY, marker_number
+from labtables.operators.markers import marker_number
 
 # The few Python functions that run in tasks travel with them, so executors need
 # no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Summary of a stretch as in ``labtables.operators.markers``: per marker that occurs,
-#: where it first does, and what is seen and how often it fired at the end, had it
-#: fired there.
-Summary = dict[int, list]
+#: where it first does, and what is seen (a bit per marker) and how often it fired at the
+#: end, had it fired there.
+Summary = dict[int, list[int]]
 
 
-def advance(summary: Summary, marker: int, seq: int, n_markers: int) -> None:
-    """Extend a summary by one marker file."""
-    for entry in summary.values():
-        entry[1].add(marker)
-        if len(entry[1]) == n_markers:
-            entry[1] = set()
-            entry[2] += 1
-    if marker not in summary:
-        summary[marker] = [seq, set(), 0]
+def summary_of(markers: np.ndarray, places: np.ndarray, n_markers: int) -> Summary:
+    """Summary of one key's files of a stretch, in order.
 
-
-def chain(seen: set[int], summaries: Iterable[Summary], n_markers: int) -> tuple[set[int], int]:
+    Steps from firing to firing, not from file to file: the next one is where the last of
+    the markers occurs next.  The tails of all entries meet, so each is followed once.
+    """
+    if len(markers) == 1:
+        return {int(markers[0]): [int(places[0]), 0, 0]}
+    order = np.argsort(markers, kind="stable")
+    present, begins = np.unique(markers[order], return_index=True)
+    where = np.split(order, begins[1:])  # ascending positions of each marker
+    known: dict[int, tuple[int, int]] = {}
+
+    def follow(start: int) -> tuple[int, int]:
+        """What is seen and how often it fired by the end, from nothing at ``start``."""
+        path = []
+        while start not in known:
+            after = [at[np.searchsorted(at, start) :] for at in where]
+            if len(present) < n_markers or any(not len(at) for at in after):
+                seen = sum(1 << int(m) for m, at in zip(present, after, strict=True) if len(at))
+                known[start] = (seen, 0)
+                break
+            path.append(start)
+            start = max(int(at[0]) for at in after) + 1
+        seen, fired = known[start]
+        for place in reversed(path):
+            fired += 1
+            known[place] = (seen, fired)
+        return seen, fired
+
+    return {
+        int(marker): [int(places[at[0]]), *follow(int(at[0]) + 1)]
+        for marker, at in zip(present, where, strict=True)
+    }
+
+
+def chain(seen: int, summaries: Iterable[Summary], n_markers: int) -> tuple[int, int]:
     """State and number of firings after some stretches, from a given state."""
     total = 0
     for summary in summaries:
-        new = [entry for marker, entry in summary.items() if marker not in seen]
-        if len(seen) + len(new) < n_markers:
-            seen = seen | set(summary)
+        new = [marker for marker in summary if not seen >> marker & 1]
+        if seen.bit_count() + len(new) < n_markers:
+            seen |= sum(1 << marker for marker in new)
         else:
-            _, after, fired = max(new, key=lambda entry: entry[0])
-            seen, total = set(after), total + 1 + fired
+            _, seen, fired = max(summary[marker] for marker in new)
+            total += 1 + fired
     return seen, total
 
 
+def written(summary: Summary) -> str:
+    return ";".join(f"{m},{first},{seen:x},{fired}" for m, (first, seen, fired) in summary.items())
+
+
+def read(text: str) -> Summary:
+    parts = (entry.split(",") for entry in text.split(";"))
+    return {int(m): [int(first), int(seen, 16), int(fired)] for m, first, seen, fired in parts}
+
+
 def flowcell_ready(
     files: DataFrame,
     keys: list[str],
@@ -54,6 +90,7 @@ def flowcell_ready(
     required: list[str],
     seq: str,
     stretch_rows: int = 100_000,
+    slices: int = 64,
 ) -> DataFrame:
     """Stream of (key.., n_events): how often a set was completed in a batch.
 
@@ -62,10 +99,13 @@ def flowcell_ready(
     again; it never expires.
 
     The rows of a batch are first reduced to one summary per key and stretch of
-    the log, in as many tasks as there are stretches; only summaries reach the
-    task that owns the key's state.  A stream cannot aggregate before its state,
-    so this reduction is Python here and native in ``completions``.  Keys travel
-    as one JSON text, as pandas would change large numbers beside nulls.
+    the log; only summaries reach the task that owns the key's state.  A stream cannot
+    aggregate before its state, so this reduction is numpy here and native in
+    ``completions``.  Keys are dealt into ``slices``, and the state is one map per slice, of
+    the keys with an incomplete set: handing over a state for each key costs milliseconds,
+    and a batch touches many.  A slice should hold no more than some ten thousand
+    incomplete keys; their number is fixed by the first batch.  Keys and summaries travel
+    as short texts, as pandas would change large numbers beside nulls.
     """
     n_markers = len(set(required))
     key_ddl = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
@@ -73,61 +113,53 @@ def flowcell_ready(
     marked = files.select(
         F.to_json(F.struct(*keys), exact).alias("_key"),
         F.expr(f"`{seq}` div {int(stretch_rows)}").alias("stretch"),
+        F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int").alias("slice"),
         F.col(seq).cast("long").alias("_seq"),
         marker_number(file, required).alias("_marker"),
     ).where("_marker IS NOT NULL")
 
     def summarise(stretch: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_seq")
-        summaries: dict[str, Summary] = {}
-        for key, marker, at in zip(rows["_key"], rows["_marker"], rows["_seq"], strict=True):
-            advance(summaries.setdefault(key, {}), int(marker), int(at), n_markers)
+        codes, keys_found = pd.factorize(rows["_key"])
+        order = np.lexsort((rows["_seq"].to_numpy(), codes))
+        codes = codes[order]
+        markers, places = rows["_marker"].to_numpy()[order], rows["_seq"].to_numpy()[order]
+        bounds = np.flatnonzero(np.diff(codes, prepend=-1, append=len(keys_found)))
+        texts = [
+            written(summary_of(markers[a:b], places[a:b], n_markers))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+        ]
         return pd.DataFrame(
-            [
-                [
-                    key,
-                    stretch[0],
-                    [
-                        {"marker": m, "first": first, "seen": sorted(seen), "fired": fired}
-                        for m, (first, seen, fired) in summary.items()
-                    ],
-                ]
-                for key, summary in summaries.items()
-            ],
-            columns=["_key", "stretch", "entries"],
+            {"slice": stretch[1], "_key": keys_found[codes[bounds[:-1]]], "stretch": stretch[0], "entries": texts}
         )
 
-    summaries = marked.groupBy("stretch").applyInPandas(
-        summarise, f"_key STRING, stretch BIGINT, entries ARRAY<{ENTRY}>"
+    summaries = marked.groupBy("stretch", "slice").applyInPandas(
+        summarise, "slice INT, _key STRING, stretch BIGINT, entries STRING"
     )
 
     def track(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        stretches = [
-            row for frame in frames for row in zip(frame["stretch"], frame["entries"], strict=True)
-        ]
-        stretches.sort(key=lambda row: row[0])
-        before = set(state.get[0]) if state.exists else set()
-        after, fired = chain(
-            before,
-            (
-                {e["marker"]: [e["first"], set(e["seen"]), e["fired"]] for e in entries}
-                for _, entries in stretches
-            ),
-            n_markers,
-        )
-        if after:
-            state.update((sorted(int(marker) for marker in after),))
-        elif state.exists:
-            state.remove()
-        if fired:
-            yield pd.DataFrame({"_key": [key[0]], "n_events": [fired]})
-
-    fired = summaries.groupBy("_key").applyInPandasWithState(
+        arrived: dict[str, list[tuple[int, str]]] = {}
+        for frame in frames:
+            for name, stretch, text in zip(frame["_key"], frame["stretch"], frame["entries"], strict=True):
+                arrived.setdefault(name, []).append((stretch, text))
+        held: dict[str, str] = json.loads(state.get[0]) if state.exists else {}
+        out: dict[str, int] = {}
+        for name, stretches in arrived.items():
+            before = int(held.pop(name, "0"), 16)
+            parts = (read(text) for _, text in sorted(stretches))
+            after, times = chain(before, parts, n_markers)
+            if after:
+                held[name] = f"{after:x}"
+            if times:
+                out[name] = times
+        state.update((json.dumps(held),))
+        yield pd.DataFrame({"_key": list(out), "n_events": list(out.values())})
+
+    fired = summaries.groupBy("slice").applyInPandasWithState(
         track,
         "_key STRING, n_events BIGINT",
-        "seen ARRAY<INT>",
+        "held STRING",
         "append",
         GroupStateTimeout.NoTimeout,
     )

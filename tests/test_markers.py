@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from labtables.operators import markers as M
-from labtables.streaming.markers import advance, chain, flowcell_ready
+from labtables.streaming.markers import chain, flowcell_ready, read, summary_of, written
 
 MARKERS = ["RTAComplete.txt", "CopyComplete.txt"]
 
@@ -23,18 +24,20 @@ def watch(names, required):
     return fired
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 2), max_size=40), st.integers(1, 7))
-def test_chained_summaries_equal_stepping(files, size):
-    required = ["a", "b", "c"]
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.tuples(st.just(n), st.lists(st.integers(0, n - 1), max_size=60))), st.integers(1, 9))
+def test_chained_summaries_equal_stepping(log, size):
+    n_markers, files = log
     stretches = []
     for start in range(0, len(files), size):
-        summary = {}
-        for place, file in enumerate(files[start : start + size], start):
-            advance(summary, file, place, 3)
+        part = np.array(files[start : start + size])
+        summary = summary_of(part, np.arange(start, start + len(part)), n_markers)
+        assert read(written(summary)) == summary
         stretches.append(summary)
-    _, fired = chain(set(), stretches, 3)
+    seen, fired = chain(0, stretches, n_markers)
+    required = [f"m{k}" for k in range(n_markers)]
     assert fired == watch([required[f] for f in files], required)
+    assert seen.bit_count() < n_markers
 
 
 def log(seed, n=400):
