@@ -102,8 +102,13 @@ class Decision:
     outputs: dict[str, str | bool] = field(default_factory=dict)
 
 
+#: Decisions as a list become one CASE expression.  A table (``pos, method, features`` and the
+#: outputs) of any length is joined.  Both give the same.
+Decisions = list[Decision] | DataFrame
+
+
 def feature_sets(
-    members: DataFrame, keys: list[str], feature: str, decisions: list[Decision]
+    members: DataFrame, keys: list[str], feature: str, decisions: Decisions
 ) -> DataFrame:
     """The feature set of each group, in the order of the decision table's vocabulary.
 
@@ -111,6 +116,17 @@ def feature_sets(
     vocabulary is only noted, since such a group cannot match.  A set is no longer
     than the vocabulary, so a group may be of any size.
     """
+    if isinstance(decisions, DataFrame):
+        words = decisions.select(F.explode("features").alias("_word")).distinct()
+        each = members.select(*keys, F.col(feature).alias("_feature")).distinct()
+        return (
+            each.join(words, F.col("_feature") == F.col("_word"), "left")
+            .groupBy(*keys)
+            .agg(
+                F.array_sort(F.collect_list("_word")).alias("features"),
+                F.bool_or(F.col("_word").isNull()).alias("has_foreign_feature"),
+            )
+        )
     vocabulary = _vocabulary(decisions)
     known = F.coalesce(F.col(feature).isin(*vocabulary), F.lit(False))
     return members.groupBy(*keys).agg(
@@ -120,13 +136,15 @@ def feature_sets(
 
 
 def match_decision_table(
-    groups: DataFrame, method: str, decisions: list[Decision], outputs: list[str]
+    groups: DataFrame, method: str, decisions: Decisions, outputs: list[str]
 ) -> DataFrame:
     """Outputs of the first decision with a group's method and feature set.
 
     ``groups`` comes from :func:`feature_sets`, with the method added.  Nulls
     where nothing matches.
     """
+    if isinstance(decisions, DataFrame):
+        return _match_rows(groups, method, decisions, outputs)
     first: dict[tuple[str, tuple[str, ...]], Decision] = {}
     for d in decisions:
         first.setdefault((d.method, tuple(sorted(set(d.features)))), d)
@@ -147,6 +165,27 @@ def match_decision_table(
     )
 
 
+def _match_rows(
+    groups: DataFrame, method: str, decisions: DataFrame, outputs: list[str]
+) -> DataFrame:
+    """By an equi-join on method and sorted features; of equal decisions the first one stays."""
+    chosen = decisions.select(
+        F.col("method").alias("_method"),
+        F.array_sort(F.array_distinct("features")).alias("_features"),
+        "pos",
+        F.struct(*outputs).alias("_outputs"),
+    )
+    chosen = chosen.groupBy("_method", "_features").agg(F.min_by("_outputs", "pos").alias("_outputs"))
+    wanted = F.when(~F.col("has_foreign_feature"), F.col("features"))
+    return groups.join(
+        chosen, (F.col(method) == F.col("_method")) & (wanted == F.col("_features")), "left"
+    ).select(
+        *[c for c in groups.columns if c not in ("features", "has_foreign_feature")],
+        F.array_join("features", ",").alias("features"),
+        *[F.col(f"_outputs.{name}").alias(name) for name in outputs],
+    )
+
+
 def _vocabulary(decisions: list[Decision]) -> list[str]:
     return sorted({f for d in decisions for f in d.features})
 

@@ -122,15 +122,14 @@ def distinct_flowcells(members: DataFrame, keys: list[str], flowcell: str) -> Da
 
 
 def reference_conflicts(
-    members: DataFrame, keys: list[str], ref_key: str, path: str, ref_keys: list[str]
+    members: DataFrame, keys: list[str], ref_key: str, path: str
 ) -> DataFrame:
     """Run samples with their reference state.
 
     A run sample fails when any member has no reference, or when one reference
-    key resolves to more than one path, whether or not the key is one of
-    ``ref_keys`` (the keys known beforehand).  Members are first reduced to
-    distinct (run sample, key, path) rows, few per sample, then to one row per
-    key with its number of paths.
+    key resolves to more than one path.  Members are first reduced to distinct
+    (run sample, key, path) rows, few per sample, then to one row per key with its number
+    of paths.
     """
     found = F.col(path).isNotNull()
     references = members.select(*keys, ref_key, path).distinct()

@@ -6,6 +6,7 @@ from labtables.plans.bindings import (  # noqa: F401 - imported for registration
     files,
     plates,
     routes,
+    runs,
     samples,
     statuses,
     streams,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labtables.functions import plates as wells
 from labtables.operators import plate as P
 from labtables.plans.bindings._registry import query, table
-from labtables.plans.plate_report import PlateInputs, overview, plate_stats
+from labtables.plans.plate_report import PlateInputs, failed_plates, overview, plate_stats
 from labtables.sources.readers import explode_counts
 
 EVENT_TYPES = {name: f"n_{name}" for name in ("click", "view", "purchase", "error", "signup")}
@@ -340,30 +342,57 @@ def well_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def plate_report_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report job: suppliers are plates, nations the barcode dimension."""
+    stats = plate_stats(_report_inputs(spark, sf_dir), {"A": "exon", "N": "intron"})
+    return overview(stats)
+
+
+def _report_inputs(spark: SparkSession, sf_dir: str) -> PlateInputs:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("plate"),
-        (F.col("l_partkey") % 5 * 5 + F.col("l_suppkey") % 5).alias("barcode"),
+        (F.col("l_partkey") % 5 * 5 + F.col("l_suppkey") % 5).cast("string").alias("barcode"),
         "l_returnflag",
         "l_quantity",
     )
     nation = table(spark, sf_dir, "nation")
     quantity = F.col("l_quantity").cast("long")
-    inputs = PlateInputs(
+    read_from = F.when(F.col("l_returnflag") == "R", F.lit("bad")).otherwise(F.col("barcode"))
+    return PlateInputs(
         plates=table(spark, sf_dir, "supplier").select(
             F.col("s_suppkey").alias("plate"), (F.col("s_suppkey") % 5).alias("barcode_set")
         ),
         lookup=nation.select(
             F.col("n_regionkey").alias("BCset"),
             wells.well_id("n_nationkey").alias("WellID"),
-            F.col("n_nationkey").cast("long").alias("XC"),
+            F.col("n_nationkey").cast("string").alias("XC"),
         ),
-        reads=lines.where("l_returnflag <> 'R'").select(
-            "plate", "barcode", (quantity * 20000).alias("n"), F.col("l_returnflag").alias("type")
+        reads=lines.select(
+            "plate", read_from.alias("barcode"), (quantity * 20000).alias("n"), F.col("l_returnflag").alias("type")
         ),
         genes=lines.select("plate", "barcode", quantity.alias("n"), F.col("l_returnflag").alias("type")),
         umi=lines.groupBy("plate", "barcode").agg(F.count("*").alias("tagged")),
         cells=lines.select("plate", "barcode").distinct(),
         counts=lines.select("plate", "barcode", quantity.alias("count")),
     )
-    stats = plate_stats(inputs, {"A": "exon", "N": "intron"})
-    return overview(stats)
+
+
+@query(
+    """
+    SELECT s_suppkey AS plate, s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0
+        AND s_suppkey IN (SELECT l_suppkey FROM lineitem) AS has_stats FROM supplier
+    """
+)
+def plate_report_failed_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates without reads, without genes or with unusable files have no stats at all."""
+    whole = _report_inputs(spark, sf_dir)
+    inputs = replace(
+        whole,
+        reads=whole.reads.where("plate % 7 <> 0"),
+        genes=whole.genes.where("plate % 5 <> 0"),
+        failed=whole.plates.where("plate % 11 = 0").select("plate"),
+    )
+    stats = plate_stats(inputs, {"A": "exon"}).groupBy("plate").agg(F.lit(True).alias("_has"))
+    plates = whole.plates.join(stats, "plate", "left")
+    lost = failed_plates(inputs).withColumn("_lost", F.lit(True))
+    return plates.join(lost, "plate", "left").select(
+        "plate", (F.coalesce("_has", F.lit(False)) & F.col("_lost").isNull()).alias("has_stats")
+    )

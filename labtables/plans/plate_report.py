@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labtables.functions.status import good_barcode
 from labtables.operators import plate as P
@@ -33,23 +34,38 @@ class PlateInputs:
 
 
 def failed_plates(inputs: PlateInputs) -> DataFrame:
-    """Plates that get no report: with unusable files, or without rows of some kind."""
-    plates = inputs.plates.select("plate").distinct()
-    missing = [
-        plates.join(kind.select("plate").distinct(), "plate", "left_anti")
-        for kind in (inputs.reads, inputs.genes, inputs.umi)
+    """Plates that get no report: with unusable files, or without rows of some kind.
+
+    Which kinds a plate has is one number per plate, brought together in one aggregate.
+    """
+    kinds = (inputs.reads, inputs.genes, inputs.umi)
+    seen = [
+        kind.select("plate", F.lit(1 << k).alias("_kinds"), F.lit(False).alias("_unusable"))
+        for k, kind in enumerate(kinds)
     ]
-    out = missing[0]
-    for more in [*missing[1:], *([inputs.failed.select("plate")] if inputs.failed else [])]:
-        out = out.union(more)
-    return out.distinct()
+    if inputs.failed is not None:
+        seen.append(
+            inputs.failed.select("plate", F.lit(0).alias("_kinds"), F.lit(True).alias("_unusable"))
+        )
+    found = seen[0]
+    for more in seen[1:]:
+        found = found.union(more)
+    found = found.groupBy("plate").agg(
+        F.bit_or("_kinds").alias("_kinds"), F.bool_or("_unusable").alias("_unusable")
+    )
+    lacking = F.coalesce("_kinds", F.lit(0)) != (1 << len(kinds)) - 1
+    return (
+        inputs.plates.select("plate")
+        .distinct()
+        .join(found, "plate", "left")
+        .where(lacking | F.coalesce("_unusable", F.lit(False)))
+        .select("plate")
+    )
 
 
 def plate_stats(inputs: PlateInputs, gene_types: dict[str, str], reagent: str = "1.5") -> DataFrame:
-    """One row per well with all its statistics; plates that failed to read have none."""
-    plates = inputs.plates
-    if inputs.failed is not None:
-        plates = plates.join(failed_plates(inputs), "plate", "left_anti")
+    """One row per well with all its statistics; failed plates have none."""
+    plates = inputs.plates.join(failed_plates(inputs), "plate", "left_anti")
     wells = P.wells_for_plates(plates, inputs.lookup, reagent=reagent)
     reads = P.total_reads(inputs.reads.where(good_barcode("barcode")), KEYS, "n", "total_reads")
     genes = P.pivot_types(inputs.genes, KEYS, "type", "n", gene_types)

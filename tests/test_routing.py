@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,39 @@ def test_decisions_with_a_long_vocabulary(spark):
     assert found == {"a": "all", "b": "one", "c": None}
 
 
+def test_many_decisions_in_a_table(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    rows, first = [], {}
+    for pos in range(10_000):
+        method, chosen = f"m{pos % 4}", [rng.choice(words) for _ in range(rng.randrange(1, 4))]
+        rows.append((pos, method, chosen, f"to{pos}"))
+        first.setdefault((method, frozenset(chosen)), f"to{pos}")
+    decisions = spark.createDataFrame(rows, "pos int, method string, features array<string>, to string")
+    members = [(k, rng.choice([*words[:12], "foreign" if k % 9 == 0 else "w1"])) for k in range(300) for _ in range(3)]
+    members += [(1000, None), (1000, "w1")]
+    df = spark.createDataFrame(members, "k long, f string")
+    method = F.concat(F.lit("m"), (F.col("k") % 5).cast("string"))
+    groups = R.feature_sets(df, ["k"], "f", decisions).withColumn("m", method)
+    found = {r.k: r.to for r in R.match_decision_table(groups, "m", decisions, ["to"]).collect()}
+    sets = {}
+    for k, word in members:
+        sets.setdefault(k, set()).add(word)
+    assert found == {k: first.get((f"m{k % 5}", frozenset(v))) for k, v in sets.items()}
+    assert sum(to is not None for to in found.values()) > 20
+    few = rows[:60]
+    listed = [R.Decision(m, tuple(f), {"to": to}) for _, m, f, to in few]
+    for form in (listed, spark.createDataFrame(few, decisions.schema)):
+        groups = R.feature_sets(df, ["k"], "f", form).withColumn("m", method)
+        out = {(r.k, r.features, r.to) for r in R.match_decision_table(groups, "m", form, ["to"]).collect()}
+        known = {w for _, _, f, _ in few for w in f}
+        assert {k for k, *_ in out} == set(sets)
+        assert all(set(words_.split(",")) - {""} == sets[k] & known for k, words_, _ in out)
+        results = {k: to for k, _, to in out}
+        assert results == (results if form is listed else previous)
+        previous = results
+
+
 def test_decision_table_compares_sets(spark):
     decisions = [
         R.Decision("m", ("gex", "vdj"), {"pipe": "multi"}),

@@ -135,7 +135,7 @@ def test_reference_conflicts(spark):
         "both": [("gex", "/a"), ("gex", "/b"), ("vdj", None)],
     }
     df = spark.createDataFrame([(k, *r) for k, rs in rows.items() for r in rs], "s string, ref_key string, path string")
-    out = SM.reference_conflicts(df, ["s"], "ref_key", "path", ["gex", "vdj"])
+    out = SM.reference_conflicts(df, ["s"], "ref_key", "path")
     assert {r.s: (r.conflict, r.missing_reference, r.failed) for r in out.collect()} == {
         "ok": (False, False, False),
         "conflict": (True, False, True),
@@ -182,7 +182,7 @@ def test_references_outside_the_known_keys(spark):
         [("s1", "gex", "/a"), ("s1", "new", "/b"), ("s2", "new", "/a"), ("s2", "new", "/b")],
         "s string, ref_key string, path string",
     )
-    out = SM.reference_conflicts(df, ["s"], "ref_key", "path", ["gex"])
+    out = SM.reference_conflicts(df, ["s"], "ref_key", "path")
     assert {r.s: r.conflict for r in out.collect()} == {"s1": False, "s2": True}
 
 
