@@ -216,3 +216,28 @@ def tool_version(
     )
     token = F.regexp_extract(line, r"(\S+)\s*$", 1)
     return F.when(F.contains(text, F.lit(phrase)), token).otherwise(F.lit(default))
+
+
+def log_facts(
+    line: str = "line",
+    place: str = "place",
+    marker: str = S.RUN_SUCCESS_MARKER,
+    patterns: tuple[str, ...] = S.REPORT_PATH_PATTERNS,
+    phrase: str = S.TOOL_VERSION_PHRASE,
+    default: str = S.TOOL_VERSION_DEFAULT,
+) -> list[Column]:
+    """Outcome, report path and tool version of a log, as aggregates of its lines.
+
+    What :func:`run_succeeded`, :func:`report_path` and :func:`tool_version` say of the whole
+    text, by partial aggregation, so that no log has to be in one place.  A report path
+    stands on the line of its mark.
+    """
+    value, at = F.col(line), F.col(place)
+    hits = [blank_to_null(F.regexp_extract(value, p, 1)) for p in patterns]
+    first = [F.min_by(hit, F.when(hit.isNotNull(), at)) for hit in hits]
+    last = F.max_by(value, F.when(F.contains(value, F.lit(phrase)), at))
+    return [
+        F.bool_or(F.contains(value, F.lit(marker))).alias("succeeded"),
+        F.coalesce(*first).alias("report_path"),
+        F.when(last.isNull(), F.lit(default)).otherwise(tool_version(last, phrase, default)).alias("version"),
+    ]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtables.functions._cols import ColumnOrName, as_col
+from labtables import schemas as S
+from labtables.functions._cols import ColumnOrName, as_col, blank_to_null
 from labtables.functions.status import delivery_action, passed_qc, to_deliver
 from labtables.operators.lifecycle import summarise_samples
 
@@ -108,20 +109,26 @@ def new_reports(
     sample: str,
     now: ColumnOrName,
     qc: str = "qc",
+    name: str | None = None,
+    suffix: str = S.REPORT_SUFFIX,
 ) -> tuple[DataFrame, DataFrame]:
     """Unsigned report entries of the given projects, and the samples in them as rows.
 
     A report includes all Passed samples, delivered or not; a project without any gets
-    none.
+    none.  Its file is named by the projects' column ``name``, or by the key where there is none.
     """
     included = samples.where(passed_qc(qc)).select(key, sample)
     included = included.join(projects.select(key), key, "left_semi")
     entries = included.groupBy(key).agg(F.count("*").alias("n_included"))
+    own = F.col(key).cast("string")
+    if name is not None:
+        entries = entries.join(projects.select(key, F.col(name).alias("_name")), key)
+        own = F.coalesce(blank_to_null("_name"), own)
     return (
         entries.select(
             key,
             "n_included",
-            F.concat(F.col(key).cast("string"), F.lit("_report.html")).alias("file_name"),
+            F.concat(own, F.lit(suffix)).alias("file_name"),
             as_col(now).alias("date_created"),
             F.lit("").alias("signee"),
             F.lit("").alias("date_signed"),

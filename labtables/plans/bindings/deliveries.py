@@ -75,6 +75,9 @@ def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf_dir,
         (F.col("o_orderkey") % 2 == 0).alias("partial_delivery_allowed"),
         F.lit(None).cast("string").alias("dds_project_id"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("name "), F.col("o_orderkey").cast("string"))).alias(
+            "project_name"
+        ),
     )
 
 
@@ -186,7 +189,7 @@ def _round(spark: SparkSession, sf_dir: str) -> Round:
     )
     now = F.lit("2025-01-01 12:00:00")
     return delivery_round(
-        _projects(spark, sf_dir), samples, _reports(spark, sf_dir), "project_id", "l_linenumber", now
+        _projects(spark, sf_dir), samples, _reports(spark, sf_dir), "project_id", "l_linenumber", now, "project_name"
     )
 
 
@@ -205,7 +208,7 @@ def delivery_round_included(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     WITH {DECISION_SQL}
-    SELECT project_id, count(*) AS n_included, CAST(project_id AS VARCHAR) || '_report.html' AS file_name,
+    SELECT project_id, count(*) AS n_included, CASE WHEN project_id % 3 <> 0 THEN 'name ' ELSE '' END || CAST(project_id AS VARCHAR) || '_project_summary.html' AS file_name,
       '2025-01-01 12:00:00' AS date_created, '' AS signee, '' AS date_signed, false AS rejected
     FROM d JOIN q ON k = project_id WHERE action = 'generate_report' AND qc = 'Passed' GROUP BY project_id
     """

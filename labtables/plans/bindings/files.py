@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtables.functions import text
 from labtables.operators import plate as P
 from labtables.plans.bindings._registry import query, table
 from labtables.session import scratch_dir
@@ -212,3 +213,34 @@ def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.bool_or(F.contains("text", F.lit("purchase"))).alias("bought"),
         )
     )
+
+
+@query(
+    """
+    SELECT CAST(user_id % 40 AS INTEGER) AS log, bool_or(event_type = 'purchase' AND user_id % 3 = 0) AS succeeded,
+      arg_min('/r/' || CAST(event_id AS VARCHAR), event_id) FILTER (event_type = 'signup' AND user_id % 3 = 1) AS report_path,
+      coalesce('v' || CAST(max(event_id) FILTER (event_type = 'click' AND user_id % 5 = 0) AS VARCHAR), '--') AS version
+    FROM events GROUP BY 1
+    """
+)
+def log_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log files of 40 machines, one file each, read line by line in splits."""
+    path = scratch_dir(spark, "log-lines")
+    number, kind = F.col("event_id").cast("string"), F.col("event_type")
+    line = (
+        F.when((kind == "purchase") & (F.col("user_id") % 3 == 0), F.lit("Pipestance completed successfully!"))
+        .when((kind == "signup") & (F.col("user_id") % 3 == 1), F.concat(F.lit("Run summary HTML:   /r/"), number))
+        .when((kind == "click") & (F.col("user_id") % 5 == 0), F.concat(F.lit("zUMIs version: v"), number, F.lit(" ")))
+        .otherwise(kind)
+    )
+    (
+        table(spark, sf_dir, "events")
+        .select((F.col("user_id") % 40).alias("log"), "event_id", line.alias("value"))
+        .repartition("log")
+        .sortWithinPartitions("log", "event_id")
+        .select("log", "value")
+        .write.partitionBy("log")
+        .text(path)
+    )
+    log = F.regexp_extract("path", "log=([0-9]+)", 1).cast("int")
+    return readers.read_log_lines(spark, f"{path}/*/*").groupBy(log.alias("log")).agg(*text.log_facts())

@@ -34,10 +34,12 @@ def delivery_round(
     key: str,
     sample: str,
     now: ColumnOrName,
+    name: str | None = None,
 ) -> Round:
     """Every project's next step, taken.
 
-    Only samples of projects whose decision is to proceed are marked.
+    Only samples of projects whose decision is to proceed are marked.  New reports are named
+    by the projects' column ``name`` where it is given.
     """
     decided = D.delivery_decisions(projects, samples, reports, key)
     going = decided.where(F.col("action") == "proceed_delivery")
@@ -56,5 +58,5 @@ def delivery_round(
         .drop("_before", "_going")
     )
     due = decided.where(F.col("action") == "generate_report")
-    new, in_them = D.new_reports(due, samples, key, sample, now)
+    new, in_them = D.new_reports(due, samples, key, sample, now, name=name)
     return Round(entries, included, marked, new, in_them)

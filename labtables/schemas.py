@@ -48,6 +48,10 @@ JOB_END_STATES = (
 
 EVENT_TYPES = ("project_change", "flowcell_ready", "delivery_ready")
 
+# --------------------------------------------------------------------------
+# Keys, method fragments, log texts, marks and sizes.
+# --------------------------------------------------------------------------
+
 REPORT_KEYS = (
     "file_name",
     "date_created",
@@ -57,6 +61,9 @@ REPORT_KEYS = (
     "samples_included",
 )
 
+# What follows the project's name in the name of its report.
+REPORT_SUFFIX = "_project_summary.html"
+
 # Method text fragments that decide the default feature of a sample.
 GEX_METHOD_PATTERNS = ("3' GEX", "5' GEX", "3GEX", "5GEX", "VDJ")
 ATAC_METHOD_PATTERN = "ATAC"
@@ -103,22 +110,6 @@ samples MAP<STRING, STRUCT<customer_name: STRING, sample_id: STRING,
   library_prep: MAP<STRING, STRUCT<barcode: STRING, sequenced_fc: ARRAY<STRING>>>>>
 """
 
-TRACKING_DOC = """
-_id STRING, projects_reference STRING, method STRING, project_id STRING,
-project_name STRING, project_status STRING, start_date STRING, end_date STRING,
-samples ARRAY<STRUCT<sample_id: STRING, status: STRING, slurm_job_id: STRING,
-  start_time: STRING, end_time: STRING, flowcell_ids_processed_for: ARRAY<STRING>,
-  QC: STRING, delivered: BOOLEAN>>,
-delivery_info STRUCT<sensitive: BOOLEAN, status: STRING,
-  partial_delivery_allowed: BOOLEAN, deliver_flowcell: BOOLEAN,
-  dds_project_id: STRING,
-  delivery_results: ARRAY<STRUCT<dds_project_id: STRING, date_uploaded: STRING,
-    date_released: STRING, samples_included: ARRAY<STRING>, total_volume: STRING>>>,
-reports ARRAY<STRUCT<file_name: STRING, date_created: STRING, signee: STRING,
-  date_signed: STRING, rejected: BOOLEAN, samples_included: ARRAY<STRING>>>,
-user_info MAP<STRING, STRUCT<email: STRING, name: STRING>>
-"""
-
 LONG_STATS = {
     "readspercell": "RG STRING, N BIGINT, type STRING",
     "genecounts": "SampleID STRING, Count BIGINT, type STRING",
@@ -131,7 +122,3 @@ BARCODE_LOOKUP = "BCset STRING, WellID STRING, XC STRING, XC_NovaSeq STRING"
 REAGENT_COLUMN = {"1.5": "XC", "1.0": "XC_NovaSeq"}
 
 COUNT_MATRIX = "plate STRING, cell STRING, gene STRING, count BIGINT"
-
-EVENT = "event_type STRING, payload STRING, source STRING, timestamp TIMESTAMP"
-
-MARKER_FILE = "instrument STRING, folder STRING, file STRING, ts TIMESTAMP"

@@ -8,7 +8,7 @@ WRITES = {
     "flowcell_ready_stream", "latest_doc_stream", "routed_stream", "status_stream", "rollup_stream", "changes_since", "dispatch",
     "project_stream", "project_stream_rejects", "read_barcode_lookup", "list_files", "read_logs",
     "write_stats_tsv", "write_barcode_list", "write_libraries", "write_multi_sheet",
-    "write_tracking", "read_long_stats",
+    "write_tracking", "read_long_stats", "log_facts",
 }
 ROW_WISE = [
     "select_processable", "jobs_to_monitor", "post_process_buckets", "job_state_to_status",

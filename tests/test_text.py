@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from labtables.functions import documents as D
 from labtables.functions import text as T
+from labtables.sources import readers as R
 
 
 def one(spark, column):
@@ -168,3 +170,26 @@ def test_sensitive(spark):
     assert one(spark, D.is_sensitive(F.lit("YES"))) is True
     assert one(spark, D.is_sensitive(F.lit(None).cast("string"))) is False
     assert one(spark, D.delivery_sensitive(F.lit(None).cast("boolean"))) is True
+
+
+def test_lines_of_split_logs_say_what_whole_texts_say(spark, tmp_path):
+    rng = random.Random(8)
+    parts = ["zUMIs version 2.%d ", "web_summary:  /w/%d", "Run summary HTML: /h/%d", "noise %d", "", "x zUMIs version", "é %d\r"]
+    for log in range(12):
+        lines = [rng.choice(parts[3 if log == 0 else 0 :]).replace("%d", str(k)) for k in range(700)]
+        if log % 3 == 1:
+            lines[rng.randrange(700)] = "Pipestance completed successfully!"
+        (tmp_path / f"{log}.log").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = R.read_log_lines(spark, str(tmp_path))
+        assert rows.select("path", "place.block").distinct().count() > 60
+        found = {r.path: (r.succeeded, r.report_path, r.version) for r in rows.groupBy("path").agg(*T.log_facts()).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = R.read_logs(spark, str(tmp_path)).select(
+        "path", T.run_succeeded("text"), T.report_path("text"), T.tool_version("text")
+    )
+    assert found == {r[0]: tuple(r[1:]) for r in whole.collect()}
+    assert len({version for _, _, version in found.values()}) > 3
