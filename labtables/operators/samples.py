@@ -93,10 +93,9 @@ def libraries_rows(
         F.col("feature").alias("_feature"), F.col("library_type").alias("library_type")
     )
     return (
-        members.select(*keep, feature, F.explode(fastq_dirs).alias("flowcell", "_dirs"))
-        .select(*keep, feature, "flowcell", F.explode("_dirs").alias("fastqs"))
-        .join(types, F.col(feature) == F.col("_feature"))
-        .drop("_feature", feature)
+        members.join(types, F.col(feature) == F.col("_feature"))
+        .select(*keep, "library_type", F.explode(fastq_dirs).alias("flowcell", "_dirs"))
+        .select(*keep, "flowcell", F.explode("_dirs").alias("fastqs"), "library_type")
     )
 
 
