@@ -10,7 +10,7 @@ a window over it also starts in a document of smaller doc_id.
    windows that contain them, and these are compared by 96 bits of hash.  The windows that also
    start in a smaller document, together, are the maximal repeats.
 
-Documents are dealt by doc_id into groups of about GROUP_CHARS characters.  A group sends each
+Documents are dealt by doc_id and text into groups of about GROUP_CHARS characters.  A group sends each
 distinct run (4 bytes) or window (12 bytes and its smallest document) once to the range of hashes
 it belongs to, and gets back what other groups have as well.  A passage that very many documents
 share is thus one entry per group, never one per document.  The texts are shuffled once; the
@@ -18,8 +18,8 @@ three steps that read them reuse that exchange.
 
 Defined cases: a null text has no words; documents shorter than a window keep all words; equal
 doc_ids are not smaller than each other, a null doc_id counts as larger than any; repeats inside
-one document stay; repeated rows are kept each; an empty table gives no rows; other columns are
-ignored.
+one document stay; repeated rows are kept each; a very long text is a group's task by itself, whole;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,6 +97,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["place", "grp", "hashes", "more", "docs"])
 
 
+def _dealt(docs: DataFrame, groups: int) -> DataFrame:
+    """Documents with their group, by doc_id and text: ids may be null or repeated."""
+    group = F.pmod(letters_hash("doc_id", "text"), F.lit(groups)).cast("int")
+    return texts(docs).withColumn("grp", group)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     total = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
@@ -221,9 +227,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         found = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
         return found.astype({"doc_id": "Int64"})
 
-    dealt = texts(docs).withColumn(
-        "grp", F.pmod(letters_hash("doc_id"), F.lit(groups)).cast("int")
-    )
+    dealt = _dealt(docs, groups)
     hits = (
         dealt.groupBy("grp").applyInPandas(send_runs, _ROWS)
         .groupBy("place").applyInPandas(match_runs, _ROWS)

@@ -363,3 +363,11 @@ def test_language_in_several_scripts():
     found = language_id.score(model, [t for t, _ in asked]).argmax(axis=1)
     right = [model.languages[k] == language for k, (_, language) in zip(found, asked, strict=True)]
     assert np.mean(right) >= 0.97
+
+
+def test_documents_without_ids_are_spread_over_groups(spark):
+    docs = spark.range(9000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "CAST(id AS STRING) AS text"
+    )
+    sizes = [r["count"] for r in repeats._dealt(docs, 100).groupBy("grp").count().collect()]
+    assert len(sizes) == 100 and max(sizes) < 180
