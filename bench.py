@@ -22,7 +22,10 @@ ONCE = (
     "latest_doc_stream",
     "routed_stream",
     "project_stream",
+    "project_stream_rejects",
     "status_stream",
+    "rollup_stream",
+    "changes_since",
     "dispatch",
     "write_stats_tsv",
     "write_barcode_list",
@@ -30,6 +33,7 @@ ONCE = (
     "write_multi_sheet",
     "write_tracking",
     "read_long_stats",
+    "log_facts",
 )
 
 
