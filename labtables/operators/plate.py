@@ -102,6 +102,20 @@ def array_cell_counts(cell_arrays: DataFrame, keys: list[str], counts: str) -> D
     return cell_arrays.select(*keys, total.alias("umi_reads"), nonzero.alias("umi_genes"))
 
 
+def plates_of_all(tables: list[DataFrame], plate: str) -> DataFrame:
+    """Plates that have rows in every one of the tables.
+
+    Which tables a plate is in is one number per plate, reduced on the map side and brought
+    together in one aggregate, whatever the number of tables.
+    """
+    seen = [table.select(plate, F.lit(1 << k).alias("_in")) for k, table in enumerate(tables)]
+    found = seen[0]
+    for more in seen[1:]:
+        found = found.union(more)
+    found = found.groupBy(plate).agg(F.bit_or("_in").alias("_in"))
+    return found.where(F.col("_in") == (1 << len(tables)) - 1).select(plate)
+
+
 def join_counts(
     stats: DataFrame,
     counts: DataFrame,
@@ -113,14 +127,14 @@ def join_counts(
     """Stats and cell counts, full outer on the barcode.
 
     A plate takes part only when both tables have rows for it.  Where the plates
-    of a table are known from something smaller, pass that.
+    of a table are known from something smaller, pass that.  Each table is
+    joined once; the plates are filtered afterwards, by one small table.
     """
-    first = (stats if stats_plates is None else stats_plates).select(plate).distinct()
-    second = (counts if counts_plates is None else counts_plates).select(plate).distinct()
-    both = first.join(second, plate, "left_semi")
-    return stats.join(both, plate, "left_semi").join(
-        counts.join(both, plate, "left_semi"), keys, "full"
+    both = plates_of_all(
+        [stats if stats_plates is None else stats_plates, counts if counts_plates is None else counts_plates],
+        plate,
     )
+    return stats.join(counts, keys, "full").join(both, plate, "left_semi")
 
 
 def reads_summary(

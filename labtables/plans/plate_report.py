@@ -64,14 +64,20 @@ def failed_plates(inputs: PlateInputs) -> DataFrame:
 
 
 def plate_stats(inputs: PlateInputs, gene_types: dict[str, str], reagent: str = "1.5") -> DataFrame:
-    """One row per well with all its statistics; failed plates have none."""
-    plates = inputs.plates.join(failed_plates(inputs), "plate", "left_anti")
-    wells = P.wells_for_plates(plates, inputs.lookup, reagent=reagent)
+    """One row per well with all its statistics; failed plates have none.
+
+    The wide tables meet in one chain of joins on the same key; which plates stay is settled
+    from plate numbers alone, in one aggregate over all kinds, and applied once, at the end.
+    """
+    wells = P.wells_for_plates(inputs.plates, inputs.lookup, reagent=reagent)
     reads = P.total_reads(inputs.reads.where(good_barcode("barcode")), KEYS, "n", "total_reads")
     genes = P.pivot_types(inputs.genes, KEYS, "type", "n", gene_types)
     stats = P.join_stats(wells, [reads, inputs.umi, genes], KEYS)
     counts = P.cell_counts(inputs.cells, inputs.counts, KEYS, "count")
-    return P.join_counts(stats, counts, "plate", KEYS, wells, inputs.cells)
+    usable = P.plates_of_all([wells, inputs.reads, inputs.genes, inputs.umi], "plate")
+    if inputs.failed is not None:
+        usable = usable.join(inputs.failed, "plate", "left_anti")
+    return P.join_counts(stats, counts, "plate", KEYS, usable, inputs.cells)
 
 
 def overview(stats: DataFrame, unit: int = 1_000_000) -> DataFrame:

@@ -69,6 +69,17 @@ def test_sample_merge_reads_and_shuffles_each_side_once(spark, sf_dir):
     assert text.count("FileScan") == 2 and text.count("Exchange hashpartitioning") == 2
 
 
+@pytest.mark.parametrize(("name", "most"), [("join_counts", 9), ("null_share", 9), ("plate_report_overview", 15)])
+def test_plate_tables_are_joined_once_and_plates_filtered_last(spark, sf_dir, name, most):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, sf_dir, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") <= most
+    assert text.count("FullOuter") == 1 and text.count("LeftSemi") == 1
+
+
 def test_documents_are_parsed_once(spark, sf_dir):
     text = plan(spark, sf_dir, "intake")
     assert text.count("from_json") == 1

@@ -60,6 +60,24 @@ def test_join_counts_needs_both_sides_of_a_plate(spark):
     assert found == {("p", "a"): (1, None), ("p", "b"): (2, 5), ("p", "c"): (None, 6)}
 
 
+def test_plates_of_all_tables(spark):
+    def plates(*names):
+        return spark.createDataFrame([(n, 1) for n in names], "plate string, x int")
+
+    tables = [plates("p", "p", "q", None), plates("p", "q", "r", None), plates("q", "p", "s")]
+    assert {r.plate for r in P.plates_of_all(tables, "plate").collect()} == {"p", "q"}
+    assert P.plates_of_all([*tables, plates()], "plate").collect() == []
+
+
+def test_a_plate_without_wells_takes_no_part(spark):
+    plates = spark.createDataFrame([("p", "S0"), ("q", "unknown")], "plate string, barcode_set string")
+    lookup = spark.createDataFrame([("S0", "A1", "b", "")], "BCset string, WellID string, XC string, XC_NovaSeq string")
+    long = spark.createDataFrame([(p, "b", 3, "exon") for p in ("p", "q", "x")], "plate string, barcode string, n long, type string")
+    wells = long.select("plate", "barcode")
+    inputs = PlateInputs(plates, lookup, long, long, wells.selectExpr("*", "1 AS tagged"), wells, wells.selectExpr("*", "2 AS count"))
+    assert [(r.plate, r.well, r.umi_reads) for r in plate_stats(inputs, {"exon": "exon"}).collect()] == [("p", "A1", 2)]
+
+
 def test_overview_rounds_like_python(spark):
     totals = [0, 999_999, 6_000_000, 18_999_999, 30_000_001, 123_456_789]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(totals)], "plate long, reads long")
