@@ -7,18 +7,23 @@ shard is packed by one task from lengths alone (a few MB).  In a shard:
 1. large pieces (over CAPACITY / 8) are sorted and dealt to groups of equal cardinality; each
    counts as long as the longest of its group;
 2. how often to use which configuration of these few sizes is a linear programme over
-   configurations, solved by column generation (a knapsack prices new ones), rounded down;
+   configurations, solved by column generation (a knapsack prices new ones) to less than one
+   sequence from its best, and rounded down;
 3. pieces themselves take the places: the longest left that the place's size allows, and in
    a configuration's last place the longest that the room allows, as the pieces before it
    are shorter than they counted;
 4. the rest, largest first, goes where it fits best, small pieces last, and into new
-   sequences where nothing has room.
+   sequences where nothing has room;
+5. where best fit of all pieces alone needs fewer sequences, as it can where rounding lengths
+   up costs more than configurations save, that packing is taken.
 
 In a given order (``packed_in_order``) shards are ranges of it, packed in runs of RUN_PIECES, and
 sequences are numbered by the middle place of their pieces, so that what is read first comes first.
 
-Defined cases: a null text is the empty text, of one id; repeated rows are packed each;
-an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is the empty text, of one id; repeated rows are packed each; a very
+long text is cut into pieces and nothing of it but their lengths and sums is kept; pieces of one
+length are interchangeable, and which takes which place is not fixed; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +46,6 @@ SHARD_PIECES = 200_000
 #: Pieces that are packed together where an order is to be kept.
 RUN_PIECES = 8192
 GROUPS = 96
-#: New configurations asked for at most; the solution is a good one before that.
-ROUNDS = 400
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -113,22 +116,40 @@ def pack_in_order(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and place of each length (1 to capacity)."""
-    n = len(lengths)
-    sequence = np.full(n, -1, dtype=np.int64)
-    offset = np.zeros(n, dtype=np.int64)
-    room: list[int] = []
-
-    def put(i: int, at: int) -> None:
-        sequence[i] = at
-        offset[i] = capacity - room[at]
-        room[at] -= int(lengths[i])
+    """Sequence number and place of each length (1 to capacity).
 
+    Whichever is fewer sequences: the configurations' or those of best fit alone.
+    """
     order = np.argsort(-lengths, kind="stable")
-    large = order[lengths[order] > capacity // 8]
-    if len(large):
-        groups = np.array_split(large, min(GROUPS, len(large)))
-        sizes = np.array([lengths[g[0]] for g in groups])
+    planned = _Open(lengths, capacity)
+    planned.configure(order[lengths[order] > capacity // 8])
+    planned.best_fit(order)
+    plain = _Open(lengths, capacity)
+    plain.best_fit(order)
+    fewer = planned if len(planned.room) <= len(plain.room) else plain
+    return fewer.sequence, fewer.offset
+
+
+class _Open:
+    """Sequences that are being filled, by their room."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int) -> None:
+        self.lengths, self.capacity = lengths, capacity
+        self.sequence = np.full(len(lengths), -1, dtype=np.int64)
+        self.offset = np.zeros(len(lengths), dtype=np.int64)
+        self.room: list[int] = []
+
+    def put(self, i: int, at: int) -> None:
+        self.sequence[i] = at
+        self.offset[i] = self.capacity - self.room[at]
+        self.room[at] -= int(self.lengths[i])
+
+    def configure(self, large: np.ndarray) -> None:
+        """Large pieces, given by falling length, take the places of configurations."""
+        if not len(large):
+            return
+        lengths, capacity = self.lengths, self.capacity
+        sizes, demand = rounded_sizes(lengths[large])
         # Pieces left of each length, and a bit for each length that is left.
         left: list[list[int]] = [[] for _ in range(capacity + 1)]
         lengths_left = 0
@@ -148,55 +169,77 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
                 lengths_left ^= 1 << length
             return i
 
-        for configuration, times in configurations(sizes, [len(g) for g in groups], capacity):
+        room = self.room
+        for configuration, times in configurations(sizes, demand, capacity):
             for _ in range(times):
                 room.append(capacity)
                 for place, k in enumerate(configuration):
                     last = place == len(configuration) - 1
                     i = take(room[-1] if last else min(room[-1], int(sizes[k])))
                     if i is not None:
-                        put(i, len(room) - 1)
+                        self.put(i, len(room) - 1)
                 if room[-1] == capacity:
                     room.pop()
 
-    # Best fit: open sequences by their room, and a bit for each room that occurs.
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0
-    for at, space in enumerate(room):
-        by_room[space].append(at)
-        rooms |= 1 << space
-    for i in order:
-        if sequence[i] >= 0:
-            continue
-        need = int(lengths[i])
-        fitting = rooms >> need
-        if fitting:
-            space = need + (fitting & -fitting).bit_length() - 1
-            at = by_room[space].pop()
-            if not by_room[space]:
-                rooms ^= 1 << space
-        else:
-            at = len(room)
-            room.append(capacity)
-        put(i, at)
-        by_room[room[at]].append(at)
-        rooms |= 1 << room[at]
-    return sequence, offset
+    def best_fit(self, order: np.ndarray) -> None:
+        """Pieces without a place, by falling length, go where they leave the least room."""
+        # Open sequences by their room, and a bit for each room that occurs.
+        by_room: list[list[int]] = [[] for _ in range(self.capacity + 1)]
+        rooms = 0
+        for at, space in enumerate(self.room):
+            by_room[space].append(at)
+            rooms |= 1 << space
+        for i in order[self.sequence[order] < 0]:
+            need = int(self.lengths[i])
+            fitting = rooms >> need
+            if fitting:
+                space = need + (fitting & -fitting).bit_length() - 1
+                at = by_room[space].pop()
+                if not by_room[space]:
+                    rooms ^= 1 << space
+            else:
+                at = len(self.room)
+                self.room.append(self.capacity)
+            self.put(i, at)
+            by_room[self.room[at]].append(at)
+            rooms |= 1 << self.room[at]
+
+
+def rounded_sizes(falling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few sizes and how many lengths count as each: lengths are rounded up to the longest of
+    their group, and groups of the same longest are one size.  Few different lengths stay exact."""
+    sizes, demand = np.unique(falling, return_counts=True)
+    if len(sizes) > GROUPS:
+        groups = np.array_split(falling, GROUPS)
+        longest = np.array([g[0] for g in groups])
+        sizes, size_of = np.unique(longest, return_inverse=True)
+        demand = np.bincount(size_of, weights=[len(g) for g in groups]).astype(np.int64)
+    return sizes, demand
 
 
 def configurations(
-    sizes: np.ndarray, demand: list[int], capacity: int
+    sizes: np.ndarray, demand: np.ndarray, capacity: int
 ) -> Iterator[tuple[list[int], int]]:
-    """(configuration as group numbers, how often), never more places than pieces."""
+    """(configuration as group numbers, how often), never more places than pieces.
+
+    New configurations are asked for until the solution is less than one sequence from the best
+    (its total over the dearest configuration's price bounds the best from below).
+    """
     k = len(sizes)
     columns = np.diag((capacity // sizes).astype(float))
-    need = np.array(demand, dtype=float)
-    for _ in range(ROUNDS):
+    need = demand.astype(float)
+    # Amounts that differ a little never tie, so every new configuration lowers the total.
+    apart = need + np.arange(1, k + 1) * 1e-5 / k
+    lowest, since = np.inf, 0
+    while True:
         prices = np.linalg.solve(columns.T, np.ones(k))
         value, column = best_configuration(sizes, prices, capacity)
-        if value <= 1 + 1e-6:
+        total = float(prices @ apart)
+        # A total that no longer falls has met the precision of doubles.
+        lowest, since = (total, 0) if total < lowest else (lowest, since + 1)
+        if value <= 1 + 1e-6 or total - total / value < 1 or since > 8 * k:
             break
-        used = np.linalg.solve(columns, need)
+        used = np.linalg.solve(columns, apart)
         change = np.linalg.solve(columns, column)
         ratio = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
         columns[:, int(ratio.argmin())] = column
@@ -205,26 +248,33 @@ def configurations(
         times = int(np.floor(used[j] + 1e-6))
         if times > 0:
             places = columns[:, j].round().astype(int)
-            yield [g for g in range(k) for _ in range(places[g])], times
+            yield [g for g in reversed(range(k)) for _ in range(places[g])], times
 
 
 def best_configuration(
     sizes: np.ndarray, prices: np.ndarray, capacity: int
 ) -> tuple[float, np.ndarray]:
-    """The configuration worth most, by dynamic programming over the space it fills."""
+    """The configuration worth most, by dynamic programming over the space it fills.
+
+    Spaces are worked out as many at once as the smallest size is long, as each needs only
+    spaces that are smaller by a size.
+    """
     useful = np.flatnonzero(prices > 1e-9)
     worth = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
-    smallest = int(sizes[useful].min()) if len(useful) else capacity + 1
-    for space in range(1, capacity + 1):
-        worth[space] = worth[space - 1]
-        if space < smallest:
-            continue
-        fit = useful[sizes[useful] <= space]
-        values = worth[space - sizes[fit]] + prices[fit]
-        best = int(values.argmax())
-        if values[best] > worth[space] + 1e-12:
-            worth[space], last[space] = values[best], fit[best]
+    if len(useful):
+        long, price = sizes[useful], prices[useful]
+        step = int(long.min())
+        for start in range(step, capacity + 1, step):
+            space = np.arange(start, min(start + step, capacity + 1))
+            before = space[:, None] - long
+            values = np.where(before >= 0, worth[np.maximum(before, 0)] + price, -1.0)
+            best = values.argmax(axis=1)
+            value = values[np.arange(len(space)), best]
+            grown = np.maximum.accumulate(np.append(worth[start - 1], value))
+            better = value > grown[:-1] + 1e-12
+            worth[space] = grown[1:]
+            last[space[better]] = useful[best[better]]
     column, space = np.zeros(len(sizes)), capacity
     while space > 0:
         if last[space] < 0:

@@ -1,9 +1,12 @@
 """Operators over many rows against brute force."""
 
+import bisect
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -244,3 +247,68 @@ def test_sequences_follow_the_mixture(spark, monkeypatch, shard):
         assert abs(taken / sum(r["length"] for r in order[:n]) - share) < 0.08, n
     middle = [r["slot"] for r in order]
     assert np.corrcoef(middle, np.arange(len(middle)))[0, 1] > 0.99
+
+
+def lengths_to_pack(name):
+    rng = np.random.default_rng(3)
+    return {
+        "two sizes": lambda: np.repeat([683, 1365], 1000),
+        "three sizes": lambda: np.repeat([548, 1000, 1500], 1000),
+        "uniform": lambda: rng.integers(1, 2049, 8192),
+        "skewed": lambda: np.clip(rng.lognormal(6.2, 0.9, 8192).astype(int) + 1, 1, 2048),
+        "middle": lambda: rng.integers(257, 1025, 8192),
+        "one size among many": lambda: np.r_[rng.integers(300, 2049, 3000), np.full(3000, 683)],
+        "small ones only": lambda: rng.integers(1, 200, 3000),
+        "one": lambda: np.array([5]),
+    }[name]().astype(np.int64)
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Rooms of the sequences, each length into the fullest that can take it."""
+    rooms = []
+    for length in sorted(lengths.tolist(), reverse=True):
+        at = bisect.bisect_left(rooms, length)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - length)
+    return rooms
+
+
+@pytest.mark.parametrize(
+    "name", ["two sizes", "three sizes", "uniform", "skewed", "middle", "one size among many", "small ones only", "one"]
+)
+def test_never_more_sequences_than_best_fit_decreasing(name):
+    lengths = lengths_to_pack(name)
+    sequence, offset = packing.pack_lengths(lengths, 2048)
+    used = int(sequence.max()) + 1
+    assert used <= len(best_fit_decreasing(lengths, 2048))
+    assert name != "two sizes" or used == 1000
+    for number in range(used):
+        mine = np.flatnonzero(sequence == number)
+        mine = mine[np.argsort(offset[mine])]
+        ends = np.cumsum(lengths[mine])
+        assert ends[-1] <= 2048 and offset[mine].tolist() == [0, *ends[:-1].tolist()]
+
+
+def test_programme_reaches_the_best_total():
+    """Sizes 683 and 1365 fill a sequence; thirds of 682 fill it too."""
+    for sizes, demand, best in [([683, 1365], [70, 70], 70), ([682], [99], 33), ([300, 500, 700], [40, 60, 20], 30)]:
+        chosen = list(packing.configurations(np.array(sizes), np.array(demand), 2048))
+        got = np.zeros(len(sizes))
+        for configuration, times in chosen:
+            assert sum(sizes[k] for k in configuration) <= 2048
+            for k in configuration:
+                got[k] += times
+        assert (got <= demand).all()
+        assert sum(times for _, times in chosen) <= best
+
+
+@given(st.lists(st.integers(257, 2048), min_size=1, max_size=60), st.integers(1, 50))
+@settings(max_examples=60, deadline=None)
+def test_programme_always_ends(sizes, times):
+    sizes = np.unique(sizes)
+    chosen = list(packing.configurations(sizes, np.full(len(sizes), times), 2048))
+    used = np.zeros(len(sizes))
+    for configuration, often in chosen:
+        for k in configuration:
+            used[k] += often
+    assert (used <= times).all()
