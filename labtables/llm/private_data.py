@@ -17,7 +17,9 @@ and of feature values are gathered.  Patterns cannot backtrack, so work is linea
 
 Defined cases: a null text is the empty text; a text without candidates has zero counts, empty
 spans and the hash of the empty string; repeated rows are judged each; without any candidate the
-models are empty and nothing is added; other columns are ignored.
+models are empty and nothing is added; of two added spans that overlap, the one of the kind listed
+first stays, then the one that starts first; a very long text is one row, and work on its spans
+grows little faster than their number; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ CONTEXT = 32
 SHAPES = 64
 # Positions are summed in chunks, so that many matches in one text stay cheap.
 CHUNK = 64
+# Spans of one text that are gone through between two copies of what was put out.
+SCAN_CHUNK = 256
 
 # A match may begin where a run of its characters begins, or right after the match before.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -342,34 +346,131 @@ def find(docs: DataFrame, carry: bool = False) -> DataFrame:
     def span(c: Column) -> Column:
         return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))
 
-    def overlaps(a: Column, b: Column) -> Column:
-        return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-
+    accepted = F.filter("found", lambda c: (c["votes"][0] == 0) & (probability(c) >= ACCEPT))
     return (
         found.withColumn("base", F.transform(F.filter("found", lambda c: c["base"]), span))
-        .withColumn(
-            "likely",
-            F.transform(
-                F.filter("found", lambda c: (c["votes"][0] == 0) & (probability(c) >= ACCEPT)), span
+        .withColumn("likely", F.transform(accepted, span))
+        .withColumn("added", _added(F.col("base"), F.col("likely")))
+        .select("doc_id", "base", "added", *(["row"] if carry else []))
+    )
+
+
+_MARKED = "struct<start:long,rank:int,kind:int,stop:long,lost:boolean>"
+_SPANS = "array<struct<kind:int,start:long,stop:long>>"
+_NOWHERE = 1 << 62
+
+
+def _scan(
+    items: Column,
+    item_type: str,
+    start: Column,
+    step: Callable[[Column, Column], tuple[Column, Column]],
+) -> Column:
+    """Goes through the items once.  ``step`` of what is carried and an item says what is carried
+    on and, as an array, what is put out.  In chunks, so that the output is copied little."""
+
+    def each(state: Column, one: Column) -> Column:
+        carried, out = step(state["carried"], one)
+        return F.struct(carried.alias("carried"), F.concat(state["out"], out).alias("out"))
+
+    def chunk(state: Column, number: Column) -> Column:
+        part = F.slice(items, number * SCAN_CHUNK + 1, F.lit(SCAN_CHUNK))
+        empty = F.struct(state["carried"].alias("carried"), F.array().cast(f"array<{item_type}>").alias("out"))
+        return _let(
+            F.aggregate(part, empty, each),
+            lambda done: F.struct(
+                done["carried"].alias("carried"), F.concat(state["out"], F.array(done["out"])).alias("out")
             ),
         )
-        .withColumn(
-            "free",
-            F.filter("likely", lambda s: ~F.exists("base", lambda b: overlaps(s, b))),
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SCAN_CHUNK).cast("int"))
+    begin = F.struct(start.alias("carried"), F.array().cast(f"array<array<{item_type}>>").alias("out"))
+    whole = F.flatten(F.aggregate(numbers, begin, chunk, lambda state: state["out"]))
+    return F.when(F.size(items) > 0, whole).otherwise(F.array().cast(f"array<{item_type}>"))
+
+
+def _marked(one: Column, lost: Column) -> Column:
+    kept = [one[name].alias(name) for name in ("start", "rank", "kind", "stop")]
+    return F.struct(*kept, lost.alias("lost"))
+
+
+def _added(base: Column, likely: Column) -> Column:
+    """Likely spans that overlap no base span, and none of these that comes first by kind and start.
+
+    Sorted by start, a span overlaps an earlier one if the furthest stop so far is beyond its
+    start, and a later one if the nearest start behind it is before its stop: each question is one
+    pass forward and one backward.
+    """
+
+    def ranked(spans: Column, rank: int) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                F.lit(rank).alias("rank"),
+                s["kind"].alias("kind"),
+                s["stop"].alias("stop"),
+                F.lit(False).alias("lost"),
+            ),
         )
-        .withColumn(
-            "added",
-            F.filter(
-                "free",
-                lambda s: ~F.exists(
-                    "free",
-                    lambda o: overlaps(s, o)
-                    & ((o["kind"] < s["kind"]) | ((o["kind"] == s["kind"]) & (o["start"] < s["start"]))),
+
+    none = F.array().cast(f"array<{_MARKED}>")
+    far = F.lit(_NOWHERE).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def base_before(furthest: Column, one: Column) -> tuple[Column, Column]:
+        is_base = one["rank"] == 0
+        out = _marked(one, ~is_base & (furthest > one["start"]))
+        return F.when(is_base, F.greatest(furthest, one["stop"])).otherwise(furthest), F.array(out)
+
+    def base_behind(nearest: Column, one: Column) -> tuple[Column, Column]:
+        is_base = one["rank"] == 0
+        out = F.when(is_base | one["lost"] | (nearest < one["stop"]), none).otherwise(F.array(one))
+        return F.when(is_base, one["start"]).otherwise(nearest), out
+
+    def kinds_before(furthest: Column, one: Column) -> tuple[Column, Column]:
+        lost = F.lit(False)
+        for k in range(len(KINDS)):
+            lost = lost | ((one["kind"] >= k) & (furthest[f"k{k}"] > one["start"]))
+        carried = [
+            F.when(one["kind"] == k, F.greatest(furthest[f"k{k}"], one["stop"])).otherwise(furthest[f"k{k}"]).alias(f"k{k}")
+            for k in range(len(KINDS))
+        ]
+        return F.struct(*carried), F.array(_marked(one, lost))
+
+    def kinds_behind(nearest: Column, one: Column) -> tuple[Column, Column]:
+        lost = one["lost"]
+        for k in range(len(KINDS)):
+            lost = lost | ((one["kind"] > k) & (nearest[f"k{k}"] < one["stop"]))
+        carried = [
+            F.when(one["kind"] == k, one["start"]).otherwise(nearest[f"k{k}"]).alias(f"k{k}") for k in range(len(KINDS))
+        ]
+        return F.struct(*carried), F.when(lost, none).otherwise(F.array(one))
+
+    def of_kinds(value: Column) -> Column:
+        return F.struct(*[value.alias(f"k{k}") for k in range(len(KINDS))])
+
+    def passes(items: Column) -> Column:
+        return _let(
+            _scan(items, _MARKED, zero, base_before),
+            lambda seen: _let(
+                F.reverse(seen),
+                lambda back: _let(
+                    F.reverse(_scan(back, _MARKED, far, base_behind)),
+                    lambda free: _let(
+                        F.reverse(_scan(free, _MARKED, of_kinds(zero), kinds_before)),
+                        lambda judged: _scan(judged, _MARKED, of_kinds(far), kinds_behind),
+                    ),
                 ),
             ),
         )
-        .select("doc_id", "base", "added", *(["row"] if carry else []))
+
+    everything = F.array_sort(F.concat(ranked(base, 0), ranked(likely, 1)))
+    left = F.transform(
+        _let(everything, passes),
+        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")),
     )
+    return F.when(F.size(likely) > 0, F.array_sort(left)).otherwise(F.array().cast(_SPANS))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -385,25 +486,56 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.col("row.text")
     names = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS])
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"].cast("int") + 1, (s["start"] - state["at"]).cast("int"))
-        grown = F.concat(state["out"], F.array(gap, F.get(names, s["kind"])))
-        free = s["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"),
-            F.when(free, grown).otherwise(state["out"]).alias("out"),
+    strings = F.array().cast("array<string>")
+
+    def chunk(spans: Column, state: Column, number: Column) -> Column:
+        """Some spans and the stretch of text that they lie in, which is cut out once."""
+        part = F.slice(spans, number * SCAN_CHUNK + 1, F.lit(SCAN_CHUNK))
+        first = state["at"]
+        last = F.greatest(first, F.array_max(F.transform(part, lambda s: s["stop"])))
+        stretch = F.substring(text, first.cast("int") + 1, (last - first).cast("int"))
+
+        def step(stretch: Column) -> Callable[[Column, Column], Column]:
+            def one(state: Column, s: Column) -> Column:
+                gap = F.substring(
+                    stretch, (state["at"] - first).cast("int") + 1, (s["start"] - state["at"]).cast("int")
+                )
+                grown = F.concat(state["out"], F.array(gap, F.get(names, s["kind"])))
+                free = s["start"] >= state["at"]
+                return F.struct(
+                    F.greatest(state["at"], s["stop"]).alias("at"),
+                    F.when(free, grown).otherwise(state["out"]).alias("out"),
+                )
+
+            return one
+
+        done = _let(
+            stretch,
+            lambda stretch: F.aggregate(
+                part, F.struct(first.alias("at"), strings.alias("out")), step(stretch)
+            ),
+        )
+        return _let(
+            done,
+            lambda done: F.struct(
+                done["at"].alias("at"),
+                F.concat(state["out"], F.array(F.array_join(done["out"], ""))).alias("out"),
+            ),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate(
-        spans,
-        start,
-        step,
-        lambda state: F.concat(
-            F.array_join(state["out"], ""),
-            F.substring(text, state["at"].cast("int") + 1, F.length(text)),
-        ),
-    )
+    def replaced(spans: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / SCAN_CHUNK).cast("int"))
+        return F.aggregate(
+            numbers,
+            F.struct(F.lit(0).cast("long").alias("at"), strings.alias("out")),
+            lambda state, number: chunk(spans, state, number),
+            lambda state: F.concat(
+                F.array_join(state["out"], ""),
+                F.substring(text, state["at"].cast("int") + 1, F.length(text)),
+            ),
+        )
+
+    new = _let(spans, replaced)
     changed = found.withColumn("new", F.when(F.size(spans) > 0, new).otherwise(text))
     columns = []
     for name in docs.columns:

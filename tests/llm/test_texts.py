@@ -1,6 +1,7 @@
 """Row-wise operators against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labtables.llm import (
@@ -137,6 +139,43 @@ def test_reliabilities_trust_labelers_that_agree():
     assert found[1, 1, -1] > 0.8 and found[-1, -1, 1] < 0.2
 
 
+def overlapping(a, b):
+    return a[1] < b[2] and b[1] < a[2]
+
+
+def test_added_spans_against_all_pairs(spark):
+    rng = random.Random(4)
+
+    def some(most):
+        out = []
+        for kind in range(4):
+            at = rng.randrange(20)
+            for _ in range(rng.randrange(most)):
+                stop = at + rng.randrange(1, 12)
+                out.append((kind, at, stop))
+                at = stop + rng.randrange(25)
+        return out
+
+    texts = [(n, some(300 if n < 3 else 6), some(300 if n < 3 else 6)) for n in range(200)]
+    array = "array<struct<kind:int,start:long,stop:long>>"
+    given = spark.createDataFrame(texts, f"n int, base {array}, likely {array}")
+    added = given.select("n", private_data._added(F.col("base"), F.col("likely")).alias("added"))
+    found = {r["n"]: [tuple(s) for s in r["added"]] for r in added.collect()}
+    for n, base, likely in texts:
+        free = [s for s in likely if not any(overlapping(s, b) for b in base)]
+        assert found[n] == sorted(s for s in free if not any(overlapping(s, o) and o[:2] < s[:2] for o in free))
+
+
+def test_redaction_of_a_text_with_many_spans(spark):
+    parts = [f"é{k} mail a{k}@example.org or +1 202 555 {k:04d}, " for k in range(1500)]
+    docs = spark.createDataFrame([(1, "".join(parts)), (2, "nothing here")], "doc_id long, text string")
+    after = {r["doc_id"]: r["text"] for r in private_data.redact(docs).collect()}
+    assert after == {
+        1: "".join(f"é{k} mail [EMAIL] or [PHONE], " for k in range(1500)),
+        2: "nothing here",
+    }
+
+
 def test_redaction_replaces_spans_only(both):
     before = Counter(given(both))
     after = private_data.redact(both)
