@@ -1,11 +1,15 @@
 """Mixing sources to target weights by proportionate fair (Pfair) scheduling.
 
-Each source's documents are dealt by a hash into buckets and from these into blocks of about
-BLOCK_CHARS characters.  Block j (from 0) of a source of weight w has release time floor(j / w)
-and deadline ceil((j + 1) / w); at each time slot the released block with the earliest deadline
-runs.  At every time a source has had its weight's share of the slots to within less than one
-block.  Weights are multiples of 1 / PERIOD, so the schedule repeats after PERIOD slots: one
-period is worked out on the driver and blocks look up their slot by an equi-join.
+Each source's documents are dealt by a hash into buckets and from these into blocks.  Block j
+(from 0) of a source of weight w (its share of all weights, exactly as given) has release time
+floor(j / w) and deadline ceil((j + 1) / w); at each time slot the released block with the
+earliest deadline runs.  As long as no source has run out, every source has had its weight's
+share of the slots to within less than one block, at every time of the whole run.
+
+A block has BLOCK_CHARS characters, or as many more as it takes for the tables to have at most
+MOST_BLOCKS blocks and one for each source: the schedule of whole blocks is worked out on the
+driver, from a row per source, and never grows beyond that.  Blocks look up their slot by an
+equi-join.
 
 All documents are kept.  A source that has no blocks left leaves its slots empty, so the
 others keep their pace relative to each other; a document longer than a block takes the
@@ -15,67 +19,73 @@ No source is gathered in one task, however large: running totals are taken insid
 about BUCKET_ROWS documents and over the buckets' sums.
 
 Defined cases: a null source is a source of its own; a null or empty text has length 0 (it
-counts 1); repeated rows are kept, each; an empty table gives no rows; weights of sources that
-the table lacks are ignored, sources without a weight get the smallest one.
+counts 1); repeated rows are kept, each, in blocks side by side; a very long text is one document
+and is not cut; an empty table gives no rows; weights of sources that the table lacks are ignored;
+sources without a weight above zero get the smallest one (1 if there is none), and weights below
+LEAST_WEIGHT of the largest count as that; of blocks with the same deadline the one released first
+runs, then the one of the source that is first in order.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labtables.llm._common import letters_hash
+from labtables.sources.dimensions import dimension
 
-PERIOD = 4096
 BLOCK_CHARS = 1 << 16
+MOST_BLOCKS = 1 << 20
 BUCKET_ROWS = 4096
-
-
-def tickets(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Slots of each source in a period: at least one, in all exactly the period.
-
-    The period doubles until it has several slots for every source.
-    """
-    if not weights:
-        return {}
-    while period < 8 * len(weights):
-        period *= 2
-    names = sorted(weights, key=lambda n: (n is None, n))
-    total = sum(weights.values()) or 1.0
-    exact = {n: weights[n] / total * period for n in names}
-    out = {n: max(1, int(exact[n])) for n in names}
-    spare = period - sum(out.values())
-    by_rest = sorted(names, key=lambda n: out[n] - exact[n])
-    while spare > 0:
-        for n in by_rest[:spare]:
-            out[n] += 1
-            spare -= 1
-    while spare < 0:
-        largest = max(names, key=lambda n: out[n])
-        out[largest] -= 1
-        spare += 1
-    return out
-
-
-def schedule(slots: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block in the period, slot) of one period by earliest deadline first."""
-    period = sum(slots.values())
-    names = sorted(slots, key=lambda n: (n is None, n))
+LEAST_WEIGHT = 2.0**-20
+
+
+def block_chars(total: float) -> int:
+    """Characters of a block, where all texts together have ``total``."""
+    return max(BLOCK_CHARS, -(-int(total) // MOST_BLOCKS))
+
+
+def usable_weights(
+    weights: dict[str | None, float], names: list[str | None]
+) -> dict[str | None, float]:
+    """A weight above zero for each of the names."""
+    given = {n: float(weights[n]) for n in names if weights.get(n) is not None and weights[n] > 0}
+    if not given:
+        return dict.fromkeys(names, 1.0)
+    smallest, largest = min(given.values()), max(given.values())
+    return {n: max(given.get(n, smallest), largest * LEAST_WEIGHT) for n in names}
+
+
+def schedule(
+    weights: dict[str | None, float], blocks: dict[str | None, int]
+) -> list[tuple[str | None, int, int]]:
+    """(source, block, slot) of all blocks by earliest deadline first, in the order of slots."""
+    names = sorted((n for n in blocks if blocks[n] > 0), key=lambda n: (n is None, n))
+    exact = [Fraction(weights[n]) for n in names]
+    # Weights as whole numbers: windows are exact, however long the run.
+    scale = max((w.denominator for w in exact), default=1)  # powers of two
+    whole = [int(w * scale) for w in exact]
+    total = sum(whole)
     waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
+    ready: list[tuple[int, int, int, int]] = []  # deadline, release, source, block
     out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[names[k]]), k, j))
-        _, k, j = heapq.heappop(ready)
+            release, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // whole[k]), release, k, j))
+        _, _, k, j = heapq.heappop(ready)
         out.append((names[k], j, slot))
-        if j + 1 < slots[names[k]]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[names[k]], k, j + 1))
+        if j + 1 < blocks[names[k]]:
+            heapq.heappush(waiting, ((j + 1) * total // whole[k], k, j + 1))
+        slot += 1
     return out
 
 
@@ -130,12 +140,15 @@ def mix(
         # Copies of a document go to different buckets only by doc_id.
         key.alias("place"),
     )
-    counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
-    if not counts:
+    sums = docs.groupBy("source").agg(F.count("*").alias("rows"), F.sum(size).alias("size")).collect()
+    if not sums:
         return docs.withColumn("__mix", F.lit(None).cast("struct<block:long,slot:long,place:long>"))
-    default = min(weights.values(), default=1.0)
-    slots = tickets({name: weights.get(name, default) for name in counts})
-    buckets = _lookup({name: -(-n // BUCKET_ROWS) for name, n in counts.items()})
+    block = block_chars(sum(r["size"] for r in sums))
+    slots = schedule(
+        usable_weights(weights, [r["source"] for r in sums]),
+        {r["source"]: -(-r["size"] // block) for r in sums},
+    )
+    buckets = _lookup({r["source"]: -(-r["rows"] // BUCKET_ROWS) for r in sums})
     keyed = keyed.withColumn("bucket", F.pmod(F.col("place"), buckets))
 
     # Characters before each bucket of a source, from one row per bucket.
@@ -156,26 +169,16 @@ def mix(
         keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(before, ["key", "bucket"])
         .withColumn("at", F.col("within") + F.col("before"))
-        .withColumn("block", F.floor(F.col("at") / BLOCK_CHARS))
+        .withColumn("block", F.floor(F.col("at") / block).cast("long"))
     )
-    period = sum(slots.values())
-    table = spark.createDataFrame(
-        [("" if s is None else f"={s}", j, slot) for s, j, slot in schedule(slots)],
-        "key string, in_period long, s_slot long",
+    table = dimension(
+        spark,
+        "key string, block long, slot long",
+        [("" if s is None else f"={s}", j, slot) for s, j, slot in slots],
     )
-    each = _lookup(slots)
-    return (
-        placed.withColumn("turn", F.floor(F.col("block") / each))
-        .withColumn("in_period", F.col("block") - F.col("turn") * each)
-        .join(table, ["key", "in_period"])
-        .select(
-            *[F.col("row")[n].alias(n) for n in names],
-            F.struct(
-                F.col("block").cast("long").alias("block"),
-                (F.col("turn") * period + F.col("s_slot")).cast("long").alias("slot"),
-                F.col("at").cast("long").alias("place"),
-            ).alias("__mix"),
-        )
+    return placed.join(table, ["key", "block"]).select(
+        *[F.col("row")[n].alias(n) for n in names],
+        F.struct("block", "slot", F.col("at").cast("long").alias("place")).alias("__mix"),
     )
 
 

@@ -1,7 +1,9 @@
 """Operators over many rows against brute force."""
 
 import bisect
+import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -85,18 +87,82 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert least[-1] > 40  # and drops those far below
 
 
-@pytest.mark.parametrize("weights", [[1, 1, 1], [5, 3, 1, 0.2], [0.9, 0.05, 0.05], [1]])
+def lasting(weights, slots):
+    """Blocks of each source that last for so many slots, and some more."""
+    total = sum(weights.values())
+    return {name: int(slots * w / total) + 2 for name, w in weights.items()}
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [[1, 1, 1], [5, 3, 1, 0.2], [0.9, 0.05, 0.05], [1], [n**0.5 for n in (2, 3, 5, 7, 11, 13, 17, 1900)], [1e6, 1, 3**0.5]],
+)
 def test_schedule_deviates_by_less_than_a_block(weights):
-    slots = mixing.tickets({f"s{k}": w for k, w in enumerate(weights)}, 512)
-    period = sum(slots.values())
-    done = Counter()
-    plan = mixing.schedule(slots)
-    assert [slot for _, _, slot in plan] == list(range(period))
-    for source, block, slot in plan:
-        assert block == done[source]
-        done[source] += 1
-        for name, n in slots.items():
-            assert abs(done[name] - (slot + 1) * n / period) < 1
+    """From the weights as given, over 200,000 slots."""
+    weights = {f"s{k}": w for k, w in enumerate(weights)}
+    blocks = lasting(weights, 200_000)
+    plan = [row for row in mixing.schedule(weights, blocks) if row[2] < 200_000]
+    assert [slot for _, _, slot in plan] == list(range(200_000))
+    names = sorted(weights)
+    shares = np.array([weights[n] for n in names]) / sum(weights.values())
+    ran = np.zeros((len(plan), len(names)))
+    ran[np.arange(len(plan)), [names.index(source) for source, _, _ in plan]] = 1
+    done = ran.cumsum(axis=0)
+    assert np.abs(done - np.outer(np.arange(1, len(plan) + 1), shares)).max() < 1 + 1e-6
+    for k, name in enumerate(names):
+        assert [j for source, j, _ in plan if source == name] == list(range(int(done[-1, k])))
+
+
+def brute_schedule(weights, blocks):
+    """Slot by slot over all blocks."""
+    total = sum(Fraction(w) for w in weights.values())
+    left = []
+    for name, n in blocks.items():
+        share = Fraction(weights[name]) / total
+        left += [(math.ceil((j + 1) / share), math.floor(j / share), name, j) for j in range(n)]
+    out, slot = [], 0
+    while left:
+        released = [b for b in left if b[1] <= slot]
+        if released:
+            first = min(released)
+            left.remove(first)
+            out.append((first[2], first[3], slot))
+        slot += 1
+    return out
+
+
+def test_schedule_against_a_search_in_every_slot():
+    rng = np.random.default_rng(7)
+    for _ in range(15):
+        names = [f"s{k}" for k in range(rng.integers(1, 6))]
+        weights = {n: float(w) for n, w in zip(names, rng.random(len(names)) + 0.05, strict=True)}
+        blocks = {n: int(rng.integers(1, 30)) for n in names}
+        assert mixing.schedule(weights, blocks) == brute_schedule(weights, blocks)
+
+
+def test_weights_of_all_sources_are_above_zero():
+    names = ["a", "b", "c", None]
+    assert mixing.usable_weights({"a": 3, "b": 2, "x": 9}, names) == {"a": 3, "b": 2, "c": 2, None: 2}
+    assert mixing.usable_weights({"a": 0, "b": -1}, names) == dict.fromkeys(names, 1)
+    assert mixing.usable_weights({"a": 1.0, "b": 1e-30}, ["a", "b"])["b"] == mixing.LEAST_WEIGHT
+    assert mixing.block_chars(1000) == mixing.BLOCK_CHARS
+    assert -(-(10**14) // mixing.block_chars(10**14)) <= mixing.MOST_BLOCKS
+
+
+def test_slots_of_documents_against_the_search(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_CHARS", 50)
+    rows = [(k, "x" * (k % 37), [None, "a", "b", "c"][k % 7 % 4]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {None: 2**0.5, "a": 3**0.5, "b": 0.3, "c": 1.0}
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += max(len(text), 1)
+    blocks = {n: -(-sizes[n] // 50) for n in ("a", "b", "c")} | {"~": -(-sizes[None] // 50)}
+    named = {n or "~": w for n, w in weights.items()}
+    expected = {(s, j): slot for s, j, slot in brute_schedule(named, blocks)}
+    found = mixing.mix(docs, weights).select("source", "__mix.*").collect()
+    assert len(found) == 400
+    assert all(expected[r["source"] or "~", r["block"]] == r["slot"] for r in found)
 
 
 def test_mixing(odd, real, monkeypatch):
