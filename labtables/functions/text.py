@@ -26,17 +26,20 @@ def sample_barcode(library_prep: ColumnOrName, prep: str = "A") -> Column:
     return last_token(blank_to_null(barcode))
 
 
-def flowcell_date(flowcell: ColumnOrName) -> Column:
-    """Run date in front of the first ``_``: ``yyyymmdd`` or ``yymmdd``.
+def date_token(flowcell: ColumnOrName) -> Column:
+    """What stands in front of the first ``_``."""
+    return F.substring_index(as_col(flowcell), "_", 1)
 
-    Two-digit years pivot at 1969, so 97 is 1997 and 24 is 2024.  Anything else
-    is null.
-    """
-    token = F.substring_index(as_col(flowcell), "_", 1)
+
+def date_digits(token: Column) -> Column:
+    """``yyyymmdd`` of a token of eight or six digits; null for anything else."""
     century = F.when(F.substring(token, 1, 2) >= "69", F.lit("19")).otherwise(F.lit("20"))
-    digits = F.when(token.rlike("^[0-9]{8}$"), token).when(
+    return F.when(token.rlike("^[0-9]{8}$"), token).when(
         token.rlike("^[0-9]{6}$"), F.concat(century, token)
     )
+
+
+def digits_date(digits: Column) -> Column:
     day = F.try_make_timestamp_ntz(
         F.substring(digits, 1, 4).cast("int"),
         F.substring(digits, 5, 2).cast("int"),
@@ -48,6 +51,21 @@ def flowcell_date(flowcell: ColumnOrName) -> Column:
     return day.cast("date")
 
 
+def flowcell_date(flowcell: ColumnOrName) -> Column:
+    """Run date in front of the first ``_``: ``yyyymmdd`` or ``yymmdd``.
+
+    Two-digit years pivot at 1969, so 97 is 1997 and 24 is 2024.  Anything else
+    is null.
+    """
+    return digits_date(date_digits(date_token(flowcell)))
+
+
+def flowcell_ages(flowcells: Column) -> Column:
+    """Negated run day of each flowcell of an array, worked out step by step, each step once."""
+    digits = F.transform(F.transform(flowcells, date_token), date_digits)
+    return F.transform(digits, lambda d: -F.unix_date(digits_date(d)))
+
+
 def read_layout(setup: ColumnOrName) -> Column:
     """``R1-I1-I2-R2`` cycle counts to the four read segment descriptions.
 

@@ -11,7 +11,7 @@ from labtables.functions._cols import (
     blank_to_null,
     seen_words,
 )
-from labtables.functions.text import flowcell_date
+from labtables.functions.text import flowcell_ages, flowcell_date
 
 
 def explode_samples(docs: DataFrame, samples: str, *keep: str) -> DataFrame:
@@ -65,13 +65,12 @@ def flowcells_of_map(library_prep: ColumnOrName) -> Column:
 
 def latest_flowcell_of_map(library_prep: ColumnOrName) -> Column:
     """:func:`latest_flowcell` inside one document's prep map: no shuffle."""
+    flowcells = flowcells_of_map(library_prep)
     dated = F.transform(
-        flowcells_of_map(library_prep),
-        lambda fc, i: F.struct(
-            (-F.unix_date(flowcell_date(fc))).alias("age"), i.alias("pos"), fc.alias("flowcell")
-        ),
+        flowcell_ages(flowcells), lambda age, i: F.struct(age.alias("age"), i.alias("pos"))
     )
-    return F.array_min(F.filter(dated, lambda x: x["age"].isNotNull()))["flowcell"]
+    best = F.array_min(F.filter(dated, lambda x: x["age"].isNotNull()))
+    return F.get(flowcells, best["pos"])
 
 
 def sequencing_status(latest: ColumnOrName) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from labtables import schemas as S
 from labtables.operators.routing import Rules, route
+from labtables.session import scratch_dir
 from labtables.streaming.changes import run
 
 Handler = Callable[[DataFrame, int], None]
@@ -135,14 +136,17 @@ class Realms:
         """Route documents, run each realm on its own slice, unite the results.
 
         Rules whose realm is not registered are skipped, so their documents
-        drop out (:meth:`without_realm` counts them).  Each realm reads the documents again; with many realms give a
-        ``staging`` folder, where the routed documents are written once, by
-        realm, so that each realm then reads only its own.
+        drop out (:meth:`without_realm` counts them).  With several realms the
+        documents are read and routed once: they are written to ``staging`` (a
+        scratch folder by default) by realm, and each realm reads only its own.
         """
         routed = route(docs, method, rules, out="realm")
-        if staging is not None:
-            routed.write.mode("overwrite").partitionBy("realm").parquet(staging)
-            routed = docs.sparkSession.read.parquet(staging)
+        if len(self.realms) > 1 or staging is not None:
+            staging = staging or scratch_dir(docs.sparkSession, "realms")
+            mine = routed.where(F.col("realm").isin(*self.realms))
+            mine.write.mode("overwrite").partitionBy("realm").parquet(staging)
+            # The schema is given, as names of realms that look like numbers are names all the same.
+            routed = docs.sparkSession.read.schema(routed.schema).parquet(staging)
         out = None
         for name, realm in self.realms.items():
             part = (

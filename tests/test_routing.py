@@ -152,3 +152,17 @@ def test_reference_misses_at_any_hop(spark):
 def test_realms_need_registration(spark):
     with pytest.raises(ValueError):
         Realms().apply(methods(spark), "method", RULES)
+
+
+def test_realms_read_the_documents_once(spark):
+    """Each realm reads its own slice of what was routed, whatever its name looks like."""
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, None), (5, "z")], "id long, method string")
+    rules = [R.Rule("x", "007"), R.Rule("y", "yes"), R.Rule("z", "lost")]
+    realms = Realms()
+    realms.register_realm("007", lambda df: df.selectExpr("id", "realm", "'seven' AS by"))
+    realms.register_realm("yes", lambda df: df.selectExpr("id", "realm", "'yes' AS by"))
+    out = realms.apply(docs, "method", rules)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "007", "seven"), (2, "yes", "yes"), (3, "007", "seven")]
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 2 and text.count("PartitionFilters: [isnotnull(realm") == 2
+    assert realms.apply(docs.limit(0), "method", rules).collect() == []
