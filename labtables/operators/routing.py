@@ -108,23 +108,25 @@ Decisions = list[Decision] | DataFrame
 
 
 def feature_sets(
-    members: DataFrame, keys: list[str], feature: str, decisions: Decisions
+    members: DataFrame, keys: list[str], feature: str, decisions: Decisions, *also: Column
 ) -> DataFrame:
     """The feature set of each group, in the order of the decision table's vocabulary.
 
+    ``also``: further aggregates of the members, worked out in the same pass.
+
     ``members`` has one row per member of a group.  A feature outside the
     vocabulary is only noted, since such a group cannot match.  A set is no longer
     than the vocabulary, so a group may be of any size.
     """
     if isinstance(decisions, DataFrame):
         words = decisions.select(F.explode("features").alias("_word")).distinct()
-        each = members.select(*keys, F.col(feature).alias("_feature")).distinct()
         return (
-            each.join(words, F.col("_feature") == F.col("_word"), "left")
+            members.join(words, F.col(feature) == F.col("_word"), "left")
             .groupBy(*keys)
             .agg(
-                F.array_sort(F.collect_list("_word")).alias("features"),
+                F.array_sort(F.collect_set("_word")).alias("features"),
                 F.bool_or(F.col("_word").isNull()).alias("has_foreign_feature"),
+                *also,
             )
         )
     vocabulary = _vocabulary(decisions)
@@ -132,6 +134,7 @@ def feature_sets(
     return members.groupBy(*keys).agg(
         seen_words(feature, vocabulary).alias("features"),
         F.bool_or(~known).alias("has_foreign_feature"),
+        *also,
     )
 
 

@@ -194,5 +194,5 @@ def missing_outputs(
 
 
 def samples_without_fastq(samples: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples for which no folder was found; the inventory is made distinct first."""
-    return samples.join(inventory.select(*keys).distinct(), keys, "left_anti")
+    """Samples for which no folder was found; a sample may have several folders."""
+    return samples.join(inventory.select(*keys), keys, "left_anti")

@@ -30,11 +30,17 @@ def _decisions(spark: SparkSession) -> DataFrame:
     return dimension(spark, schema, [(pos, *row) for pos, row in enumerate(rows)])
 
 
+#: Line items of a task: as many tasks as it takes, so that none grows with the table.
+TASK_ROWS = 200_000
+
+
 def _inputs(spark: SparkSession, sf_dir: str) -> RS.RunInputs:
     line, part = F.col("l_linenumber"), F.col("l_partkey")
     sample = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey")
-    lines = table(spark, sf_dir, "lineitem")
-    methods = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("method"))
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_ROWS))
+    lines = lines.repartition(tasks, "l_orderkey")
+    methods = orders.select("o_orderkey", F.col("o_orderpriority").alias("method")).repartition(tasks, "o_orderkey")
     members = lines.join(methods, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("project_id"),
         F.concat(F.lit("run"), (line % 3).cast("string")).alias("run_sample"),
@@ -44,12 +50,14 @@ def _inputs(spark: SparkSession, sf_dir: str) -> RS.RunInputs:
         F.when(part % 23 == 0, "mouse").when(part % 29 == 0, "unknown").otherwise("human").alias("organism"),
         F.when(part % 17 == 0, "Aborted").alias("manual_status"),
     )
-    inventory = lines.where(F.col("l_suppkey") % 19 != 0).select(
+    # Distinct numbers make distinct names.
+    sequenced = lines.where(F.col("l_suppkey") % 19 != 0).select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+    inventory = sequenced.select(
         F.col("l_orderkey").alias("project_id"),
         sample.alias("sample_id"),
         F.lit("fc").alias("flowcell"),
         F.concat(F.lit("/fq/"), sample).alias("folder"),
-    ).distinct()
+    )
     keys = [("A", "gex"), ("N", "vdj"), ("R", "gex")]
     paths = [(key, organism, f"/ref/{key}/{organism}") for key in ("gex", "vdj") for organism in ("human", "mouse")]
     types = [("A", "Gene Expression"), ("N", "VDJ")]
@@ -60,6 +68,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> RS.RunInputs:
         dimension(spark, "ref_key STRING, organism STRING, path STRING", paths),
         dimension(spark, "feature STRING, library_type STRING", types),
         _decisions(spark),
+        tasks,
     )
 
 

@@ -35,7 +35,10 @@ class RunInputs:
     one row per lab sample; ``inventory`` (project_id, sample_id, flowcell, folder) of its FASTQ
     folders; ``feature_keys`` (feature, ref_key), ``references`` (ref_key, organism, path) and
     ``library_types`` (feature, library_type); ``decisions`` with the outputs pipeline, submit
-    and files_to_generate (words set apart by commas), as a list or a table.
+    and files_to_generate (words set apart by commas), as a list or a table.  ``tasks``: into how
+    many tasks large tables are dealt; a number that grows with the members bounds the memory of
+    each (adaptive execution joins small shuffle partitions up by their compressed size, and rows
+    with long ids take many times that once read).
     """
 
     members: DataFrame
@@ -44,6 +47,10 @@ class RunInputs:
     references: DataFrame
     library_types: DataFrame
     decisions: Decisions
+    tasks: int | None = None
+
+    def dealt(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.repartition(self.tasks, *keys) if self.tasks else rows
 
 
 def lab_samples(inputs: RunInputs) -> DataFrame:
@@ -60,13 +67,14 @@ def run_samples(inputs: RunInputs) -> DataFrame:
     reason that holds is given.  Every part is an aggregate over the same keys.
     """
     members = lab_samples(inputs)
-    sizes = members.groupBy(*KEYS).agg(
-        F.max("method").alias("method"), F.count("*").alias("n_members")
-    )
-    sets = feature_sets(members, KEYS, "feature", inputs.decisions)
-    lacking = samples_without_fastq(members.select(*KEYS, "sample_id"), inputs.inventory, SAMPLE)
+    samples = inputs.dealt(members.select(*KEYS, "sample_id"), SAMPLE)
+    folders = inputs.dealt(inputs.inventory.select(*SAMPLE), SAMPLE)
+    members = inputs.dealt(members, KEYS)
+    sizes = [F.max("method").alias("method"), F.count("*").alias("n_members")]
+    sets = feature_sets(members, KEYS, "feature", inputs.decisions, *sizes)
+    lacking = inputs.dealt(samples_without_fastq(samples, folders, SAMPLE), KEYS)
     lacking = lacking.groupBy(*KEYS).agg(F.count("*").alias("n_without_fastq"))
-    groups = match_decision_table(sets.join(sizes, KEYS), "method", inputs.decisions, OUTPUTS)
+    groups = match_decision_table(sets, "method", inputs.decisions, OUTPUTS)
     whole = groups.join(reference_conflicts(members, KEYS, "ref_key", "ref_path"), KEYS).join(
         lacking, KEYS, "left"
     )
@@ -98,12 +106,12 @@ def library_rows(inputs: RunInputs, runs: DataFrame, file: str = "libraries_csv"
     Members whose feature has no library type are left out.
     """
     types = inputs.library_types.select("feature", "library_type")
+    members = inputs.dealt(lab_samples(inputs).select(*KEYS, "sample_id", "feature"), KEYS)
+    typed = members.join(_ready(runs, file), KEYS, "left_semi").join(types, "feature")
+    folders = inputs.inventory.select(*SAMPLE, F.col("folder").alias("fastqs"))
     return (
-        lab_samples(inputs)
-        .select(*KEYS, "sample_id", "feature")
-        .join(_ready(runs, file), KEYS, "left_semi")
-        .join(types, "feature")
-        .join(inputs.inventory.select(*SAMPLE, F.col("folder").alias("fastqs")), SAMPLE)
+        inputs.dealt(typed, SAMPLE)
+        .join(inputs.dealt(folders, SAMPLE), SAMPLE)
         .select(*KEYS, "fastqs", F.col("sample_id").alias("sample"), "library_type")
     )
 
@@ -117,6 +125,7 @@ def sheet_lines(
     """Lines of the sectioned sheets of the run samples that need ``file``; ``run`` names the sheet."""
     run = F.concat_ws("_", *KEYS).alias("run")
     ready = _ready(runs, file)
-    paths = lab_samples(inputs).join(ready, KEYS, "left_semi").select(run, "ref_key", "ref_path").distinct()
+    members = inputs.dealt(lab_samples(inputs), KEYS).join(ready, KEYS, "left_semi")
+    paths = inputs.dealt(members.select(run, "ref_key", "ref_path"), ["run"]).distinct()
     libraries = library_rows(inputs, runs, file).select(run, "fastqs", "sample", "library_type")
     return multi_sheet_lines(ready.select(run), libraries, paths, "run", sections)

@@ -1,5 +1,7 @@
 """Run-sample preparation, case by case."""
 
+from dataclasses import replace
+
 from labtables.operators.routing import Decision
 from labtables.plans import run_samples as RS
 
@@ -65,3 +67,15 @@ def test_statuses_and_sheets(spark):
 def test_nothing_to_prepare(spark):
     given = inputs(spark, [("gone", "z1", "gex", "human", "ABORTED")])
     assert RS.run_samples(given).count() == 0
+
+
+def test_large_tables_keep_the_tasks_asked_for(spark):
+    """Small compressed shuffles are not joined up to few tasks, and the result is the same."""
+    members = [(f"r{k % 20}", f"s{k}", ("gex", "vdj")[k % 2], "human", None) for k in range(60)]
+    given = inputs(spark, members, without=("s3",))
+    dealt = replace(given, tasks=7)
+    runs, plain = RS.run_samples(dealt), RS.run_samples(given)
+    assert runs.rdd.getNumPartitions() == RS.library_rows(dealt, runs).rdd.getNumPartitions() == 7
+    assert sorted(runs.collect()) == sorted(plain.collect()) and plain.count() == 20
+    found = sorted(RS.library_rows(dealt, runs, "multi_csv").collect())
+    assert found == sorted(RS.library_rows(given, plain, "multi_csv").collect())
