@@ -8,8 +8,8 @@ share of the slots to within less than one block, at every time of the whole run
 
 A block has BLOCK_CHARS characters, or as many more as it takes for the tables to have at most
 MOST_BLOCKS blocks and one for each source: the schedule of whole blocks is worked out on the
-driver, from a row per source, and never grows beyond that.  Blocks look up their slot by an
-equi-join.
+driver, from a row per source, and never grows beyond that.  Buckets look up the slots of their
+blocks by an equi-join, documents those of their bucket: texts are dealt out once.
 
 All documents are kept.  A source that has no blocks left leaves its slots empty, so the
 others keep their pace relative to each other; a document longer than a block takes the
@@ -158,7 +158,25 @@ def mix(
         light.withColumn("bucket", F.pmod(F.col("place"), buckets))
         .groupBy("key", "bucket")
         .agg(F.sum("size").alias("size"))
-        .select("key", "bucket", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"))
+        .select("key", "bucket", "size", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"))
+    )
+    table = dimension(
+        spark,
+        "key string, block long, slot long",
+        [("" if s is None else f"={s}", j, slot) for s, j, slot in slots],
+    )
+    # A bucket covers a run of blocks; their slots go to its one row, so that documents are
+    # dealt by bucket once and need no second join.
+    first, last = (F.floor(at / block).cast("long") for at in (F.col("before"), F.expr("before + size - 1")))
+    slots_of = (
+        before.select("key", "bucket", "before", F.explode(F.sequence(first, last)).alias("block"))
+        .join(table, ["key", "block"])
+        .groupBy("key", "bucket")
+        .agg(
+            F.min("before").alias("before"),
+            F.min("block").alias("first"),
+            F.transform(F.array_sort(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"]).alias("slots"),
+        )
     )
     inside = (
         Window.partitionBy("key", "bucket")
@@ -167,16 +185,12 @@ def mix(
     )
     placed = (
         keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(before, ["key", "bucket"])
+        .join(slots_of, ["key", "bucket"])
         .withColumn("at", F.col("within") + F.col("before"))
         .withColumn("block", F.floor(F.col("at") / block).cast("long"))
+        .withColumn("slot", F.get("slots", (F.col("block") - F.col("first")).cast("int")))
     )
-    table = dimension(
-        spark,
-        "key string, block long, slot long",
-        [("" if s is None else f"={s}", j, slot) for s, j, slot in slots],
-    )
-    return placed.join(table, ["key", "block"]).select(
+    return placed.select(
         *[F.col("row")[n].alias(n) for n in names],
         F.struct("block", "slot", F.col("at").cast("long").alias("place")).alias("__mix"),
     )

@@ -378,3 +378,23 @@ def test_programme_always_ends(sizes, times):
         for k in configuration:
             used[k] += often
     assert (used <= times).all()
+
+
+def test_mixing_deals_texts_out_once(spark):
+    """Slots reach the buckets, so no join shuffles the documents again, whatever is broadcast."""
+    docs = spark.createDataFrame([(k, "x" * 50, f"s{k % 3}") for k in range(90)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixing.mix(docs, {"s0": 1.0, "s1": 2.0, "s2": 1.0})
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert out.count() == 90
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Exchanges of documents: those with nothing but row-wise steps between them and the scan, or above such.
+    depth = [line.index(line.lstrip(" :+-")) for line in lines]
+    carried = [
+        k for k, line in enumerate(lines)
+        if "Exchange hashpartitioning" in line
+        and any("AS row#" in lines[j] for j in range(k + 1, len(lines)) if all(depth[i] > depth[k] for i in range(k + 1, j + 1)))
+    ]
+    assert len(carried) == 1
