@@ -12,6 +12,7 @@ which batches bring them (by ``seq`` within a batch).
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -40,15 +41,19 @@ def status_class(status: Column) -> Column:
 
 
 def sample_deltas(
-    log: DataFrame, project: str, sample: str, status: str, seq: str, ts: str
+    log: DataFrame, project: str, sample: str, status: str, seq: str, ts: str, slices: int = 1024
 ) -> DataFrame:
     """Stream of (project, seq, ts, was, becomes): a sample's class before and after a row.
 
     ``was`` is null for a sample's first row.  Rows that do not change the class are left out.
+    Samples are dealt into ``slices``, and the state is one map per slice, as handing over a
+    state for each sample costs milliseconds.  A slice should hold no more than some ten
+    thousand samples; their number is fixed by the first batch.
     """
     ids = F.to_json(F.struct(F.col(project).alias("p"), F.col(sample).alias("s")))
     rows = log.select(
         ids.alias("_key"),
+        F.pmod(F.xxhash64(project, sample), F.lit(slices)).cast("int").alias("slice"),
         F.col(project).cast("string").alias("project"),
         F.col(seq).cast("long").alias("seq"),
         F.col(ts).cast("timestamp").alias("ts"),
@@ -58,26 +63,34 @@ def sample_deltas(
     def step(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (None, None)
-        for rows in frames:
-            rows = rows.sort_values("seq", kind="stable")
-            if last is not None:
-                rows = rows[rows["seq"] > last]
-            if not len(rows):
-                continue
-            was = rows["becomes"].astype("Int32").shift(1)
-            if held is not None:
-                was.iloc[0] = held
-            changed = (was.isna() | (was != rows["becomes"])).to_numpy(dtype=bool)
-            last, held = int(rows["seq"].iloc[-1]), int(rows["becomes"].iloc[-1])
-            yield rows.assign(was=was)[changed][["project", "seq", "ts", "was", "becomes"]]
-        if last is not None:
-            state.update((last, held))
-
-    return rows.groupBy("_key").applyInPandasWithState(
+        held: dict[str, list[int]] = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(frames), ignore_index=True)
+        codes, names = pd.factorize(rows["_key"])
+        known = np.array([name in held for name in names])
+        last, before = np.array([held.get(name, (0, -1)) for name in names], dtype=np.int64).T
+        fresh = ~known[codes] | (rows["seq"] > last[codes]).to_numpy(dtype=bool)
+        rows, codes = rows[fresh], codes[fresh]
+        if not len(rows):
+            return
+        seq = rows["seq"].to_numpy().astype(np.int64)
+        order = np.lexsort((seq, codes))
+        rows, codes, seq = rows.iloc[order], codes[order], seq[order]
+        becomes = rows["becomes"].to_numpy().astype(np.int64)
+        first = np.diff(codes, prepend=-1) != 0
+        was = np.where(first, before[codes], np.roll(becomes, 1))
+        ends = np.roll(first, -1)
+        ends[-1] = True
+        for name, *now in zip(names[codes[ends]], seq[ends].tolist(), becomes[ends].tolist(), strict=True):
+            held[name] = now
+        state.update((json.dumps(held),))
+        changed = was != becomes
+        rows = rows.assign(was=pd.arrays.IntegerArray(was.astype(np.int32), was < 0))
+        yield rows[changed][["project", "seq", "ts", "was", "becomes"]]
+
+    return rows.groupBy("slice").applyInPandasWithState(
         step,
         "project STRING, seq BIGINT, ts TIMESTAMP, was INT, becomes INT",
-        "last BIGINT, held INT",
+        "held STRING",
         "append",
         GroupStateTimeout.NoTimeout,
     )
@@ -107,23 +120,24 @@ def project_rollups(deltas: DataFrame, finished_as: str = "completed") -> DataFr
     ) -> Iterator[pd.DataFrame]:
         *before, end, upto = state.get if state.exists else (0, 0, 0, 0, None, 0)
         counts, end = np.array(before, dtype=np.int64), None if end is None else pd.Timestamp(end, unit="us")
-        for rows in frames:
-            rows = rows.sort_values("seq", kind="stable")
-            change = np.zeros((len(rows), len(COUNTERS)), dtype=np.int64)
-            was, becomes = rows["was"].to_numpy(dtype=float), rows["becomes"].to_numpy()
-            change[:, 0] = np.isnan(was)
-            for k in range(OTHER):
-                change[:, k + 1] = (becomes == k).astype(np.int64) - (was == k)
-            steps = counts + change.cumsum(axis=0)
-            counts, upto = steps[-1], max(upto, int(rows["seq"].max()))
-            # The end date is that of the first setting row after the last clearing one.
-            effect = _statuses(steps, finished)
-            cleared = np.flatnonzero(effect == _CLEARS)
-            begin = cleared[-1] + 1 if len(cleared) else 0
-            end = None if len(cleared) else end
-            sets = np.flatnonzero(effect[begin:] == _SETS)
-            if end is None and len(sets):
-                end = rows["ts"].iloc[begin + sets[0]]
+        # A large project comes in several frames, which have no order among them.
+        rows = pd.concat([frame[["seq", "ts", "was", "becomes"]] for frame in frames], ignore_index=True)
+        rows = rows.sort_values("seq", kind="stable")
+        change = np.zeros((len(rows), len(COUNTERS)), dtype=np.int64)
+        was, becomes = rows["was"].to_numpy(dtype=float), rows["becomes"].to_numpy()
+        change[:, 0] = np.isnan(was)
+        for k in range(OTHER):
+            change[:, k + 1] = (becomes == k).astype(np.int64) - (was == k)
+        steps = counts + change.cumsum(axis=0)
+        counts, upto = steps[-1], max(upto, int(rows["seq"].max()))
+        # The end date is that of the first setting row after the last clearing one.
+        effect = _statuses(steps, finished)
+        cleared = np.flatnonzero(effect == _CLEARS)
+        begin = cleared[-1] + 1 if len(cleared) else 0
+        end = None if len(cleared) else end
+        sets = np.flatnonzero(effect[begin:] == _SETS)
+        if end is None and len(sets):
+            end = rows["ts"].iloc[begin + sets[0]]
         stamp = None if end is None else int(end.value // 1000)
         state.update((*map(int, counts), stamp, upto))
         yield pd.DataFrame(

@@ -12,7 +12,7 @@ from labtables.plans.follow_projects import follow_projects, project_table, reje
 from labtables.session import scratch_dir
 from labtables.streaming import changes as C
 from labtables.streaming.dispatch import Dispatcher
-from labtables.streaming.rollup import follow_rollup, rolled_up
+from labtables.streaming.rollup import follow_rollup, rolled_up, sample_deltas
 
 
 def add(spark, path, rows, schema=S.RAW_DOC):
@@ -175,6 +175,25 @@ def test_rollup_ignores_late_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "kept" / "projects")).count() == 2
 
 
+def test_rollup_of_a_project_of_many_frames(spark, tmp_path):
+    """More rows than one frame holds, in no order; a state is kept per slice, not per sample."""
+    rows = [("p", f"s{k % 300}", ("processing", "failed")[k >= 700], k, at(0) + timedelta(seconds=k)) for k in range(1000)]
+    random.Random(3).shuffle(rows)
+    add(spark, tmp_path / "log", rows, STATUS_LOG)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        log = C.read_changes(spark, str(tmp_path / "log"), STATUS_LOG)
+        deltas = sample_deltas(log, "p", "s", "status", "seq", "ts", slices=5)
+        checkpoint = str(tmp_path / "deltas")
+        C.run(deltas, lambda batch, _: batch.write.format("noop").mode("append").save(), checkpoint).awaitTermination()
+        follow_rollup(log, "p", "s", "status", "seq", "ts", str(tmp_path / "kept"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spark.read.format("statestore").load(checkpoint).count() <= 5
+    (row,) = rolled_up(spark, str(tmp_path / "kept")).collect()
+    assert {"p": (row.n_samples, row.project_status, row.end_date)} == step_through(sorted(rows, key=lambda r: r[3]))
+
+
 def test_dispatcher(spark, tmp_path):
     events = [("flowcell_ready", "1", "s"), ("project_change", "2", "s"), ("delivery_ready", "3", "s"), ("flowcell_ready", "4", "s")]
     schema = "event_type string, payload string, source string"
