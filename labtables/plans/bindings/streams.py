@@ -35,6 +35,16 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return C.read_changes(spark, f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet", schema)
 
 
+#: Customers of a task that writes them out as documents, which are many times their size.
+TASK_DOCS = 20_000
+
+
+def _customer_docs(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
+    """Customers, dealt out while they are small, as documents."""
+    tasks = max(1, -(-table(spark, sf_dir, "customer").count() // TASK_DOCS))
+    return raw_docs(customers.repartition(tasks, "c_custkey"), table(spark, sf_dir, "nation"))
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, "events")
 
@@ -200,7 +210,7 @@ def project_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark, "projects")
     projects = project_table(spark, f"{root}/projects", buckets=8)
     samples = sample_table(spark, f"{root}/samples", buckets=8)
-    docs = raw_docs(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+    docs = _customer_docs(spark, sf_dir, table(spark, sf_dir, "customer"))
 
     def catch_up() -> None:
         follow_projects(
@@ -264,7 +274,7 @@ def project_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def project_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same feed: the documents that are not followed, with the reason."""
     root = scratch_dir(spark, "project-rejects")
-    feed = raw_docs(_stream(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+    feed = _customer_docs(spark, sf_dir, _stream(spark, sf_dir, "customer"))
     C.follow_documents(feed, f"{root}/checkpoint").awaitTermination()
     return rejected(spark, f"{root}/checkpoint", DOC_RULES, REQUIRED)
 

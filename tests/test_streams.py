@@ -332,3 +332,13 @@ def test_follow_projects_merges_with_what_is_tracked(spark, tmp_path):
         ("doc-r", "incomplete", "project_id"),
         ("doc-s", "incomplete", "samples.s1.library_prep"),
     }
+
+
+def test_customers_are_dealt_out_before_they_become_documents(spark, sf_dir, monkeypatch):
+    from labtables.plans.bindings import streams
+
+    monkeypatch.setattr(streams, "TASK_DOCS", 10)
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    docs = streams._customer_docs(spark, sf_dir, customers)
+    assert docs.rdd.getNumPartitions() == -(-customers.count() // 10)
+    assert docs.count() == customers.count()
