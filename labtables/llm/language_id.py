@@ -224,6 +224,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": labels, "score": scores})
             give_back()
 
-    mark = F.pandas_udf(task, "lang_pred string, score double")
+    # A deterministic one would be worked out once more below a filter on its results, by a
+    # second Python worker of every task.
+    mark = F.pandas_udf(task, "lang_pred string, score double").asNondeterministic()
     found = docs.select("*", mark(F.coalesce("text", F.lit(""))).alias("__found"))
     return found.select(*[F.col(f"`{n}`") for n in names], "__found.lang_pred", "__found.score")

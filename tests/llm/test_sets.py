@@ -292,6 +292,12 @@ def test_pipeline(spark, odd, empty, real, tmp_path):
     assert whole.count() >= 1
 
 
+def test_pipeline_works_out_languages_once(spark, real):
+    """A filter on the result must not bring a second Python worker for the same texts."""
+    plan = corpus_pipeline.language(spark, real, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython [") == 1
+
+
 @pytest.mark.parametrize("shard", [200_000, 300])
 def test_sequences_follow_the_mixture(spark, monkeypatch, shard):
     monkeypatch.setattr(mixing, "BLOCK_CHARS", 2000)
